@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,43 +14,49 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def both_present(x: Column | str, y: Column | str) -> tuple[Column, Column]:
-    """Null out both sides of a pair when either side is missing (null or NaN)."""
-    x, y = _col(x).cast("double"), _col(y).cast("double")
-    gone = x.isNull() | y.isNull() | F.isnan(x) | F.isnan(y)
-    return F.when(~gone, x), F.when(~gone, y)
+# Aggregates over many columns are written as SQL text: one expression costs one call into the
+# JVM, however long it is, where a Column tree costs one call per operator.
 
 
-def pearson(x: Column | str, y: Column | str, null_policy: str = "propagate") -> Column:
-    """Pearson r as one aggregate expression; null where it is undefined.
+def numeric(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """``keep`` and ``columns``; the latter as doubles with NaN as null."""
+    cells = [
+        f"nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)) AS `{c}`" for c in dict.fromkeys(columns)
+    ]
+    return df.selectExpr(*[f"`{k}`" for k in keep or []], *cells)
+
+
+def paired(x: str, y: str) -> tuple[str, str]:
+    """SQL of both columns, null where the other one is."""
+    return f"if(`{y}` IS NULL, NULL, `{x}`)", f"if(`{x}` IS NULL, NULL, `{y}`)"
+
+
+def pearson(x: str, y: str, null_policy: str = "propagate") -> str:
+    """SQL aggregate: Pearson r of two columns of ``numeric``; null where it is undefined.
 
     ``corr`` divides by zero on a constant column under ANSI rules, and an aggregate inside
     CASE is evaluated anyway, so r is put together from moments with ``try_divide``.
 
     ``propagate``: one missing value makes r null. ``pairwise``: missing pairs are skipped.
     """
-    x, y = _col(x).cast("double"), _col(y).cast("double")
-    px, py = both_present(x, y)
     if null_policy == "pairwise":
-        undefined = F.lit(False)
+        x, y = paired(x, y)
+        defined = f"count({x}) > 1"
     elif null_policy == "propagate":
-        undefined = F.count(F.lit(1)) != F.count(px)
+        x, y = f"`{x}`", f"`{y}`"
+        defined = f"count(*) = count({x}) AND count(*) = count({y}) AND count(*) > 1"
     else:
         raise ValueError(f"null_policy must be 'propagate' or 'pairwise', not {null_policy!r}")
-    undefined = (
-        undefined
-        | (F.count(px) < 2)
-        | (F.min(px) == F.max(px))
-        | (F.min(py) == F.max(py))
+    return (
+        f"CASE WHEN {defined} AND min({x}) <> max({x}) AND min({y}) <> max({y}) THEN greatest(-1D, "
+        f"least(1D, try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y})))) END"
     )
-    r = F.try_divide(F.covar_pop(px, py), F.stddev_pop(px) * F.stddev_pop(py))
-    return F.when(~undefined, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def is_single_valued(c: Column | str) -> Column:
-    """Aggregate: exactly one distinct non-null value. Same as count_distinct = 1, without
-    the extra shuffle that a distinct aggregate needs."""
-    return F.coalesce(F.min(_col(c)) == F.max(_col(c)), F.lit(False))
+def single_valued(c: str) -> str:
+    """SQL aggregate: exactly one distinct non-null value. Same as a distinct count of one,
+    without the extra shuffle that a distinct aggregate needs."""
+    return f"coalesce(min(`{c}`) = max(`{c}`), false)"
 
 
 def _ln_beta_half(a: float) -> float:

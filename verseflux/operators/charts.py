@@ -3,10 +3,10 @@ from ``regression`` and ``correlate.correlation_matrix``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseflux.functions.stats import both_present, pearson
+from verseflux.functions.stats import numeric, pearson
 from verseflux.functions.text import display_name
 
 
@@ -14,8 +14,11 @@ def scatter_long(
     df: DataFrame, outcome: str, features: list[str], keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``(keep..., feature, x, y)`` for every row and feature."""
-    doubles = [F.col(f).cast("double").alias(f) for f in features]
-    slim = df.select(*keep, F.col(outcome).cast("double").alias("y"), *doubles)
+    slim = df.selectExpr(
+        *[f"`{k}`" for k in keep],
+        f"CAST(`{outcome}` AS DOUBLE) AS y",
+        *[f"CAST(`{f}` AS DOUBLE) AS `{f}`" for f in features],
+    )
     return slim.unpivot([*keep, "y"], features, "feature", "x").select(*keep, "feature", "x", "y")
 
 
@@ -25,19 +28,18 @@ def plot_annotation(df: DataFrame, outcome: str, features: list[str]) -> DataFra
     The printed correlation skips missing pairs and is ``nan`` if either side is constant.
     """
 
-    def stat(feature: str) -> Column:
-        x, _ = both_present(feature, feature)
-        y, _ = both_present(outcome, outcome)
-        return F.struct(
-            pearson(outcome, feature, "pairwise").alias("r"),
-            F.stddev_samp(x).alias("x_std"),
-            F.stddev_samp(y).alias("y_std"),
-        ).alias(feature)
+    def stat(f: str) -> str:
+        r = pearson(outcome, f, "pairwise")
+        return (
+            f"named_struct('r', {r}, 'x_std', stddev_samp(`{f}`), "
+            f"'y_std', stddev_samp(`{outcome}`)) AS `{f}`"
+        )
 
     r = F.col("stat.r")
     text = F.when(r.isNull(), "nan").otherwise(F.format_string("%.2f", r))
     return (
-        df.agg(*[stat(f) for f in features])
+        numeric(df, [outcome, *features])
+        .agg(*[F.expr(stat(f)) for f in features])
         .unpivot([], features, "feature", "stat")
         .select(
             "feature",

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verseflux.functions.stats import (
-    both_present,
-    is_single_valued,
+    numeric,
     p_value,
+    paired,
     pearson,
     significance,
+    single_valued,
     three_decimals,
 )
 
@@ -30,21 +31,26 @@ def label_code(label: Column | str, codes: dict[str, int]) -> Column:
 
 
 def _finish(long: DataFrame, keys: list[str], sort: bool) -> DataFrame:
-    r, n = F.col("correlation"), F.col("sample_size")
-    pairs = F.col("pairs") if "pairs" in long.columns else n
-    out = long.withColumn("p_value", p_value(r, pairs.cast("double")))
-    out = out.select(
-        *keys,
+    n = "pairs" if "pairs" in long.columns else "sample_size"
+    out = long.withColumn("_p", p_value("correlation", F.col(n).cast("double"))).selectExpr(
+        *[f"`{k}`" for k in keys],
         "feature",
         "correlation",
-        F.when(r.isNotNull(), F.col("p_value")).alias("p_value"),
+        "if(correlation IS NULL, NULL, _p) AS p_value",
         "sample_size",
         "outcome",
-        (n < SMALL_SAMPLE).alias("small_sample"),
+        f"sample_size < {SMALL_SAMPLE} AS small_sample",
     )
     return out.orderBy(*keys, F.desc_nulls_last("correlation"), "feature") if sort else out
 
 
+def _chosen(outcome: str, fallback: str | None) -> str:
+    """SQL aggregate: name of the outcome column to use."""
+    if fallback is None:
+        return f"'{outcome}'"
+    return f"if({single_valued(outcome)}, '{fallback}', '{outcome}')"
+
+
 def correlate_features(
     df: DataFrame,
     outcome: str,
@@ -61,49 +67,39 @@ def correlate_features(
     policy the p-value uses the number of complete pairs; ``sample_size`` counts all rows.
     """
     keys = by or []
-    flat = is_single_valued(outcome) if fallback else F.lit(False)
-
-    def stat(feature: str) -> Column:
-        def of(y: str) -> Column:
-            x, _ = both_present(feature, y)
-            return F.struct(
-                pearson(y, feature, null_policy).alias("r"), F.count(x).alias("pairs")
-            )
-
-        value = F.when(flat, of(fallback)).otherwise(of(outcome)) if fallback else of(outcome)
-        return value.alias(feature)
-
-    wide = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sample_size"),
-        F.when(flat, F.lit(fallback)).otherwise(F.lit(outcome)).alias("outcome"),
-        *[stat(f) for f in features],
-    )
-    long = wide.unpivot([*keys, "sample_size", "outcome"], features, "feature", "stat").select(
-        *keys,
-        "feature",
-        F.col("stat.r").alias("correlation"),
-        F.col("stat.pairs").alias("pairs"),
-        "sample_size",
-        "outcome",
+    outcomes = [outcome] + ([fallback] if fallback else [])
+
+    def stat(feature: str) -> str:
+        def of(y: str) -> str:
+            pairs = f"count({paired(feature, y)[0]})" if null_policy == "pairwise" else "count(*)"
+            r = pearson(y, feature, null_policy)
+            return f"named_struct('correlation', {r}, 'pairs', {pairs})"
+
+        if fallback is None:
+            return of(outcome)
+        return f"if({single_valued(outcome)}, {of(fallback)}, {of(outcome)})"
+
+    wide = numeric(df, [*outcomes, *features], keys).groupBy(*keys).agg(
+        F.expr("count(*) AS sample_size"),
+        F.expr(f"{_chosen(outcome, fallback)} AS outcome"),
+        *[F.expr(f"{stat(f)} AS `{f}`") for f in features],
     )
-    if null_policy == "propagate":
-        long = long.drop("pairs")
-    return _finish(long, keys, sort)
+    long = wide.unpivot([*keys, "sample_size", "outcome"], features, "feature", "stat")
+    return _finish(long.select(*keys, "feature", "stat.*", "sample_size", "outcome"), keys, sort)
 
 
 def choose_outcome(
     df: DataFrame, outcome: str, fallback: str, by: list[str] | None = None, label: str | None = None
 ) -> DataFrame:
     """Which outcome column a correlation would use, and why, per group."""
-    flat = is_single_valued(outcome)
     columns = [
-        F.when(flat, F.lit(fallback)).otherwise(F.lit(outcome)).alias("outcome"),
-        F.min(outcome).alias("lowest"),
-        F.max(outcome).alias("highest"),
+        f"{_chosen(outcome, fallback)} AS outcome",
+        f"min(`{outcome}`) AS lowest",
+        f"max(`{outcome}`) AS highest",
     ]
     if label:
-        columns.append(F.when(flat, F.min(label)).alias("only_label"))
-    return df.groupBy(*(by or [])).agg(*columns)
+        columns.append(f"if({single_valued(outcome)}, min(`{label}`), NULL) AS only_label")
+    return df.groupBy(*(by or [])).agg(*[F.expr(c) for c in columns])
 
 
 def correlate_joined(
@@ -123,72 +119,71 @@ def correlate_joined(
     ``correlate_features`` with its default policy.
     """
     outcomes = [outcome] + ([fallback] if fallback else [])
-    sides = [
-        _moments(left.select(key, *outcomes), key, outcomes, "l"),
-        _moments(right.select(key, *features), key, features, "r"),
-    ]
-    both = sides[0].join(sides[1], key)
-    weight = (F.col("l_rows") * F.col("r_rows")).cast("double")
-
-    def mean(name: str) -> Column:
-        return F.try_divide(F.sum(weight * F.col(f"{name}.mean")), F.sum(weight)).alias(name)
-
-    means = both.agg(F.struct(*[mean(c) for c in [*outcomes, *features]])).scalar()
-
-    def off(name: str) -> Column:
-        return F.col(f"{name}.mean") - means.getField(name)
+    columns = [*outcomes, *features]
+    both = (
+        _moments(left, key, outcomes, "l_rows")
+        .join(_moments(right, key, features, "r_rows"), key)
+        .withColumn("weight", F.expr("CAST(l_rows * r_rows AS DOUBLE)"))
+    )
+    cells = ", ".join(
+        f"'{c}', try_divide(sum(weight * `{c}`.mean), sum(weight))" for c in columns
+    )
+    means = both.agg(F.expr(f"named_struct({cells})")).scalar()
+    # Per key and column: the distance of its mean from the overall mean, and its own squared
+    # deviations times the rows that each of its rows meets on the other side.
+    centred = both.withColumn("_means", means).selectExpr(
+        "weight",
+        *[f"`{c}`" for c in columns],
+        *[f"`{c}`.mean - _means.`{c}` AS `off_{c}`" for c in columns],
+        *[f"r_rows * `{c}`.m2 AS `own_{c}`" for c in outcomes],
+        *[f"l_rows * `{c}`.m2 AS `own_{c}`" for c in features],
+    )
+    flat = "false"
+    if fallback:
+        flat = f"coalesce(min(`{outcome}`.low) = max(`{outcome}`.high), false)"
 
-    def spread(name: str, times: str) -> Column:
-        return F.sum(F.col(times) * F.col(f"{name}.m2") + weight * off(name) * off(name))
+    def usable(c: str) -> str:
+        return f"sum(`{c}`.gone) = 0 AND min(`{c}`.low) <> max(`{c}`.high)"
 
-    def complete(name: str) -> Column:
-        return F.sum(F.col(f"{name}.gone")) == 0
+    def spread(c: str) -> str:
+        return f"sqrt(sum(`own_{c}` + weight * `off_{c}` * `off_{c}`))"
 
-    def varies(name: str) -> Column:
-        return F.min(f"{name}.low") != F.max(f"{name}.high")
+    def r(y: str, x: str) -> str:
+        value = f"try_divide(sum(weight * `off_{y}` * `off_{x}`), {spread(y)} * {spread(x)})"
+        return f"CASE WHEN {usable(y)} AND {usable(x)} THEN greatest(-1D, least(1D, {value})) END"
 
-    def r(y: str, x: str) -> Column:
-        usable = complete(x) & complete(y) & varies(x) & varies(y)
-        cross = F.sum(weight * off(x) * off(y))
-        scale = F.sqrt(spread(y, "r_rows")) * F.sqrt(spread(x, "l_rows"))
-        value = F.try_divide(cross, scale)
-        return F.when(usable, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    def chosen(x: str) -> str:
+        return f"if({flat}, {r(fallback, x)}, {r(outcome, x)})" if fallback else r(outcome, x)
 
-    flat = F.lit(False)
-    if fallback:
-        flat = F.coalesce(F.min(f"{outcome}.low") == F.max(f"{outcome}.high"), F.lit(False))
-    wide = both.agg(
-        F.coalesce(F.sum(F.col("l_rows") * F.col("r_rows")), F.lit(0)).alias("sample_size"),
-        F.when(flat, F.lit(fallback)).otherwise(F.lit(outcome)).alias("outcome"),
-        *[
-            (F.when(flat, r(fallback, f)).otherwise(r(outcome, f)) if fallback else r(outcome, f)).alias(f)
-            for f in features
-        ],
+    wide = centred.agg(
+        F.expr("CAST(coalesce(sum(weight), 0) AS BIGINT) AS sample_size"),
+        F.expr(f"if({flat}, '{fallback}', '{outcome}') AS outcome"),
+        *[F.expr(f"{chosen(f)} AS `{f}`") for f in features],
+    )
+    return _finish(
+        wide.unpivot(["sample_size", "outcome"], features, "feature", "correlation"), [], sort
     )
-    long = wide.unpivot(["sample_size", "outcome"], features, "feature", "correlation")
-    return _finish(long, [], sort)
 
 
-def _moments(df: DataFrame, key: str, columns: list[str], side: str) -> DataFrame:
-    def stat(c: str) -> Column:
-        x, _ = both_present(c, c)
-        return F.struct(
-            F.avg(x).alias("mean"),
-            (F.var_pop(x) * F.count(x)).alias("m2"),
-            F.min(x).alias("low"),
-            F.max(x).alias("high"),
-            (F.count(F.lit(1)) - F.count(x)).alias("gone"),
-        ).alias(c)
+def _moments(df: DataFrame, key: str, columns: list[str], rows: str) -> DataFrame:
+    def stat(c: str) -> str:
+        return (
+            f"named_struct('mean', avg(`{c}`), 'm2', var_pop(`{c}`) * count(`{c}`), "
+            f"'low', min(`{c}`), 'high', max(`{c}`), 'gone', count(*) - count(`{c}`)) AS `{c}`"
+        )
 
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{side}_rows"), *[stat(c) for c in columns])
+    return numeric(df, columns, [key]).groupBy(key).agg(
+        F.expr(f"count(*) AS {rows}"), *[F.expr(stat(c)) for c in columns]
+    )
 
 
 def add_significance(results: DataFrame) -> DataFrame:
     """Stars and the printed forms of r and p."""
-    return (
-        results.withColumn("significance", significance("p_value"))
-        .withColumn("correlation_text", three_decimals("correlation"))
-        .withColumn("p_value_text", three_decimals("p_value"))
+    return results.select(
+        "*",
+        significance("p_value").alias("significance"),
+        three_decimals("correlation").alias("correlation_text"),
+        three_decimals("p_value").alias("p_value_text"),
     )
 
 
@@ -219,20 +214,19 @@ def compare_groups(
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(feature_a, feature_b, correlation)`` for all pairs, missing pairs skipped."""
-    names = {(a, b): f"r{i}" for i, (a, b) in enumerate(combinations(columns, 2))}
-    cells = [pearson(a, b, "pairwise").alias(alias) for (a, b), alias in names.items()]
-    own = {c: f"d{i}" for i, c in enumerate(columns)}
-    cells += [F.round(pearson(c, c, "pairwise"), 12).alias(alias) for c, alias in own.items()]
-    wide = df.agg(*cells)
-    entries = []
-    for a in columns:
-        for b in columns:
-            alias = own[a] if a == b else names.get((a, b)) or names[(b, a)]
-            entries.append(
-                F.struct(
-                    F.lit(a).alias("feature_a"),
-                    F.lit(b).alias("feature_b"),
-                    F.col(alias).alias("correlation"),
-                )
-            )
-    return wide.select(F.inline(F.array(*entries)))
+    pairs = {(a, b): f"_r{i}" for i, (a, b) in enumerate(combinations(columns, 2))}
+    own = {a: f"_d{i}" for i, a in enumerate(columns)}
+    wide = numeric(df, columns).agg(
+        *[F.expr(f"{pearson(a, b, 'pairwise')} AS {name}") for (a, b), name in pairs.items()],
+        *[
+            F.expr(f"CASE WHEN min(`{a}`) <> max(`{a}`) THEN 1D END AS {name}")
+            for a, name in own.items()
+        ],
+    )
+    cells = ", ".join(
+        f"named_struct('feature_a', '{a}', 'feature_b', '{b}', 'correlation', "
+        f"{own[a] if a == b else pairs.get((a, b)) or pairs[b, a]})"
+        for a in columns
+        for b in columns
+    )
+    return wide.selectExpr(f"inline(array({cells}))")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verseflux.functions.stats import both_present
+from verseflux.functions.stats import numeric
 
 QUARTILES = (0.25, 0.5, 0.75)
 ACCURACY = 10_000
@@ -43,7 +43,7 @@ def describe_features(
     values may be inside; (3) the values inside are ranked. Each pass reads only ``features``
     and shuffles partial aggregates.
     """
-    slim = df.select(*[both_present(f, f)[0].alias(f) for f in features])
+    slim = numeric(df, features)
     base = _moments(slim, features)
     brackets = _brackets(slim, features, quantiles, bracket_rows)
     names = {q: f"q{round(q * 100):02d}" for q in quantiles}

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verseflux.functions.stats import both_present
+from verseflux.functions.stats import numeric, paired
 
 NORMAL_975 = 1.959963984540054
 GRID = 100
@@ -22,23 +22,17 @@ def regression_line(
     """
     keys = by or []
 
-    def stat(feature: str) -> Column:
-        x, y = both_present(feature, outcome)
-        sxx, syy, sxy = F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)
-        left_over = F.greatest(F.lit(0.0), syy - F.try_divide(sxy * sxy, sxx))
-        return F.struct(
-            F.count(x).alias("n"),
-            F.regr_slope(y, x).alias("slope"),
-            F.regr_intercept(y, x).alias("intercept"),
-            F.regr_r2(y, x).alias("r2"),
-            F.avg(x).alias("x_mean"),
-            F.min(x).alias("x_min"),
-            F.max(x).alias("x_max"),
-            sxx.alias("sxx"),
-            F.sqrt(F.try_divide(left_over, F.count(x) - 2)).alias("residual_se"),
-        ).alias(feature)
-
-    wide = df.groupBy(*keys).agg(*[stat(f) for f in features])
+    def stat(feature: str) -> str:
+        x, y = paired(feature, outcome)
+        sxx, syy, sxy = (f"regr_{m}({y}, {x})" for m in ("sxx", "syy", "sxy"))
+        left_over = f"greatest(0D, {syy} - try_divide({sxy} * {sxy}, {sxx}))"
+        return f"""named_struct('n', count({x}), 'slope', regr_slope({y}, {x}),
+            'intercept', regr_intercept({y}, {x}), 'r2', regr_r2({y}, {x}), 'x_mean', avg({x}),
+            'x_min', min({x}), 'x_max', max({x}), 'sxx', {sxx},
+            'residual_se', sqrt(try_divide({left_over}, count({x}) - 2))) AS `{feature}`"""
+
+    rows = numeric(df, [outcome, *features], keys)
+    wide = rows.groupBy(*keys).agg(*[F.expr(stat(f)) for f in features])
     return wide.unpivot(keys, features, "feature", "stat").select(*keys, "feature", "stat.*")
 
 
@@ -103,29 +97,25 @@ def bootstrap_band(
     ``regression_band`` for large ones.
     """
     lines = regression_line(df, outcome, features)
-    centre = df.agg(
-        F.struct(*[F.avg(both_present(f, outcome)[0]).alias(f) for f in features])
-    ).scalar()
+    rows = numeric(df, [outcome, *features], [id_col])
+    cells = ", ".join(f"'{f}', coalesce(avg({paired(f, outcome)[0]}), 0D)" for f in features)
+    centre = rows.agg(F.expr(f"named_struct({cells})")).scalar()
     number = F.shiftrightunsigned(F.xxhash64(id_col, "resample", F.lit(seed)), 11)
     draws = (
-        df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+        rows.withColumn("_centre", centre)
+        .withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
         .withColumn("_w", _poisson(number / F.lit(float(1 << 53))))
-        .where(F.col("_w") > 0)
+        .where("_w > 0")
     )
 
-    def stat(feature: str) -> Column:
-        x, y = both_present(feature, outcome)
-        x, w = x - centre.getField(feature), F.when(x.isNotNull(), F.col("_w"))
-        return F.struct(
-            F.sum(w).alias("w"),
-            F.sum(w * x).alias("x"),
-            F.sum(w * y).alias("y"),
-            F.sum(w * x * x).alias("xx"),
-            F.sum(w * x * y).alias("xy"),
-            centre.getField(feature).alias("centre"),
-        ).alias(feature)
-
-    sums = draws.groupBy("resample").agg(*[stat(f) for f in features])
+    def stat(f: str) -> str:
+        x, y = f"(`{f}` - _centre.`{f}`)", f"`{outcome}`"
+        w = f"if({y} IS NULL OR `{f}` IS NULL, NULL, _w)"
+        return f"""named_struct('w', sum({w}), 'x', sum({w} * {x}), 'y', sum({w} * {y}),
+            'xx', sum({w} * {x} * {x}), 'xy', sum({w} * {x} * {y}),
+            'centre', first(_centre.`{f}`)) AS `{f}`"""
+
+    sums = draws.groupBy("resample").agg(*[F.expr(stat(f)) for f in features])
     sums = sums.unpivot(["resample"], features, "feature", "s").select("feature", "s.*")
     slope = F.try_divide(
         F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("w")),

@@ -74,14 +74,19 @@ def sql_pearson(y: str, x: str) -> str:
 
 
 def sql_p_value(r: str, n: str, steps: int = 20000) -> str:
-    """Two-sided p by integrating the density of r under no correlation (Simpson's rule)."""
+    """Two-sided p by integrating the density of r under no correlation (Simpson's rule over
+    the arc sine of r, where the integrand is a smooth power of a cosine)."""
+    top = f"asin(least(1.0, abs({r})))"
     weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
     area = (
         f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * "
-        f"pow(1 - pow(abs({r}) * i / {steps}, 2), ({n} - 4) / 2.0))) * abs({r}) / {3 * steps}.0"
+        f"pow(cos({top} * i / {steps}), {n} - 3))) * {top} / {3 * steps}.0"
     )
     scale = f"exp(lgamma(({n} - 1) / 2.0) - lgamma(({n} - 2) / 2.0)) / sqrt(pi())"
-    return f"CASE WHEN {r} IS NULL THEN NULL ELSE greatest(0.0, 1 - 2 * {scale} * {area}) END"
+    return (
+        f"CASE WHEN {r} IS NULL THEN NULL WHEN {n} = 2 THEN 1.0 "
+        f"ELSE greatest(0.0, 1 - 2 * {scale} * {area}) END"
+    )
 
 
 def sql_stars(p: str) -> str:
