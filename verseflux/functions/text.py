@@ -97,4 +97,4 @@ def letter_count(c: Column | str) -> Column:
 
 def upper_count(c: Column | str) -> Column:
     """ASCII capitals."""
-    return F.length(F.regexp_replace(_col(c), r"[^A-Z]+", ""))
+    return F.regexp_count(_col(c), F.lit("[A-Z]"))

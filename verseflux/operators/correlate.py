@@ -20,6 +20,7 @@ from verseflux.functions.stats import (
     single_valued,
     three_decimals,
 )
+from verseflux.lineage import cut_lineage
 
 SMALL_SAMPLE = 10
 
@@ -115,12 +116,13 @@ def correlate_joined(
 
     A key with a rows on the left and b on the right stands for a*b joined rows. Each side is
     reduced to one row of counts, means and squared deviations per key before they meet, so
-    hot keys neither multiply nor travel. Missing values make r null, as in
-    ``correlate_features`` with its default policy.
+    hot keys neither multiply nor travel. The reduced table (one row per common key) is read
+    twice, for the means and for the deviations from them, so it is written once to the
+    checkpoint folder. Missing values make r null, as in ``correlate_features`` by default.
     """
     outcomes = [outcome] + ([fallback] if fallback else [])
     columns = [*outcomes, *features]
-    both = (
+    both = cut_lineage(
         _moments(left, key, outcomes, "l_rows")
         .join(_moments(right, key, features, "r_rows"), key)
         .withColumn("weight", F.expr("CAST(l_rows * r_rows AS DOUBLE)"))

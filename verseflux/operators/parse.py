@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseflux.functions.fixed import HEADER_PREFIX, TITLE_LINE
+from verseflux.functions.once import compute_once
 from verseflux.functions.text import preview, strip, unify_newlines
 
 # `(?d)`: only \n ends a line, as in Python.
@@ -14,12 +15,10 @@ _TITLE_LINE = "(?d)" + TITLE_LINE
 
 def _songs(records: DataFrame, text_col: str) -> DataFrame:
     """Stripped, non-blank, non-header records with their title line (empty if none)."""
-    song = strip(unify_newlines(text_col))
-    return (
-        records.withColumn("_song", song)
-        .where((F.col("_song") != "") & ~F.startswith("_song", F.lit(HEADER_PREFIX)))
-        .withColumn("_line", F.regexp_extract("_song", _TITLE_LINE, 0))
+    songs = compute_once(records, _song=strip(unify_newlines(text_col))).where(
+        (F.col("_song") != "") & ~F.startswith("_song", F.lit(HEADER_PREFIX))
     )
+    return compute_once(songs, _line=F.regexp_extract("_song", _TITLE_LINE, 0))
 
 
 def parse_collection(

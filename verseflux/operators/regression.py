@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verseflux.functions.stats import numeric, paired
+from verseflux.lineage import cut_lineage
 
 NORMAL_975 = 1.959963984540054
 GRID = 100
@@ -96,8 +97,8 @@ def bootstrap_band(
     the partial aggregate; one row per resample leaves each task. Meant for moderate tables,
     ``regression_band`` for large ones.
     """
-    lines = regression_line(df, outcome, features)
-    rows = numeric(df, [outcome, *features], [id_col])
+    rows = cut_lineage(numeric(df, [outcome, *features], [id_col]))  # numbers only, read thrice
+    lines = regression_line(rows, outcome, features)
     cells = ", ".join(f"'{f}', coalesce(avg({paired(f, outcome)[0]}), 0D)" for f in features)
     centre = rows.agg(F.expr(f"named_struct({cells})")).scalar()
     number = F.shiftrightunsigned(F.xxhash64(id_col, "resample", F.lit(seed)), 11)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verseflux.functions.once import explode_present
 from verseflux.functions.text import is_blank, truncate
 from verseflux.operators.textprep import clean_tokens
 
@@ -65,11 +66,15 @@ def lexicon_terms(
     docs = clean_tokens(labelled, text_col, stop)
     terms = F.concat(F.array(F.lit("")), F.array_distinct("tokens"))
     counts = (
-        docs.select(F.explode(terms).alias("term"), F.col(label_col).cast("int").alias("y"))
+        explode_present(docs, terms, "term", [F.col(label_col).cast("int").alias("y")])
         .groupBy("term")
-        .agg(F.sum("y").alias("up"), F.sum(1 - F.col("y")).alias("down"))
+        .agg(
+            F.sum("y").alias("up"),
+            F.sum(1 - F.col("y")).alias("down"),
+            F.bool_and(F.col("term") == "").alias("is_total"),  # see document_frequency
+        )
     )
-    whole = F.col("term") == ""
+    whole = F.col("is_total")
     totals = counts.agg(
         F.struct(
             F.max(F.when(whole, F.col("up"))).alias("up"),

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verseflux.functions.fixed import BASE_STOPWORDS, CONTRACTIONS, EXTRA_STOPWORDS, NOUN_ENDINGS
-from verseflux.functions.text import WHITE_SPACE_CLASS
+from verseflux.functions.once import compute_once, explode_present
 
 _SPLIT_WORDS = r"\b(?:" + "|".join(f"({a})({b})" for a, b in CONTRACTIONS) + r")\b"
 _SPLIT_PARTS = " ".join(
@@ -53,10 +54,8 @@ def stopword_table(
     return words.distinct()
 
 
-def clean_text(text: Column) -> Column:
-    """Lower case; drop all but a-z and white space; split the listed contractions."""
-    letters = F.regexp_replace(F.lower(text), f"[^a-z{WHITE_SPACE_CLASS}]+", "")
-    return F.regexp_replace(letters, _SPLIT_WORDS, _SPLIT_PARTS)
+# Anything but a-z and white space; after this, any run of other characters is white space.
+_NOT_TEXT = r"[^a-z\p{IsWhite_Space}\x1C-\x1F]+"
 
 
 def clean_tokens(
@@ -67,17 +66,34 @@ def clean_tokens(
     tokens_col: str = "tokens",
     drop_empty: bool = False,
 ) -> DataFrame:
-    """Add the array of clean tokens: at least ``min_len`` letters and not a stop word.
+    """Add the array of clean tokens: lower case, everything but letters a-z deleted, split at
+    white space and inside the listed contractions; at least ``min_len`` letters and not a
+    stop word.
 
     A projection: no shuffle. Null text gives an empty array. ``drop_empty`` removes
     documents with no token left.
     """
     stop = stopwords() if stop is None else stop
-    words = F.split(clean_text(F.col(text_col)), f"[{WHITE_SPACE_CLASS}]+")
+    letters = F.regexp_replace(F.lower(F.col(text_col)), _NOT_TEXT, "")
+    # The contractions are rare, and a plain substring search is cheaper than the expression.
+    found = reduce(
+        Column.__or__, [F.contains("_letters", F.lit(a + b)) for a, b in CONTRACTIONS]
+    )
+    text = F.when(found, F.regexp_replace("_letters", _SPLIT_WORDS, _SPLIT_PARTS))
+    words = F.split(text.otherwise(F.col("_letters")), "[^a-z]+")
     kept = F.filter(words, lambda t: (F.length(t) >= min_len) & ~t.isin(stop))
     none = F.array().cast("array<string>")
-    out = df.withColumn(tokens_col, F.coalesce(kept, none))
-    return out.where(F.size(tokens_col) > 0) if drop_empty else out
+    out = (
+        df.withColumn("_letters", letters)
+        .withColumn(tokens_col, F.coalesce(kept, none))
+        .drop("_letters")
+    )
+    return drop_tokenless(out, tokens_col) if drop_empty else out
+
+
+def drop_tokenless(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """Documents with at least one token."""
+    return compute_once(docs, **{tokens_col: F.col(tokens_col)}).where(F.size(tokens_col) > 0)
 
 
 def drop_stopwords(tokens: DataFrame, stop: DataFrame, token_col: str = "token") -> DataFrame:
@@ -136,9 +152,9 @@ def lemmatize_arrays(
 
     Documents without tokens have no row in the result.
     """
-    rows = docs.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
+    rows = docs.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
     return (
-        lemmatize(rows, lemmas)
+        lemmatize(rows.where("token IS NOT NULL"), lemmas)
         .groupBy(id_col)
         .agg(F.sort_array(F.collect_list(F.struct("pos", "lemma"))).alias("_t"))
         .select(id_col, F.col("_t.lemma").alias(tokens_col))
@@ -151,24 +167,25 @@ def count_tokens(
     """``(id, token, tf)``. Rows of one document start in one partition, so the partial
     aggregate already brings them down to the distinct tokens."""
     return (
-        docs.select(id_col, F.explode(tokens_col).alias("token"))
+        explode_present(docs, tokens_col, "token", [id_col])
         .groupBy(id_col, "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
 def document_frequency(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """``(term, df)``, and one more row with the empty term and the number of documents.
+    """``(term, df, is_total)``: documents per term, and one row for all documents.
 
-    That extra row spares a second pass over the texts. One document is one row, so distinct
-    terms are found inside the row and only partial counts are shuffled.
+    The extra row has the empty term and spares a second pass over the texts. It is marked by
+    an aggregate, ``is_total``: a filter on ``term`` would be pushed below the aggregate, and
+    then plans that need both kinds of rows would compute the counts twice. One document is
+    one row, so distinct terms are found inside the row and only partial counts are shuffled.
     """
     terms = F.concat(F.array(F.lit("")), F.array_distinct(tokens_col))
     return (
-        docs.where(F.size(tokens_col) > 0)
-        .select(F.explode(terms).alias("term"))
+        explode_present(docs, F.when(F.size(tokens_col) > 0, terms), "term", [])
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count(F.lit(1)).alias("df"), F.bool_and(F.col("term") == "").alias("is_total"))
     )
 
 
@@ -183,10 +200,10 @@ def vocabulary(
     share ``no_above`` of them; the ``keep_n`` most frequent of these, ties by spelling.
     """
     counts = document_frequency(docs, tokens_col)
-    n_docs = counts.agg(F.max(F.when(F.col("term") == "", F.col("df")))).scalar()
+    n_docs = counts.agg(F.max(F.when(F.col("is_total"), F.col("df")))).scalar()
     order = [F.desc("df"), F.asc("term")]
     top = (
-        counts.where((F.col("term") != "") & (F.col("df") >= no_below))
+        counts.where(~F.col("is_total") & (F.col("df") >= no_below))
         .where(F.col("df") <= F.floor(n_docs * F.lit(float(no_above))))
         .orderBy(*order)
         .limit(keep_n)

@@ -49,7 +49,7 @@ def topic_tokens(
     if isinstance(lemmas, str):
         if lemmas != "corpus":
             raise ValueError(f"lemmas must be a table, 'corpus' or None, not {lemmas!r}")
-        lemmas = lemma_table(document_frequency(docs).where("term <> ''"))
+        lemmas = lemma_table(document_frequency(docs).where("NOT is_total"))
     replaced = cut_lineage(lemmatize_arrays(docs, lemmas, id_col))
     none = F.array().cast("array<string>")
     return (

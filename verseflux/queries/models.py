@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from verseflux.operators.textprep import drop_tokenless
 from verseflux.operators.topics import TopicModel, assign_topics, fit_topics, topic_labels, topic_words
 from verseflux.plans.texts import analyze_documents, topic_tokens
 from verseflux.queries.registry import query, rounded, table
@@ -28,7 +28,7 @@ def top_topics(spark: SparkSession, folder: str) -> DataFrame:
 @query("document_topics")
 def document_topics(spark: SparkSession, folder: str) -> DataFrame:
     docs, model = _fitted(spark, folder)
-    return assign_topics(docs.where(F.size("tokens") > 0), model).select("doc_id", "topic", "topics")
+    return assign_topics(drop_tokenless(docs), model).select("doc_id", "topic", "topics")
 
 
 @query("document_analysis")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from verseflux.functions.fixed import CONTRACTIONS
 from verseflux.functions.text import WHITE_SPACE, WHITE_SPACE_CLASS
 from verseflux.session import ship_package
+from verseflux.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +32,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:

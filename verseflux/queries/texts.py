@@ -208,7 +208,7 @@ def stopword_union(spark: SparkSession, folder: str) -> DataFrame:
     docs = clean_tokens(table(spark, folder, "documents"), "text", stop=[], min_len=1)
     common = (
         document_frequency(docs)
-        .where("term <> ''")
+        .where("NOT is_total")
         .orderBy(F.desc("df"), "term")
         .limit(50)
         .select(F.col("term").alias("word"))

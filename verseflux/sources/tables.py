@@ -17,6 +17,16 @@ MISSING = [
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a table that arrives in fewer partitions than there are cores.
+
+    For expensive per-row work on an input that is one file with one row group. A scan of many
+    files already has more partitions, and then nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, missing: list[str] | None = None
 ) -> DataFrame:
