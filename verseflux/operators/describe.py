@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,19 +172,21 @@ def _rank_inside(slim: DataFrame, brackets: list[_Bracket]) -> DataFrame:
     wanted = spark.createDataFrame(
         [(b.feature, b.q, b.rank, b.share, b.below) for b in brackets], schema
     )
-    entries = []
-    for b in brackets:
-        x = F.col(b.feature)
-        entries.append(
-            F.when(
-                (x >= b.low) & (x <= b.high),
-                F.struct(F.lit(b.feature).alias("feature"), F.lit(b.q).alias("q"), x.alias("x")),
-            )
-        )
-    if not entries:
+    if not brackets:
         return wanted.select("feature", "q", F.lit(None).cast("double").alias("value"))
+    hits = [(F.col(b.feature) >= b.low) & (F.col(b.feature) <= b.high) for b in brackets]
+    entries = [
+        F.when(
+            hit,
+            F.struct(
+                F.lit(b.feature).alias("feature"), F.lit(b.q).alias("q"), F.col(b.feature).alias("x")
+            ),
+        )
+        for hit, b in zip(hits, brackets, strict=True)
+    ]
     values = (
-        slim.select(F.inline(F.array_compact(F.array(*entries))))
+        slim.where(reduce(Column.__or__, hits))  # most rows lie in no bracket
+        .select(F.inline(F.array_compact(F.array(*entries))))
         .groupBy("feature", "q", "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )

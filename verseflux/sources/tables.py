@@ -14,7 +14,15 @@ MISSING = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+# Both ways: by default the writer would trim white space from the cells.
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "encoding": "UTF-8",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -36,7 +44,7 @@ def read_csv(
     Texts listed in ``missing`` (default: the usual ones) become null.
     """
     missing = MISSING if missing is None else missing
-    raw = spark.read.options(**CSV_OPTIONS).csv(path)
+    raw = spark.read.options(multiLine=True, **CSV_OPTIONS).csv(path)
     require_columns(raw, schema.fieldNames())
     cells = []
     for field in schema.fields:
@@ -47,7 +55,7 @@ def read_csv(
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV files with a header row in folder ``path``, one per partition, no index column."""
-    df.write.mode(mode).options(header=True, quote='"', escape='"', encoding="UTF-8").csv(path)
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def write_table(
