@@ -21,7 +21,7 @@ from verseflux.operators.correlate import (
 )
 from verseflux.operators.describe import describe_features
 from verseflux.operators.keys import join_canonical
-from verseflux.operators.regression import regression_line
+from verseflux.operators.regression import bootstrap_band, regression_band, regression_line
 
 NAN = float("nan")
 
@@ -193,3 +193,20 @@ def test_quantiles_of_tiny_columns(spark):
         df = spark.createDataFrame([(v,) for v in values], "a double")
         r = describe_features(df, ["a"]).first()
         assert [r.q25, r.q50, r.q75] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])))
+
+
+def test_bootstrap_agrees_with_closed_form(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(1000.0, 1.0, 600)
+    y = 0.5 * x + rng.normal(size=600)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [(600, None, 1.0), (601, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    exact = {r.point: r for r in regression_band(df, "y", ["x"], points=11).collect()}
+    drawn = bootstrap_band(df, "id", "y", ["x"], resamples=800, points=11)
+    first, again = ({r.point: r for r in d.collect()} for d in (drawn, drawn.repartition(3)))
+    for point, e in exact.items():
+        d = first[point]
+        assert d.fit == pytest.approx(e.fit) and d.x == pytest.approx(e.x)
+        assert d.low < e.fit < d.high
+        assert d.high - d.low == pytest.approx(e.high - e.low, rel=0.2)
+        assert again[point].low == pytest.approx(d.low)
