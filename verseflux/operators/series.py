@@ -22,32 +22,23 @@ def index_series(
     ``levels`` are coarse-to-fine truncations of the order (say day, then minute of ``ts``).
     Rows are counted per finest level; a sample's number is the count before its coarsest
     level, plus the count before each finer level inside it, plus its place in its own level.
-    So the largest sorted group is one signal within one finest level.
+    So the largest sorted group is one signal within one finest level. The table is scanned
+    twice, once for the counts. Rows without a signal or a level have no place and are left
+    out.
     """
     names = [f"_l{i}" for i in range(len(levels))]
     order = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)]
+    finest = ["signal_id", *names]
+    # The filters that the joins below would infer, each on its own branch, are stated here for
+    # all branches, so that the counts are one shared shuffle.
     rows = df.select(
         F.col(signal_col).alias("signal_id"),
         *order,
         F.col(value_col).cast("double").alias("x"),
         *[level.alias(name) for level, name in zip(levels, names, strict=True)],
-    )
-    finest = ["signal_id", *names]
+    ).where(" AND ".join(f"{k} IS NOT NULL" for k in finest))
     counts = rows.groupBy(*finest).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.groupBy("signal_id").agg(F.sum("_n").alias("n"))
-    starts = counts
-    for depth in range(len(names), 0, -1):
-        group, level = ["signal_id", *names[: depth - 1]], names[depth - 1]
-        sums = counts.groupBy(*group, level).agg(F.sum("_n").alias("_m"))
-        before = Window.partitionBy(*group).orderBy(level).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        sums = sums.select(
-            *group, level, F.coalesce(F.sum("_m").over(before), F.lit(0)).alias(f"_s{depth}")
-        )
-        starts = starts.join(sums, [*group, level])
-    start = sum((F.col(f"_s{d}") for d in range(1, len(names) + 1)), F.lit(0))
-    starts = starts.select(*finest, start.alias("_start")).join(totals, "signal_id")
+    starts = _starts(counts, finest)
     place = F.row_number().over(
         Window.partitionBy(*finest).orderBy(*[f"_o{i}" for i in range(len(order))])
     )
@@ -58,6 +49,25 @@ def index_series(
     )
 
 
+def _starts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., _start, n)``: rows of the signal before each group, and rows of the signal."""
+    parent, level = keys[:-1], keys[-1]
+    whole = Window.partitionBy(*parent)
+    before = whole.orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+    here = counts.select(
+        *keys,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        *([F.sum("_n").over(whole).alias("n")] if len(parent) == 1 else []),
+    )
+    if len(parent) == 1:
+        return here
+    above = _starts(counts.groupBy(*parent).agg(F.sum("_n").alias("_n")), parent)
+    above = above.withColumnRenamed("_start", "_above")
+    return here.join(above, parent).select(
+        *keys, (F.col("_above") + F.col("_start")).alias("_start"), "n"
+    )
+
+
 def frame_rows(samples: DataFrame, frame: int, hop: int) -> DataFrame:
     """``(signal_id, frame, s, x)``: each sample once per full frame it lies in; ``s`` is its
     place in the frame. Frames of ``frame`` samples start every ``hop`` samples.
