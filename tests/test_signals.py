@@ -154,6 +154,25 @@ def test_filters():
     assert float(dsp.mel_to_hz(np.array(dsp.hz_to_mel(4321.0)))) == pytest.approx(4321.0)
 
 
+@pytest.mark.parametrize("semitones", [-0.42, -0.1, 0.0, 0.25])
+def test_tuning(semitones):
+    x = sum(tone(440.0 * 2 ** ((n + semitones) / 12), 2, volume=0.2) for n in (-5, 0, 3, 7))
+    assert abs(dsp.estimate_tuning(x, 2048, 512, RATE) - semitones) <= 0.08  # the parabola is not exact
+    assert dsp.estimate_tuning(np.zeros(RATE), 2048, 512, RATE) == 0.0
+    assert dsp.estimate_tuning(np.zeros(10), 2048, 512, RATE) == 0.0
+
+
+def test_tuning_is_used(spark):
+    low_c = {"x": tone(261.63 * 2 ** (-0.4 / 12), 2) + tone(523.25 * 2 ** (-0.4 / 12), 2)}
+    notes = {}
+    for tuning in (None, 0.0, -0.4):
+        framing = Framing(tuning=tuning)
+        spectra = spectral_chunks(chunk_arrays(arrays(spark, low_c), framing), framing)
+        notes[tuning] = signal_means(spectra).first().musical_note_strength
+    assert notes[None] == pytest.approx(notes[-0.4], abs=0.01)
+    assert notes[None] >= notes[0.0]
+
+
 @pytest.mark.parametrize("width", [1, 2, 3, 4])
 def test_wav_formats(width):
     x = tone(440, 0.1)
@@ -221,7 +240,7 @@ def test_decoding_equals_arrays(spark, media):
     x = dsp.decode_wav((media / "b" / "My_Song.wav").read_bytes())[1]
     given = chunk_arrays(arrays(spark, {"My_Song": x}), framing)
     got, want = (
-        {r.first_frame: (r.n_frames, r.samples) for r in d.collect()} for d in (decoded, given)
+        {r.first_frame: (r.n_frames, r.samples, r.tuning) for r in d.collect()} for d in (decoded, given)
     )
     assert got == want and decoded.first().duration == pytest.approx(1.0)
 
@@ -288,7 +307,7 @@ def test_series_frames(spark, frame, hop):
     assert means[0] == pytest.approx(np.mean([v for k, v in wanted.items() if k[0] == 0]))
     if frame > 1:
         for chunk in (1, 3, 100):
-            framing = Framing(rate=8.0, frame=frame, hop=hop, center=False, bands=2, chunk_frames=chunk)
+            framing = Framing(8.0, frame, hop, center=False, bands=2, chunk_frames=chunk, tuning=0.0)
             table = frame_table(spectral_chunks(chunk_series(samples, framing), framing)).collect()
             assert {(r.signal_id, r.frame) for r in table} == wanted.keys()
             assert all(r.rms == pytest.approx(wanted[r.signal_id, r.frame]) for r in table)
@@ -299,5 +318,6 @@ def test_framing_is_checked(spark):
         Framing(frame=4, hop=8)
     _, df = events(spark)
     samples = index_series(df, "u", ["t", "e"], "v", [F.expr("t div 1000")])
-    with pytest.raises(ValueError):
-        chunk_series(samples, Framing())
+    for bad in (Framing(), Framing(center=False)):
+        with pytest.raises(ValueError):
+            chunk_series(samples, bad)

@@ -26,6 +26,12 @@ CHROMA_OCTAVE = 5.0
 CHROMA_OCTAVE_WIDTH = 2.0
 
 
+# Which spectral peaks count for tuning, and its resolution.
+PEAK_SHARE = 0.1
+PEAK_BAND = (150.0, 4000.0)
+TUNING_STEPS = 100
+
+
 def hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(n) / n)
 
@@ -92,6 +98,47 @@ def frame_features(
     return rms, centroid, note, decibels
 
 
+def spectral_peaks(power: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and heights of the peaks of all frames, between bins by a parabola.
+
+    A peak stands out from its neighbours, reaches ``PEAK_SHARE`` of its frame's largest bin,
+    and lies in ``PEAK_BAND``.
+    """
+    hz_per_bin = rate / (2 * (power.shape[1] - 1))
+    strong = np.where(power > PEAK_SHARE * power.max(axis=1, keepdims=True), power, 0.0)
+    below, at, above = power[:, :-2], power[:, 1:-1], power[:, 2:]
+    slope, bend = (above - below) / 2.0, above + below - 2.0 * at
+    is_peak = (strong[:, 1:-1] > strong[:, :-2]) & (strong[:, 1:-1] >= strong[:, 2:])
+    hz = np.arange(1, power.shape[1] - 1) * hz_per_bin
+    is_peak &= (hz >= PEAK_BAND[0]) & (hz < PEAK_BAND[1])
+    frames, bins = np.nonzero(is_peak)
+    slope, bend, at = slope[frames, bins], bend[frames, bins], at[frames, bins]
+    inside = np.abs(slope) < np.abs(bend)
+    shift = np.where(inside, -slope / np.where(inside, bend, 1.0), 0.0)
+    return (bins + 1 + shift) * hz_per_bin, at + 0.5 * slope * shift
+
+
+def estimate_tuning(samples: np.ndarray, frame: int, hop: int, rate: float) -> float:
+    """Deviation from A440 in semitones (-0.5..0.5, steps of 0.01): the most frequent one among
+    the peaks that are at least as high as the median peak."""
+    window, pitches, heights = hann(frame), [], []
+    frames = cut_frames(samples, frame, hop)
+    for start in range(0, len(frames), 512):
+        power = np.abs(np.fft.rfft(frames[start : start + 512] * window, axis=1)) ** 2
+        hz, height = spectral_peaks(power, rate)
+        pitches.append(hz)
+        heights.append(height)
+    hz = np.concatenate(pitches) if pitches else np.empty(0)
+    if len(hz) == 0:
+        return 0.0
+    height = np.concatenate(heights)
+    semitones = CHROMA_BINS * np.log2(hz[height >= np.median(height)] / 27.5)
+    off = np.mod(semitones, 1.0)
+    off = np.where(off >= 0.5, off - 1.0, off)
+    counts, edges = np.histogram(off, np.linspace(-0.5, 0.5, TUNING_STEPS + 1))
+    return float(edges[np.argmax(counts)])
+
+
 def timbre_and_onset(decibels: np.ndarray, peak: float, lead: int) -> tuple[np.ndarray, np.ndarray]:
     """First cepstral coefficient and spectral flux of the frames after the ``lead`` ones,
     with decibels floored ``TOP_DB`` under the peak of the whole signal."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,11 @@ from verseflux.lineage import cut_lineage
 @dataclass(frozen=True)
 class Framing:
     """How signals are cut: sample rate, frame and hop in samples, zero padding by half a
-    frame on both ends (``center``), mel bands, and frames per chunk."""
+    frame on both ends (``center``), mel bands, and frames per chunk.
+
+    ``tuning`` is the deviation from A440 in semitones that the chroma filters assume; ``None``
+    estimates it for each signal.
+    """
 
     rate: float = 22050.0
     frame: int = 2048
@@ -31,6 +36,7 @@ class Framing:
     center: bool = True
     bands: int = 128
     chunk_frames: int = 512
+    tuning: float | None = None
 
     def __post_init__(self):
         if not 0 < self.hop <= self.frame:
@@ -63,19 +69,23 @@ class TempoSettings:
 def chunk_arrays(
     signals: DataFrame, framing: Framing, signal_col: str = "signal_id", samples_col: str = "samples"
 ) -> DataFrame:
-    """Signals given as array columns -> ``(signal_id, first_frame, n_frames, samples)``.
+    """Signals given as array columns -> ``(signal_id, first_frame, n_frames, samples)``, and
+    ``tuning`` if it is to be estimated.
 
     The samples start one frame early (a lead-in) except in the first chunk. Slicing of
     arrays in the JVM, no shuffle.
     """
     f = framing
+    extra = []
+    if f.tuning is None:
+        signals, extra = _with_tuning(signals.select(signal_col, samples_col), f), ["tuning"]
     x = F.col(samples_col).cast("array<float>")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), f.margin)
     padded = F.concat(zeros, x, zeros) if f.margin else x
     n = F.size(samples_col) + 2 * f.margin
     n_frames = F.greatest(F.lit(0), F.floor((n - f.frame) / f.hop) + 1)
     rows = signals.where(F.size(samples_col) > 0).select(
-        F.col(signal_col).alias("signal_id"), padded.alias("_x"), n_frames.alias("n_frames")
+        F.col(signal_col).alias("signal_id"), padded.alias("_x"), n_frames.alias("n_frames"), *extra
     )
     rows = rows.where("n_frames > 0").withColumn(
         "first_frame",
@@ -85,18 +95,37 @@ def chunk_arrays(
     start = ((F.col("first_frame") - lead) * f.hop + 1).cast("int")
     length = ((f.chunk_frames - 1 + lead) * f.hop + f.frame).cast("int")
     return rows.select(
-        "signal_id", "first_frame", "n_frames", F.slice("_x", start, length).alias("samples")
+        "signal_id", "first_frame", "n_frames", F.slice("_x", start, length).alias("samples"), *extra
     )
 
 
+def _with_tuning(signals: DataFrame, framing: Framing) -> DataFrame:
+    """Append ``tuning`` to ``(signal, samples)`` rows; a whole signal is one row here."""
+    f = framing
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for samples in batch.column(1):
+                x = np.pad(_as_matrix(samples), f.margin) if samples.is_valid else np.empty(0)
+                found.append(dsp.estimate_tuning(x, f.frame, f.hop, f.rate))
+            yield batch.append_column("tuning", pa.array(found, pa.float64()))
+
+    fields = [f"`{c}` {t}" for c, t in signals.dtypes]
+    return signals.mapInArrow(work, ", ".join([*fields, "tuning double"]))
+
+
 def chunk_series(samples: DataFrame, framing: Framing) -> DataFrame:
-    """Numbered sample rows (``index_series``) -> the same chunks, without centring.
+    """Numbered sample rows (``index_series``) -> the same chunks, without centring and with a
+    given tuning.
 
     A sample goes to the one or two chunks that need it; a group is one chunk.
     """
     f = framing
     if f.center:
         raise ValueError("series are framed without padding; use center=False")
+    if f.tuning is None:
+        raise ValueError("the tuning of a series is not estimated; give tuning=0.0")
     i, n = F.col("i"), F.col("n")
     n_frames = F.floor((n - f.frame) / f.hop) + 1
     # Chunk c > 0 covers the samples from (c * chunk_frames - 1) * hop on.
@@ -121,7 +150,7 @@ def decode_waveforms(files: DataFrame, framing: Framing) -> DataFrame:
     """Wav files ``(path, content)`` -> chunks, plus one row with ``error`` per bad file.
 
     Mono mix and resampling to ``framing.rate`` happen here. Columns: ``signal_id`` (base
-    name without extension), ``path``, ``duration``, chunk columns, ``error``.
+    name without extension), ``path``, ``duration``, chunk columns with ``tuning``, ``error``.
     """
     f = framing
 
@@ -133,19 +162,22 @@ def decode_waveforms(files: DataFrame, framing: Framing) -> DataFrame:
                     duration = len(x) / rate
                     x = dsp.resample(x, rate, int(f.rate))
                 except Exception as e:  # a bad file is a row, not a failed task
-                    yield _row(path, None, None, None, None, f"{type(e).__name__}: {e}")
+                    yield _row(path, None, None, None, None, None, f"{type(e).__name__}: {e}")
                     continue
                 x = np.pad(x, f.margin)
                 n_frames = f.frames(len(x) - 2 * f.margin)
                 if n_frames == 0:
-                    yield _row(path, duration, None, None, None, "no samples")
+                    yield _row(path, duration, None, None, None, None, "no samples")
+                tuning = f.tuning
+                if tuning is None:
+                    tuning = dsp.estimate_tuning(x, f.frame, f.hop, f.rate)
                 for first in range(0, n_frames, f.chunk_frames):
                     lead = 1 if first else 0
                     start = (first - lead) * f.hop
                     end = (first + f.chunk_frames - 1) * f.hop + f.frame
-                    yield _row(path, duration, first, n_frames, x[start:end], None)
+                    yield _row(path, duration, first, n_frames, x[start:end], tuning, None)
 
-    def _row(path, duration, first, n_frames, samples, error):
+    def _row(path, duration, first, n_frames, samples, tuning, error):
         samples = None if samples is None else samples.astype(np.float32)
         return pa.RecordBatch.from_pydict(
             {
@@ -154,13 +186,14 @@ def decode_waveforms(files: DataFrame, framing: Framing) -> DataFrame:
                 "first_frame": pa.array([first], pa.int64()),
                 "n_frames": pa.array([n_frames], pa.int64()),
                 "samples": pa.array([samples], pa.list_(pa.float32())),
+                "tuning": pa.array([tuning], pa.float64()),
                 "error": pa.array([error], pa.string()),
             }
         )
 
     schema = (
         "path string, duration double, first_frame long, n_frames long, "
-        "samples array<float>, error string"
+        "samples array<float>, tuning double, error string"
     )
     decoded = files.select("path", "content").mapInArrow(decode, schema)
     name = F.regexp_replace(base_name("path"), r"\.[^.]*$", "")
@@ -173,20 +206,33 @@ def _as_matrix(scalar: pa.ListScalar) -> np.ndarray:
 
 def spectral_chunks(chunks: DataFrame, framing: Framing) -> DataFrame:
     """Per chunk, arrays with one entry per frame: ``rms``, ``centroid``, ``note``; the mel
-    decibels ``mel`` (row by row, lead-in frame first); and their largest value ``peak``."""
+    decibels ``mel`` (row by row, lead-in frame first); and their largest value ``peak``.
+
+    The tuning is that of the chunk's row, else that of ``framing``.
+    """
     f = framing
+    if "tuning" not in chunks.columns:
+        chunks = chunks.withColumn("tuning", F.lit(float(f.tuning or 0.0)))
     id_type = chunks.schema["signal_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window = dsp.hann(f.frame)
         mel = dsp.mel_weights(f.rate, f.frame, f.bands)
-        chroma = dsp.chroma_weights(f.rate, f.frame)
+        # At most one matrix per step of the tuning.
+        chroma = lru_cache(maxsize=None)(lambda tuning: dsp.chroma_weights(f.rate, f.frame, tuning))
         for batch in batches:
             columns: dict[str, list] = {c: [] for c in ("rms", "centroid", "note", "mel", "peak")}
-            for first, samples in zip(batch.column("first_frame").to_pylist(), batch.column("samples"), strict=True):
+            for first, samples, tuning in zip(
+                batch.column("first_frame").to_pylist(),
+                batch.column("samples"),
+                batch.column("tuning").to_pylist(),
+                strict=True,
+            ):
                 lead = 1 if first else 0
                 frames = dsp.cut_frames(_as_matrix(samples), f.frame, f.hop)
-                rms, centroid, note, decibels = dsp.frame_features(frames, f.rate, window, mel, chroma)
+                rms, centroid, note, decibels = dsp.frame_features(
+                    frames, f.rate, window, mel, chroma(tuning)
+                )
                 columns["rms"].append(rms[lead:])
                 columns["centroid"].append(centroid[lead:])
                 columns["note"].append(note[lead:])
@@ -198,7 +244,7 @@ def spectral_chunks(chunks: DataFrame, framing: Framing) -> DataFrame:
             arrays["peak"] = pa.array(columns["peak"], pa.float64())
             yield pa.RecordBatch.from_pydict(arrays)
 
-    return chunks.select("signal_id", "first_frame", "n_frames", "samples").mapInArrow(
+    return chunks.select("signal_id", "first_frame", "n_frames", "samples", "tuning").mapInArrow(
         work,
         f"signal_id {id_type}, first_frame long, n_frames long, rms array<double>, "
         "centroid array<double>, note array<double>, mel array<double>, peak double",

@@ -30,9 +30,13 @@ from verseflux.operators.signal import (
 from verseflux.queries.registry import query, rounded, sql_rounded, table
 
 FRAME, HOP, RATE, BANDS = 8, 4, 8.0, 4
-FRAMING = Framing(rate=RATE, frame=FRAME, hop=HOP, center=False, bands=BANDS, chunk_frames=256)
+FRAMING = Framing(
+    rate=RATE, frame=FRAME, hop=HOP, center=False, bands=BANDS, chunk_frames=256, tuning=0.0
+)
 TEMPO = TempoSettings(window=8, start_bpm=40.0, max_bpm=320.0, chunk_frames=256)
-ARRAY_FRAMING = Framing(rate=64.0, frame=16, hop=4, center=True, bands=8, chunk_frames=256)
+ARRAY_FRAMING = Framing(
+    rate=64.0, frame=16, hop=4, center=True, bands=8, chunk_frames=256, tuning=0.0
+)
 ARRAY_TEMPO = TempoSettings(window=8, start_bpm=240.0, max_bpm=1000.0, chunk_frames=256)
 
 
