@@ -122,8 +122,13 @@ def test_tempo_against_plain_loops(spark, window):
     framing = Framing(rate=1000.0, frame=64, hop=16, bands=8, chunk_frames=9)
     settings = TempoSettings(window=window, start_bpm=300.0, max_bpm=2000.0, chunk_frames=11)
     signals = {f"s{i}": rng.normal(size=400 + 300 * i) * (rng.random(400 + 300 * i) > 0.8) for i in range(5)}
-    spectra = spectral_chunks(chunk_arrays(arrays(spark, signals), framing), framing)
-    envelope = onset_envelope(timbre_chunks(spectra, signal_means(spectra), framing), framing).cache()
+    chunks = chunk_arrays(arrays(spark, signals), framing)
+    envelope = onset_envelope(spectral_chunks(chunks, framing), framing).cache()
+    # Chunks that do not know the peak of their signal lead to the same values.
+    spectra = spectral_chunks(chunks.drop("peak"), framing)
+    joined = onset_envelope(timbre_chunks(spectra, signal_means(spectra), framing), framing)
+    a, b = ({(r.signal_id, r.frame): r.onset for r in d.collect()} for d in (envelope, joined))
+    assert a.keys() == b.keys() and all(b[k] == pytest.approx(v, abs=1e-9) for k, v in a.items())
     found = {r.signal_id: r.tempo for r in tempo(envelope, framing, settings).collect()}
     for name in signals:
         rows = envelope.where(F.col("signal_id") == name).collect()
@@ -157,9 +162,12 @@ def test_filters():
 @pytest.mark.parametrize("semitones", [-0.42, -0.1, 0.0, 0.25])
 def test_tuning(semitones):
     x = sum(tone(440.0 * 2 ** ((n + semitones) / 12), 2, volume=0.2) for n in (-5, 0, 3, 7))
-    assert abs(dsp.estimate_tuning(x, 2048, 512, RATE) - semitones) <= 0.08  # the parabola is not exact
-    assert dsp.estimate_tuning(np.zeros(RATE), 2048, 512, RATE) == 0.0
-    assert dsp.estimate_tuning(np.zeros(10), 2048, 512, RATE) == 0.0
+    mel = dsp.mel_weights(RATE, 2048, 128)
+    tuning, peak = dsp.profile(x, 2048, 512, RATE, mel, None)
+    assert abs(tuning - semitones) <= 0.08  # the parabola is not exact
+    assert dsp.profile(x, 2048, 512, RATE, mel, 0.3) == (0.3, peak)
+    for nothing in (np.zeros(RATE), np.zeros(10)):
+        assert dsp.profile(nothing, 2048, 512, RATE, mel, None) == (0.0, -100.0)
 
 
 def test_tuning_is_used(spark):
@@ -221,7 +229,9 @@ def test_manifest_swaps_only_the_last_extension(spark):
     assert [(r.target_path, r.target_dir) for r in rows] == [("out/x.mp3/y.mp3.wav", "out/x.mp3")]
 
 
-def test_features_per_title(spark, media):
+@pytest.mark.parametrize("many", [0, 1000])
+def test_features_per_title(spark, media, many, monkeypatch):
+    monkeypatch.setattr("verseflux.plans.signals.MANY_PATHS", many)
     titles = spark.createDataFrame([("My Song",), ("My Song",), ("Broken",), ("other",), ("Gone",)], "title string")
     report = extract_signal_features(spark, titles, str(media), Framing(chunk_frames=16))
     rows = report.features.collect()
@@ -240,7 +250,8 @@ def test_decoding_equals_arrays(spark, media):
     x = dsp.decode_wav((media / "b" / "My_Song.wav").read_bytes())[1]
     given = chunk_arrays(arrays(spark, {"My_Song": x}), framing)
     got, want = (
-        {r.first_frame: (r.n_frames, r.samples, r.tuning) for r in d.collect()} for d in (decoded, given)
+        {r.first_frame: (r.n_frames, r.samples, r.tuning, r.peak) for r in d.collect()}
+        for d in (decoded, given)
     )
     assert got == want and decoded.first().duration == pytest.approx(1.0)
 

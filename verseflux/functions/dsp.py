@@ -118,20 +118,11 @@ def spectral_peaks(power: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarr
     return (bins + 1 + shift) * hz_per_bin, at + 0.5 * slope * shift
 
 
-def estimate_tuning(samples: np.ndarray, frame: int, hop: int, rate: float) -> float:
+def estimate_tuning(hz: np.ndarray, height: np.ndarray) -> float:
     """Deviation from A440 in semitones (-0.5..0.5, steps of 0.01): the most frequent one among
     the peaks that are at least as high as the median peak."""
-    window, pitches, heights = hann(frame), [], []
-    frames = cut_frames(samples, frame, hop)
-    for start in range(0, len(frames), 512):
-        power = np.abs(np.fft.rfft(frames[start : start + 512] * window, axis=1)) ** 2
-        hz, height = spectral_peaks(power, rate)
-        pitches.append(hz)
-        heights.append(height)
-    hz = np.concatenate(pitches) if pitches else np.empty(0)
     if len(hz) == 0:
         return 0.0
-    height = np.concatenate(heights)
     semitones = CHROMA_BINS * np.log2(hz[height >= np.median(height)] / 27.5)
     off = np.mod(semitones, 1.0)
     off = np.where(off >= 0.5, off - 1.0, off)
@@ -139,6 +130,23 @@ def estimate_tuning(samples: np.ndarray, frame: int, hop: int, rate: float) -> f
     return float(edges[np.argmax(counts)])
 
 
+def profile(
+    samples: np.ndarray, frame: int, hop: int, rate: float, mel: np.ndarray, tuning: float | None
+) -> tuple[float, float]:
+    """What later steps must know of a whole signal: its tuning, estimated unless given, and
+    its largest mel decibel. Works through blocks of frames."""
+    window, peaks, top = hann(frame), [(np.empty(0), np.empty(0))], 0.0
+    frames = cut_frames(samples, frame, hop)
+    for start in range(0, len(frames), 512):
+        power = np.abs(np.fft.rfft(frames[start : start + 512] * window, axis=1)) ** 2
+        top = max(top, float((power @ mel.T).max()))
+        if tuning is None:
+            peaks.append(spectral_peaks(power, rate))
+    if tuning is None:
+        tuning = estimate_tuning(*(np.concatenate(parts) for parts in zip(*peaks, strict=True)))
+    return tuning, 10.0 * math.log10(max(POWER_FLOOR, top))
+
+
 def timbre_and_onset(decibels: np.ndarray, peak: float, lead: int) -> tuple[np.ndarray, np.ndarray]:
     """First cepstral coefficient and spectral flux of the frames after the ``lead`` ones,
     with decibels floored ``TOP_DB`` under the peak of the whole signal."""

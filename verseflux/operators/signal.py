@@ -69,23 +69,22 @@ class TempoSettings:
 def chunk_arrays(
     signals: DataFrame, framing: Framing, signal_col: str = "signal_id", samples_col: str = "samples"
 ) -> DataFrame:
-    """Signals given as array columns -> ``(signal_id, first_frame, n_frames, samples)``, and
-    ``tuning`` if it is to be estimated.
+    """Signals given as array columns -> ``(signal_id, first_frame, n_frames, samples, tuning,
+    peak)``.
 
-    The samples start one frame early (a lead-in) except in the first chunk. Slicing of
-    arrays in the JVM, no shuffle.
+    The samples start one frame early (a lead-in) except in the first chunk. No shuffle: a whole
+    signal is one row here, so what concerns all of it (``tuning``, ``peak``) is found in the
+    row and travels with its chunks.
     """
     f = framing
-    extra = []
-    if f.tuning is None:
-        signals, extra = _with_tuning(signals.select(signal_col, samples_col), f), ["tuning"]
+    signals = _profiled(signals.select(signal_col, samples_col), f)
     x = F.col(samples_col).cast("array<float>")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), f.margin)
     padded = F.concat(zeros, x, zeros) if f.margin else x
     n = F.size(samples_col) + 2 * f.margin
     n_frames = F.greatest(F.lit(0), F.floor((n - f.frame) / f.hop) + 1)
     rows = signals.where(F.size(samples_col) > 0).select(
-        F.col(signal_col).alias("signal_id"), padded.alias("_x"), n_frames.alias("n_frames"), *extra
+        F.col(signal_col).alias("signal_id"), padded.alias("_x"), n_frames.alias("n_frames"), "tuning", "peak"
     )
     rows = rows.where("n_frames > 0").withColumn(
         "first_frame",
@@ -95,24 +94,32 @@ def chunk_arrays(
     start = ((F.col("first_frame") - lead) * f.hop + 1).cast("int")
     length = ((f.chunk_frames - 1 + lead) * f.hop + f.frame).cast("int")
     return rows.select(
-        "signal_id", "first_frame", "n_frames", F.slice("_x", start, length).alias("samples"), *extra
+        "signal_id",
+        "first_frame",
+        "n_frames",
+        F.slice("_x", start, length).alias("samples"),
+        "tuning",
+        "peak",
     )
 
 
-def _with_tuning(signals: DataFrame, framing: Framing) -> DataFrame:
-    """Append ``tuning`` to ``(signal, samples)`` rows; a whole signal is one row here."""
+def _profiled(signals: DataFrame, framing: Framing) -> DataFrame:
+    """Append ``tuning`` and ``peak`` to ``(signal, samples)`` rows."""
     f = framing
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mel = dsp.mel_weights(f.rate, f.frame, f.bands)
         for batch in batches:
             found = []
             for samples in batch.column(1):
                 x = np.pad(_as_matrix(samples), f.margin) if samples.is_valid else np.empty(0)
-                found.append(dsp.estimate_tuning(x, f.frame, f.hop, f.rate))
-            yield batch.append_column("tuning", pa.array(found, pa.float64()))
+                found.append(dsp.profile(x, f.frame, f.hop, f.rate, mel, f.tuning))
+            for i, name in enumerate(("tuning", "peak")):
+                batch = batch.append_column(name, pa.array([v[i] for v in found], pa.float64()))
+            yield batch
 
     fields = [f"`{c}` {t}" for c, t in signals.dtypes]
-    return signals.mapInArrow(work, ", ".join([*fields, "tuning double"]))
+    return signals.mapInArrow(work, ", ".join([*fields, "tuning double", "peak double"]))
 
 
 def chunk_series(samples: DataFrame, framing: Framing) -> DataFrame:
@@ -150,11 +157,12 @@ def decode_waveforms(files: DataFrame, framing: Framing) -> DataFrame:
     """Wav files ``(path, content)`` -> chunks, plus one row with ``error`` per bad file.
 
     Mono mix and resampling to ``framing.rate`` happen here. Columns: ``signal_id`` (base
-    name without extension), ``path``, ``duration``, chunk columns with ``tuning``, ``error``.
+    name without extension), ``path``, ``duration``, the chunk columns, ``error``.
     """
     f = framing
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mel = dsp.mel_weights(f.rate, f.frame, f.bands)
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
@@ -162,22 +170,20 @@ def decode_waveforms(files: DataFrame, framing: Framing) -> DataFrame:
                     duration = len(x) / rate
                     x = dsp.resample(x, rate, int(f.rate))
                 except Exception as e:  # a bad file is a row, not a failed task
-                    yield _row(path, None, None, None, None, None, f"{type(e).__name__}: {e}")
+                    yield _row(path, error=f"{type(e).__name__}: {e}")
                     continue
                 x = np.pad(x, f.margin)
                 n_frames = f.frames(len(x) - 2 * f.margin)
                 if n_frames == 0:
-                    yield _row(path, duration, None, None, None, None, "no samples")
-                tuning = f.tuning
-                if tuning is None:
-                    tuning = dsp.estimate_tuning(x, f.frame, f.hop, f.rate)
+                    yield _row(path, duration, error="no samples")
+                tuning, peak = dsp.profile(x, f.frame, f.hop, f.rate, mel, f.tuning)
                 for first in range(0, n_frames, f.chunk_frames):
                     lead = 1 if first else 0
                     start = (first - lead) * f.hop
                     end = (first + f.chunk_frames - 1) * f.hop + f.frame
-                    yield _row(path, duration, first, n_frames, x[start:end], tuning, None)
+                    yield _row(path, duration, first, n_frames, x[start:end], tuning, peak)
 
-    def _row(path, duration, first, n_frames, samples, tuning, error):
+    def _row(path, duration=None, first=None, n_frames=None, samples=None, tuning=None, peak=None, error=None):
         samples = None if samples is None else samples.astype(np.float32)
         return pa.RecordBatch.from_pydict(
             {
@@ -187,13 +193,14 @@ def decode_waveforms(files: DataFrame, framing: Framing) -> DataFrame:
                 "n_frames": pa.array([n_frames], pa.int64()),
                 "samples": pa.array([samples], pa.list_(pa.float32())),
                 "tuning": pa.array([tuning], pa.float64()),
+                "peak": pa.array([peak], pa.float64()),
                 "error": pa.array([error], pa.string()),
             }
         )
 
     schema = (
         "path string, duration double, first_frame long, n_frames long, "
-        "samples array<float>, tuning double, error string"
+        "samples array<float>, tuning double, peak double, error string"
     )
     decoded = files.select("path", "content").mapInArrow(decode, schema)
     name = F.regexp_replace(base_name("path"), r"\.[^.]*$", "")
@@ -205,15 +212,21 @@ def _as_matrix(scalar: pa.ListScalar) -> np.ndarray:
 
 
 def spectral_chunks(chunks: DataFrame, framing: Framing) -> DataFrame:
-    """Per chunk, arrays with one entry per frame: ``rms``, ``centroid``, ``note``; the mel
-    decibels ``mel`` (row by row, lead-in frame first); and their largest value ``peak``.
+    """Per chunk, arrays with one entry per frame: ``rms``, ``centroid``, ``note`` and, where the
+    chunks carry the ``peak`` of their signal, ``timbre`` and ``onset``.
 
-    The tuning is that of the chunk's row, else that of ``framing``.
+    Without it, instead: the mel decibels ``mel`` (row by row, lead-in frame first) and their
+    largest value ``peak``, for ``timbre_chunks``. The tuning is that of the chunk's row, else
+    that of ``framing``.
     """
     f = framing
+    whole = "peak" in chunks.columns
     if "tuning" not in chunks.columns:
         chunks = chunks.withColumn("tuning", F.lit(float(f.tuning or 0.0)))
+    if not whole:
+        chunks = chunks.withColumn("peak", F.lit(None).cast("double"))
     id_type = chunks.schema["signal_id"].dataType.simpleString()
+    arrays = ["rms", "centroid", "note", *(["timbre", "onset"] if whole else ["mel"])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window = dsp.hann(f.frame)
@@ -221,11 +234,12 @@ def spectral_chunks(chunks: DataFrame, framing: Framing) -> DataFrame:
         # At most one matrix per step of the tuning.
         chroma = lru_cache(maxsize=None)(lambda tuning: dsp.chroma_weights(f.rate, f.frame, tuning))
         for batch in batches:
-            columns: dict[str, list] = {c: [] for c in ("rms", "centroid", "note", "mel", "peak")}
-            for first, samples, tuning in zip(
+            out: dict[str, list] = {c: [] for c in (*arrays, "peak")}
+            for first, samples, tuning, peak in zip(
                 batch.column("first_frame").to_pylist(),
                 batch.column("samples"),
                 batch.column("tuning").to_pylist(),
+                batch.column("peak").to_pylist(),
                 strict=True,
             ):
                 lead = 1 if first else 0
@@ -233,21 +247,24 @@ def spectral_chunks(chunks: DataFrame, framing: Framing) -> DataFrame:
                 rms, centroid, note, decibels = dsp.frame_features(
                     frames, f.rate, window, mel, chroma(tuning)
                 )
-                columns["rms"].append(rms[lead:])
-                columns["centroid"].append(centroid[lead:])
-                columns["note"].append(note[lead:])
-                columns["mel"].append(decibels.ravel())
-                columns["peak"].append(float(decibels.max()))
-            arrays = {c: batch.column(c) for c in ("signal_id", "first_frame", "n_frames")}
-            for c in ("rms", "centroid", "note", "mel"):
-                arrays[c] = pa.array(columns[c], pa.list_(pa.float64()))
-            arrays["peak"] = pa.array(columns["peak"], pa.float64())
-            yield pa.RecordBatch.from_pydict(arrays)
-
-    return chunks.select("signal_id", "first_frame", "n_frames", "samples", "tuning").mapInArrow(
-        work,
-        f"signal_id {id_type}, first_frame long, n_frames long, rms array<double>, "
-        "centroid array<double>, note array<double>, mel array<double>, peak double",
+                found = [rms[lead:], centroid[lead:], note[lead:]]
+                if whole:
+                    found += dsp.timbre_and_onset(decibels, peak, lead)
+                else:
+                    found += [decibels.ravel()]
+                for name, values in zip(arrays, found, strict=True):
+                    out[name].append(values)
+                out["peak"].append(float(decibels.max()))
+            columns = {c: batch.column(c) for c in ("signal_id", "first_frame", "n_frames")}
+            for c in arrays:
+                columns[c] = pa.array(out[c], pa.list_(pa.float64()))
+            columns["peak"] = pa.array(out["peak"], pa.float64())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    given = ["signal_id", "first_frame", "n_frames", "samples", "tuning", "peak"]
+    fields = ", ".join(f"{c} array<double>" for c in arrays)
+    return chunks.select(*given).mapInArrow(
+        work, f"signal_id {id_type}, first_frame long, n_frames long, {fields}, peak double"
     )
 
 
@@ -442,12 +459,16 @@ def signal_features(
     """``(signal_id, tempo, vocal_tone_quality, sound_brightness, musical_note_strength,
     sound_loudness)`` for signals given as chunks.
 
-    Spectra and what is derived from them feed several branches, so each is written once to
-    the checkpoint folder.
+    Chunks that carry the peak of their signal (files, arrays) take one narrow pass, and only a
+    few numbers per frame leave it. For others (series) the spectra are written, their peaks
+    aggregated and joined back. What several branches read is written once to the checkpoint
+    folder.
     """
     spectra = cut_lineage(spectral_chunks(chunks, framing))
     means = signal_means(spectra)
-    timbre = cut_lineage(timbre_chunks(spectra, means, framing))
+    timbre = spectra
+    if "timbre" not in spectra.columns:
+        timbre = cut_lineage(timbre_chunks(spectra, means, framing))
     beats = tempo(onset_envelope(timbre, framing), framing, settings, means)
     return (
         means.join(mean_timbre(timbre), "signal_id")
