@@ -125,7 +125,7 @@ def correlate_joined(
     both = cut_lineage(
         _moments(left, key, outcomes, "l_rows")
         .join(_moments(right, key, features, "r_rows"), key)
-        .withColumn("weight", F.expr("CAST(l_rows * r_rows AS DOUBLE)"))
+        .withColumn("weight", F.expr("CAST(l_rows AS DOUBLE) * r_rows"))
     )
     cells = ", ".join(
         f"'{c}', try_divide(sum(weight * `{c}`.mean), sum(weight))" for c in columns
