@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verseflux.llm.bpe import encode_decode
 from verseflux.llm.common import table
 from verseflux.llm.linededup import dedup_lines
+from verseflux.llm.records import new_folder, public_id, read_records, remove_folder, write_records
 from verseflux.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
+
+def tokenizer_path() -> str:
+    """The public byte-level BPE file that the token queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+
 SPACE_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 LINES_SQL = f"""
@@ -38,3 +49,23 @@ FROM judged GROUP BY doc_id
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op3_bpe_automaton")
+def op3_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    done = encode_decode(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path())
+    return done.select(
+        "doc_id",
+        F.expr("length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op6_token_records")
+def op6_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    files = new_folder(spark)
+    write_records(table(spark, folder, "documents"), files, tokenizer_path())
+    rows = read_records(spark, files)
+    remove_folder(spark, files)  # what was read is in a checkpoint
+    return rows.select(public_id("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
