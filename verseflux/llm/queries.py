@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verseflux.llm.bpe import encode_decode
 from verseflux.llm.common import table
 from verseflux.llm.linededup import dedup_lines
+from verseflux.llm.mixing import BLOCK_WORDS, mix_sizes
 from verseflux.llm.records import new_folder, public_id, read_records, remove_folder, write_records
 from verseflux.llm.registry import ORACLES, QUERIES, query
 
@@ -69,3 +70,76 @@ def op6_token_records(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_records(spark, files)
     remove_folder(spark, files)  # what was read is in a checkpoint
     return rows.select(public_id("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+WORD_SQL = "[^\\x20\\x09-\\x0D]+"
+MIX_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD_SQL}')), 0)::bigint AS size FROM documents
+), named AS (
+  SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no
+  FROM sized GROUP BY source
+), roomy AS (
+  SELECT *, no % 3 + 1 AS weight, 3 * source_size AS most, 3 * source_size / (no % 3 + 1) AS room FROM named
+), lefts AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY room, no
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_,
+         sum(weight) OVER (ORDER BY room, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_
+  FROM roomy
+), first_ AS (
+  SELECT room AS room_, no AS no_, left_ AS l, open_ AS o FROM lefts WHERE left_ <= room * open_ ORDER BY room, no LIMIT 1
+), aimed AS (
+  SELECT t.*, CASE WHEN (room, no) >= (room_, no_) THEN least(l::double * weight / o, most::double)
+                   ELSE most::double END AS target
+  FROM lefts t, first_
+), cut1 AS (
+  SELECT *, least(round(target)::bigint, most) AS words, (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks
+  FROM aimed
+), cut2 AS (
+  SELECT *, list_filter([1048573, 1048571, 1048559, 1048549], lambda p: blocks % p <> 0) AS fit,
+         CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS rounds,
+         source_size - (blocks - 1) * {BLOCK_WORDS} AS tail
+  FROM cut1
+), cut3 AS (
+  SELECT *, fit[(no % len(fit) + 1)::int] AS mul, (no * 7919 + 104729) % greatest(blocks, 1) AS add_,
+         words - rounds * source_size AS rest
+  FROM cut2
+), cut4 AS (
+  SELECT *, ((blocks - 1) * mul + add_) % greatest(blocks, 1) AS tail_at,
+         (rest + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS full_
+  FROM cut3
+), cut5 AS (
+  SELECT *, CASE WHEN rest <= 0 THEN 0 WHEN tail_at >= full_ THEN full_
+            ELSE (rest + 2 * {BLOCK_WORDS} - 1 - tail) // {BLOCK_WORDS} END AS rest_slots
+  FROM cut4
+), planned AS (
+  SELECT *, CASE WHEN rest > 0 THEN rest_slots * {BLOCK_WORDS}
+                 - CASE WHEN tail_at < rest_slots THEN {BLOCK_WORDS} - tail ELSE 0 END - rest ELSE 0 END AS cut
+  FROM cut5
+), placed AS (
+  SELECT d.doc_id, d.size, p.*,
+         coalesce(sum(d.size) OVER (PARTITION BY p.no ORDER BY d.doc_id % (2 * floor(sqrt(n.rows))::bigint + 1), d.doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start
+  FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source, (SELECT count(*) AS rows FROM sized) n
+), spread AS (
+  SELECT *, unnest(range(start // {BLOCK_WORDS}, (start + size - 1) // {BLOCK_WORDS} + 1)) AS block
+  FROM placed WHERE size > 0
+), met AS (
+  SELECT *, (block * mul + add_) % blocks AS index_, greatest(start - block * {BLOCK_WORDS}, 0) AS low,
+         least(start + size - block * {BLOCK_WORDS}, {BLOCK_WORDS}) AS high,
+         CASE WHEN block = blocks - 1 THEN tail ELSE {BLOCK_WORDS} END AS length
+  FROM spread
+), read_ AS (
+  SELECT doc_id, no, start, sum(rounds * (high - low)
+      + CASE WHEN index_ < rest_slots - 1 THEN high - low
+             WHEN index_ = rest_slots - 1 THEN greatest(least(high, length - cut) - low, 0) ELSE 0 END)::bigint AS taken
+  FROM met GROUP BY doc_id, no, start
+)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(r.taken, 0) AS taken
+FROM placed p LEFT JOIN read_ r ON p.doc_id = r.doc_id AND p.no = r.no AND p.start = r.start AND p.size > 0
+"""
+
+
+@query("op2_mix_sources", MIX_SQL)
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sizes(table(spark, folder, "documents"))
