@@ -9,6 +9,7 @@ from verseflux.llm.bpe import encode_decode
 from verseflux.llm.common import table
 from verseflux.llm.linededup import dedup_lines
 from verseflux.llm.mixing import BLOCK_WORDS, mix_sizes
+from verseflux.llm.quality import ERROR, GRID, RISK, RULES, TERMS, quality_filter
 from verseflux.llm.records import new_folder, public_id, read_records, remove_folder, write_records
 from verseflux.llm.registry import ORACLES, QUERIES, query
 
@@ -143,3 +144,79 @@ FROM placed p LEFT JOIN read_ r ON p.doc_id = r.doc_id AND p.no = r.no AND p.sta
 @query("op2_mix_sources", MIX_SQL)
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sizes(table(spark, folder, "documents"))
+
+
+def _quality_sql() -> str:
+    blank = SPACE_CHARS
+    log_fact = "lgamma({} + 1.0)"
+    tail = (
+        f"{log_fact.format('n')} - {log_fact.format('k')} - {log_fact.format('(n - k)')}"
+        f" + k * ln({RISK}::double) + (n - k) * ln(1 - {RISK}::double)"
+        f" + ln("
+        f"list_sum(list_transform(range(0, least(k, {TERMS}) + 1), lambda i: exp(lgamma(k + 1.0) - lgamma(k - i + 1.0)"
+        f" + lgamma(n - k + 1.0) - lgamma(n - k + i + 1.0) + i * ln((1 - {RISK}::double) / {RISK}::double)))))"
+    )
+    ratio = {
+        "symbols": "n_symbols::double / greatest(word_chars, 1)",
+        "dup_lines": "n_dup_lines::double / greatest(n_lines, 1)",
+        "repeats": "n_repeat_words::double / greatest(n_words, 1)",
+        "capitals": "capitals::double / greatest(word_chars, 1)",
+        "long_words": "word_chars::double / (greatest(n_words, 1) * 32)",
+    }
+    grid = "[" + ", ".join(f"{g!r}::double" for g in GRID) + "]"
+    rules = ", ".join(f"{ratio[r]} AS r_{r}" for r in RULES)
+    union = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, r_{r} AS value FROM good" for r in RULES)
+    cuts = ", ".join(f"min(cutoff) FILTER (rule = '{r}') AS c_{r}" for r in RULES)
+    rejects = " OR ".join(f"coalesce(r_{r} > c_{r}, false)" for r in RULES)
+    tests = f"({len(RULES) * len(GRID)} * (SELECT count(*) FROM sizes))"
+    return f"""
+WITH plain AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '{WORD_SQL}') AS w FROM plain)
+), wins AS (
+  SELECT doc_id, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS win
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), again AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) > 1 AS twice FROM wins WHERE win IS NOT NULL
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words
+  FROM again, (SELECT unnest([0, 1, 2]) AS d) WHERE twice GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(word))::bigint AS word_chars FROM words GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM plain)
+  WHERE trim(line, {blank}) <> '' GROUP BY doc_id
+), based AS (
+  SELECT doc_id, lang, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM plain LEFT JOIN counted USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+), rated AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {rules} FROM based
+), good AS (
+  SELECT * FROM rated WHERE NOT base_failed AND doc_id IN
+    (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)
+), sizes AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
+cells AS (
+  SELECT g.lang, rule, n, cutoff, count(*) FILTER (value > cutoff) AS k
+  FROM ({union}) g JOIN sizes s ON g.lang IS NOT DISTINCT FROM s.lang, (SELECT unnest({grid}) AS cutoff)
+  GROUP BY g.lang, rule, n, cutoff
+), cuts AS (
+  SELECT lang, {cuts} FROM cells WHERE k < n * {RISK}::double AND {tail} <= ln({ERROR}::double / {tests}) GROUP BY lang
+)
+SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({rejects}) AS kept
+FROM rated r LEFT JOIN cuts c ON r.lang IS NOT DISTINCT FROM c.lang
+"""
+
+
+@query("op7_quality_rules", _quality_sql())
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    done = quality_filter(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return done.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
