@@ -28,7 +28,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from verseflux.llm.chunks import PieceCoder, groups
+from verseflux.llm.chunks import PieceCoder, flattened, groups
 from verseflux.llm.common import add_arrow, without
 
 #: Fixed pattern of byte-level pre-tokenization.
@@ -168,12 +168,13 @@ class Codec:
         self.label_starts = np.cumsum(self.label_sizes) - self.label_sizes
         self.label_bytes = np.frombuffer(b"".join(table), np.uint8)
 
-    def _pieces(self, pieces: list[str]):
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         if len(self.automaton.arcs) > 4 * CACHE_WORDS:
             self.automaton.arcs.clear()
         words, encode = self.words, self.automaton.encode
+        found = []
         for piece in pieces:
             ids: list[int] = []
             for w in WORDS.findall(piece):
@@ -183,7 +184,8 @@ class Codec:
                     if len(w) < 64:
                         words[w] = own
                 ids += own
-            yield ids
+            found.append(ids)
+        return flattened(found)
 
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.label_sizes[ids]

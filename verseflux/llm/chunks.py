@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 #: Distinct pieces kept by a worker; beyond them the cache starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
 #: Bytes of text encoded at once.
 GROUP_CHARS = 2_000_000
 
@@ -47,11 +48,32 @@ class _Numbers(dict):
         return number
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All members in a row, and the lengths."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())), lengths
+
+
+def put_together(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members in a row and lengths of n lists, from parts of (their places, members, lengths)."""
+    lengths = np.zeros(n, np.int64)
+    for places, _, own in parts:
+        lengths[places] = own
+    starts = np.cumsum(lengths) - lengths
+    flat = np.zeros(int(lengths.sum()), np.int64)
+    for places, members, own in parts:
+        flat[np.repeat(starts[places] - (np.cumsum(own) - own), own) + np.arange(len(members))] = members
+    return flat, lengths
+
+
 class PieceCoder:
-    """``encode_pieces`` gets new pieces and returns their id lists; ``added`` maps the contents
-    of added tokens, which are cut out of a text before anything else, to their ids."""
+    """``encode_pieces`` gets new pieces and returns their ids in a row and the number of each;
+    ``added`` maps the contents of added tokens, which are cut out of a text before anything
+    else, to their ids."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[list[int]]], added: dict[str, int]):
+    def __init__(
+        self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int]
+    ):
         self.encode_pieces, self.added = encode_pieces, added
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.clear()
@@ -87,9 +109,9 @@ class PieceCoder:
             self.clear()
         pieces = [self._pieces(t) for t in texts]
         if self.fresh:
-            for ids in self.encode_pieces(self.fresh):
-                self.ids.extend(ids)
-                self.lengths.append(len(ids))
+            ids, lengths = self.encode_pieces(self.fresh)
+            self.ids.frombytes(ids.astype(np.uint32).tobytes())
+            self.lengths.frombytes(lengths.astype(np.int32).tobytes())
             self.fresh = []
         lengths = np.frombuffer(self.lengths, np.int32).astype(np.int64) if self.count else np.zeros(0, np.int64)
         starts = np.cumsum(lengths) - lengths

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from verseflux.lineage import checkpoint_dir, cut_lineage
 from verseflux.llm.bpe import ship_file
-from verseflux.llm.chunks import PieceCoder, groups
+from verseflux.llm.chunks import PieceCoder, flattened, groups, put_together
 from verseflux.llm.common import NO_ID, id_or_last
 
 FILE_BYTES = 32_000_000
@@ -86,24 +86,25 @@ class LibraryCoder(PieceCoder):
     def _alone(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, pieces: list[str]) -> Iterator[list[int]]:
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of a space and a spaceless rest are encoded in long rows: each begins with
         the only token of its ids that begins with a space."""
         plain = [p[0] == " " and len(p) > 1 and " " not in p[1:] and not p[1].isspace() for p in pieces]
-        odd = iter(self._alone([p for p, x in zip(pieces, plain, strict=True) if not x]))
-        rows = [p for p, x in zip(pieces, plain, strict=True) if x]
+        alone = np.flatnonzero(~np.array(plain))
+        rest = np.flatnonzero(plain)
+        parts = []
         step = 500
-        found: list[np.ndarray] = []
-        for i, ids in enumerate(self._alone(["".join(rows[k : k + step]) for k in range(0, len(rows), step)])):
+        joined = self._alone(["".join([pieces[i] for i in rest[k : k + step]]) for k in range(0, len(rest), step)])
+        for k, ids in enumerate(joined):
+            places = rest[k * step : (k + 1) * step]
             flat = np.array(ids, np.int64)
             cuts = np.flatnonzero(self.begins[flat])
-            if len(cuts) != len(rows[i * step : (i + 1) * step]):
-                found.extend(map(np.array, self._alone(rows[i * step : (i + 1) * step])))
+            if len(cuts) == len(places):
+                parts.append((places, flat, np.diff(np.r_[cuts, len(flat)])))
             else:
-                found.extend(np.split(flat, cuts[1:]))
-        even = iter(found)
-        for x in plain:
-            yield next(even).tolist() if x else next(odd)
+                alone = np.r_[alone, places]
+        parts.append((alone, *flattened(self._alone([pieces[i] for i in alone]))))
+        return put_together(parts, len(pieces))
 
 
 @lru_cache(maxsize=2)
