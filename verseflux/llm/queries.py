@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verseflux.llm.ann import nearest
 from verseflux.llm.bpe import encode_decode
 from verseflux.llm.common import table
 from verseflux.llm.linededup import dedup_lines
@@ -220,3 +221,22 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+NEAREST_SQL = """
+WITH usable AS (
+  SELECT vec_id, embedding::double[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+)
+SELECT q.vec_id AS query_id, row_number() OVER best AS rank, x.vec_id AS vec_id, list_inner_product(q.v, x.v) AS score
+FROM usable q JOIN usable x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id
+WINDOW best AS (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, x.v) DESC, x.vec_id)
+QUALIFY row_number() OVER best <= 20
+"""
+
+
+@query("op4_nearest_blocks", NEAREST_SQL)
+def op4_nearest_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
