@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verseflux.llm.ann import nearest
 from verseflux.llm.bpe import encode_decode
 from verseflux.llm.common import table
+from verseflux.llm.language import identify, learn_profiles
 from verseflux.llm.linededup import dedup_lines
 from verseflux.llm.mixing import BLOCK_WORDS, mix_sizes
 from verseflux.llm.quality import ERROR, GRID, RISK, RULES, TERMS, quality_filter
@@ -240,3 +241,15 @@ QUALIFY row_number() OVER best <= 20
 @query("op4_nearest_blocks", NEAREST_SQL)
 def op4_nearest_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"))
+
+
+def held_out(id_col: str, parts: int, part: int):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part
+
+
+@query("op10_language_profiles")
+def op10_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(held_out("doc_id", 4, 2), F.lit(False)))
+    profiles = learn_profiles(docs.where("NOT held_out"), "text", "lang")
+    return identify(docs.select("doc_id", "text", "held_out"), profiles).select("doc_id", "held_out", "lang_pred", "score")
