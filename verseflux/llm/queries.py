@@ -14,6 +14,7 @@ from verseflux.llm.mixing import BLOCK_WORDS, mix_sizes
 from verseflux.llm.quality import ERROR, GRID, RISK, RULES, TERMS, quality_filter
 from verseflux.llm.records import new_folder, public_id, read_records, remove_folder, write_records
 from verseflux.llm.registry import ORACLES, QUERIES, query
+from verseflux.llm.toxicity import labelled_sample, score_toxicity, train
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -253,3 +254,19 @@ def op10_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
     docs = docs.withColumn("held_out", F.coalesce(held_out("doc_id", 4, 2), F.lit(False)))
     profiles = learn_profiles(docs.where("NOT held_out"), "text", "lang")
     return identify(docs.select("doc_id", "text", "held_out"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op1_toxicity_cnn")
+def op1_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, folder, "labels").where(~held_out("doc_id", 5, 0))
+    net = train(labelled_sample(docs, labels, "doc_id", "text", "lang"))
+    scored = score_toxicity(docs, net)
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out("doc_id", 5, 0), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "cutoff",
+        "rejected",
+    )
