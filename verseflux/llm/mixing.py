@@ -94,6 +94,11 @@ def source_plan(sizes: DataFrame, block: int, weights: tuple[int, ...] = (1, 2,
     return s.select(*[F.col(n).cast("double" if n == "target" else "long").alias(n) if n != "source" else F.col(n) for n in names])
 
 
+def per_source(sources: DataFrame) -> DataFrame:
+    """The table of sources for a join on ``no``: broadcast if it is small, which is checked."""
+    return F.broadcast(sources) if sources.count() <= 10_000 else sources.hint("merge")
+
+
 def shard_slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """(no, number, shard): every slot of every source once, dealt to output shards."""
     spark = sources.sparkSession
@@ -119,7 +124,7 @@ def shard_slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     taken = numbered.select("no", "shard", F.explode(F.expr("sequence(start, start + n - 1)")).alias("number"))
     met = counts.groupBy("no").agg(F.sum("n").alias("met"))
     limits = sources.select("no", "slots").where("slots > 0")
-    taken = taken.join(limits, "no").where("number < slots").select("no", "number", "shard")
+    taken = taken.join(per_source(limits), "no").where("number < slots").select("no", "number", "shard")
     lacking = limits.join(met, "no", "left").withColumn("from", F.coalesce("met", F.lit(0).cast("long"))).where("slots > from")
     lacking = lacking.withColumn("run", F.explode(F.expr(f"sequence(0, (slots - from - 1) div {shard_slots})")))
     number = F.explode(F.expr(f"sequence(from + run * {shard_slots}, least(slots, from + (run + 1) * {shard_slots}) - 1)"))
@@ -147,7 +152,7 @@ def mix_pieces(
     rows = docs.count()
     sources = cut_lineage(source_plan(docs, block))
     places = 2 * math.isqrt(rows) + 1
-    docs = docs.join(F.broadcast(sources) if sources.count() < 10_000 else sources, docs["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    docs = docs.join(per_source(sources), docs["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     docs = docs.withColumn("part", F.pmod(F.col(key[0]), F.lit(places)))
     docs = _in_parts(docs, ["no"], "part", [*key, "size"], "size", "start")
     docs = cut_lineage(docs)
@@ -166,14 +171,15 @@ def mix_pieces(
     )
     slots = shard_slots(sources, slots_per_shard, seed)
     rounds = sources.select(F.col("no").alias("no"), F.col("blocks").alias("n_blocks"), F.col("slots").alias("n_slots"), F.col("cut").alias("n_cut"))
-    slots = slots.join(rounds, "no").select(
+    slots = slots.join(per_source(rounds), "no").select(
         "no",
         "shard",
         F.expr("number % n_blocks").alias("index"),
         F.expr("number div n_blocks").alias("round"),
         F.expr("if(number = n_slots - 1, n_cut, 0)").alias("cut"),
     )
-    pieces = spread.join(slots, ["no", "index"])
+    # Both sides grow with the input; their sizes before the rows are made say nothing.
+    pieces = spread.hint("merge").join(slots, ["no", "index"])
     words = F.expr("least(high, length - cut) - low")
     pieces = pieces.withColumn("words", words).where("words > 0")
     return docs, pieces.select("no", "start", "round", F.expr("shift + low").alias("first"), "words", "shard")
