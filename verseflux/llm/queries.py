@@ -11,6 +11,7 @@ from verseflux.llm.common import table
 from verseflux.llm.language import identify, learn_profiles
 from verseflux.llm.linededup import dedup_lines
 from verseflux.llm.mixing import BLOCK_WORDS, mix_sizes
+from verseflux.llm.nearcopies import near_copies
 from verseflux.llm.quality import ERROR, GRID, RISK, RULES, TERMS, quality_filter
 from verseflux.llm.records import new_folder, public_id, read_records, remove_folder, write_records
 from verseflux.llm.registry import ORACLES, QUERIES, query
@@ -270,3 +271,8 @@ def op1_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
         "cutoff",
         "rejected",
     )
+
+
+@query("op5_lsh_forest")
+def op5_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(table(spark, folder, "documents"), width=4)
