@@ -158,7 +158,8 @@ def repeats_to_drop(docs: DataFrame, bits: int, min_points: int) -> DataFrame:
 
     suspects = cut_lineage(docs.select("id", "text").mapInArrow(suspected, "id long, digest binary"))
     holders = suspects.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    repeated = holders.where("first < last").select(F.col("digest").alias("key"), "first")
+    # Written out, so that the join below deals both sides anew and hot digests can be split.
+    repeated = cut_lineage(holders.where("first < last").select(F.col("digest").alias("key"), "first"))
     lost = suspects.join(repeated, (F.col("digest") == F.col("key")) & (F.col("id") > F.col("first")))
     return lost.groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
