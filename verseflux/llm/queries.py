@@ -15,6 +15,7 @@ from verseflux.llm.nearcopies import near_copies
 from verseflux.llm.quality import ERROR, GRID, RISK, RULES, TERMS, quality_filter
 from verseflux.llm.records import new_folder, public_id, read_records, remove_folder, write_records
 from verseflux.llm.registry import ORACLES, QUERIES, query
+from verseflux.llm.substrings import cut_repeats
 from verseflux.llm.toxicity import labelled_sample, score_toxicity, train
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -276,3 +277,11 @@ def op1_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_lsh_forest")
 def op5_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"), width=4)
+
+
+@query("op9_repeated_bytes")
+def op9_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    done = cut_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")
+    )
