@@ -1,8 +1,85 @@
-"""Corpus pipeline (being assembled)."""
+"""Corpus pipeline: documents to tokens, in five stages.
 
+Every stage takes the rows that the one before kept and, but for the last, returns rows with
+the columns of ``documents``:
+
+1. toxicity: documents whose score reaches the cutoff of their language are gone;
+2. line dedup: lines that an earlier document holds are gone from the text;
+3. near copies (sets of five words, similarity of 0.8 or more): one document of each group stays;
+4. mixing: the words that each source gives to the mix, a row for every time it is read through;
+5. BPE: token ids of every text, and what they decode to, as digests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verseflux.lineage import cut_lineage
+from verseflux.llm.bpe import encode_decode
+from verseflux.llm.common import table
+from verseflux.llm.linededup import dedup_lines
+from verseflux.llm.mixing import mix_documents
+from verseflux.llm.nearcopies import drop_near_copies
+from verseflux.llm.queries import tokenizer_path
+from verseflux.llm.toxicity import labelled_sample, score_toxicity, train
+from verseflux.session import ship_package
+
+#: No SQL can express the trained classifier.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    net = train(labelled_sample(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "lang"))
+    scored = score_toxicity(docs.select(F.struct("*").alias("doc"), "text", "lang"), net)
+    return scored.where("NOT rejected").select("doc.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    done = dedup_lines(docs)
+    changed = F.col("n_dropped") > 0
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
+    chars = F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars"))
+    return done.withColumns({"text": text, "n_chars": chars.cast("long")}).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_documents(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    done = encode_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    return done.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.expr("length(ids) div 4").alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near copies", drop_copies),
+    ("mixing", mix),
+    ("bpe", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; what a stage keeps is written before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -210,3 +210,38 @@ def mix_sizes(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     return joined.select(
         id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
     )
+
+
+def mix_documents(
+    df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str | None = "n_chars"
+) -> DataFrame:
+    """The mix itself, in the columns of ``df``: a row for every document and round of its
+    source, with the words that the mix takes of it in this round, in their order and with the
+    white space after each; a text that is taken whole stays as it is. ``chars_col`` is counted
+    anew where the text changes.
+
+    Documents that take nothing are gone; sources, targets, nulls, ties and repeated rows are
+    treated as in ``mix_sizes``.
+    """
+    marked = df.withColumn("__key", id_or_last(id_col)).withColumn("__hash", F.xxhash64(text_col))
+    sized = marked.select("__key", "__hash", F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+    docs, pieces = mix_pieces(sized, ["__key", "__hash"])
+    taken = pieces.groupBy(F.col("no").alias("__no"), F.col("start").alias("__at"), "round").agg(
+        F.sort_array(F.collect_list(F.struct("first", "words"))).alias("__ranges"), F.sum("words").alias("__words")
+    )
+    some = docs.where("size > 0").select("no", "start", "size", F.col("__key").alias("__k"), F.col("__hash").alias("__h"))
+    copies = some.join(taken, (F.col("no") == F.col("__no")) & (F.col("start") == F.col("__at")))
+    copies = copies.select("__k", "__h", "size", "__ranges", "__words")
+    # Equal rows are taken from each on its own; one row with their text is enough to join.
+    marked = marked.dropDuplicates(["__key", "__hash"])
+    met = marked.join(copies, (F.col("__key") == F.col("__k")) & (F.col("__hash") == F.col("__h")))
+    words = f"regexp_extract_all(`{text_col}`, r'{WORD}[\\x20\\x09-\\x0D]*', 0)"
+    part = f"array_join(flatten(transform(__ranges, x -> slice({words}, CAST(x.first + 1 AS INT), CAST(x.words AS INT)))), '')"
+    whole = F.col("__words") == F.col("size")
+    met = met.withColumn("__text", F.when(whole, F.col(text_col)).otherwise(F.expr(part)))
+    out = [F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    if chars_col in df.columns:
+        kind = df.schema[chars_col].dataType
+        count = F.when(whole, F.col(chars_col)).otherwise(F.length("__text")).cast(kind)
+        out = [count.alias(c) if c == chars_col else x for c, x in zip(df.columns, out, strict=True)]
+    return met.select(*out)

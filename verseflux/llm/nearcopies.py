@@ -122,7 +122,7 @@ class MinHash:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``id``, ``n`` (size of the set), ``print`` (fingerprint), ``signature``; nulls if empty."""
+    """``id``, ``hash`` (of the text), ``n`` (size of the set), ``print`` (fingerprint), ``signature``; nulls if empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, minhash = Shingler(width), MinHash(TREES * DEPTH)
@@ -133,11 +133,12 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 prints.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signatures.append(minhash(s).astype(">u2").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())],
-                names=["id", "n", "print", "signature"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())],
+                names=["id", "hash", "n", "print", "signature"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, print binary, signature binary")
+    hashed = docs.select("id", "text", F.xxhash64("text").alias("hash"))
+    return hashed.mapInArrow(run, "id long, hash long, n long, print binary, signature binary")
 
 
 def labels(classes: DataFrame) -> DataFrame:
@@ -306,6 +307,34 @@ def near_copies(
     """
     docs = df.select(id_or_last(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = cut_lineage(sketches(docs, width))
+    out = _named(sketched, docs, width, percent, region, tile)
+    component = F.coalesce("component", "id")
+    return out.select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(component != NO_ID, component).alias("component_id"),
+        (component == F.col("id")).alias("kept"),
+    )
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``df`` without the rows that ``near_copies`` does not keep; of equal rows with one id one
+    stays."""
+    docs = df.select(id_or_last(id_col).alias("id"), F.col(text_col).alias("text"))
+    sketched = cut_lineage(sketches(docs, width))
+    out = _named(sketched, docs, width, percent, REGION, TILE)
+    gone = out.where(F.coalesce("component", "id") != F.col("id"))
+    gone = gone.select(F.col("id").alias("__id"), F.col("hash").alias("__h")).distinct()
+    marked = df.withColumn("__key", id_or_last(id_col)).withColumn("__hash", F.xxhash64(text_col))
+    repeated = sketched.groupBy("id", "hash").count().where("count > 1")
+    if not repeated.isEmpty():
+        marked = marked.dropDuplicates(["__key", "__hash"])
+    same = (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__h"))
+    return marked.join(gone.hint("shuffle_hash"), same, "left_anti").drop("__key", "__hash")
+
+
+def _named(sketched: DataFrame, docs: DataFrame, width: int, percent: int, region: int, tile: int) -> DataFrame:
+    """``sketched`` with ``component``: the smallest id of a class, or null without shingles."""
     some = sketched.where("n > 0")
     classes = some.groupBy("print").agg(F.min(F.struct("id", "n", "signature")).alias("first"))
     classes = cut_lineage(classes.select("print", "first.id", "first.n", "first.signature"))
@@ -316,11 +345,4 @@ def near_copies(
     joined = components(links).select(F.col("node").alias("id"), "component")
     named = classes.select("print", "id").join(joined, "id", "left")
     named = cut_lineage(named.select(F.col("print").alias("of"), F.coalesce("component", "id").alias("component")))
-    out = sketched.join(named, F.col("print") == F.col("of"), "left")
-    component = F.coalesce("component", "id")
-    return out.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(component != NO_ID, component).alias("component_id"),
-        (component == F.col("id")).alias("kept"),
-    )
+    return sketched.join(named, F.col("print") == F.col("of"), "left")
