@@ -231,13 +231,13 @@ def mix_documents(
     )
     some = docs.where("size > 0").select("no", "start", "size", F.col("__key").alias("__k"), F.col("__hash").alias("__h"))
     copies = some.join(taken, (F.col("no") == F.col("__no")) & (F.col("start") == F.col("__at")))
-    copies = copies.select("__k", "__h", "size", "__ranges", "__words")
+    copies = copies.select("__k", "__h", F.col("size").alias("__size"), "__ranges", "__words")
     # Equal rows are taken from each on its own; one row with their text is enough to join.
     marked = marked.dropDuplicates(["__key", "__hash"])
     met = marked.join(copies, (F.col("__key") == F.col("__k")) & (F.col("__hash") == F.col("__h")))
     words = f"regexp_extract_all(`{text_col}`, r'{WORD}[\\x20\\x09-\\x0D]*', 0)"
     part = f"array_join(flatten(transform(__ranges, x -> slice({words}, CAST(x.first + 1 AS INT), CAST(x.words AS INT)))), '')"
-    whole = F.col("__words") == F.col("size")
+    whole = F.col("__words") == F.col("__size")
     met = met.withColumn("__text", F.when(whole, F.col(text_col)).otherwise(F.expr(part)))
     out = [F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     if chars_col in df.columns:
