@@ -32,7 +32,7 @@ TREES = 24
 DEPTH = 4
 REGION = 256
 #: Shingles of a tile's side, at most (a longer text is a side of its own).
-TILE = 400_000
+TILE = 100_000
 #: Classes of sizes: each reaches 5 % beyond the one before.
 SIZE_STEP = 1.05
 _GROUP = 1_000_000
