@@ -229,9 +229,17 @@ def test_manifest_swaps_only_the_last_extension(spark):
     assert [(r.target_path, r.target_dir) for r in rows] == [("out/x.mp3/y.mp3.wav", "out/x.mp3")]
 
 
-@pytest.mark.parametrize("many", [0, 1000])
-def test_features_per_title(spark, media, many, monkeypatch):
-    monkeypatch.setattr("verseflux.plans.signals.MANY_PATHS", many)
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_features_per_title(spark, media, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        check_features_per_title(spark, media)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def check_features_per_title(spark, media):
     titles = spark.createDataFrame([("My Song",), ("My Song",), ("Broken",), ("other",), ("Gone",)], "title string")
     report = extract_signal_features(spark, titles, str(media), Framing(chunk_frames=16))
     rows = report.features.collect()
@@ -332,3 +340,14 @@ def test_framing_is_checked(spark):
     for bad in (Framing(), Framing(center=False)):
         with pytest.raises(ValueError):
             chunk_series(samples, bad)
+
+
+@pytest.mark.parametrize("n", [10, 100, 1000, 5000])
+def test_low_pass_at_any_length(n):
+    x = np.sin(2 * np.pi * 20_000 * np.arange(n) / 44_100).astype(np.float32)
+    y = dsp.resample(x, 44_100, 22_050)
+    assert len(y) == n // 2
+    # Only what is near the ends, where the filter reaches beyond the signal, is left.
+    assert np.sqrt(np.mean(y[len(y) // 4 : -len(y) // 4 or None] ** 2)) < 0.3
+    if n >= 1000:
+        assert np.sqrt(np.mean(y[100:-100] ** 2)) < 0.01

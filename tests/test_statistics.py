@@ -210,3 +210,16 @@ def test_bootstrap_agrees_with_closed_form(spark):
         assert d.low < e.fit < d.high
         assert d.high - d.low == pytest.approx(e.high - e.low, rel=0.2)
         assert again[point].low == pytest.approx(d.low)
+
+
+def test_published_p_values():
+    # Published r and p per feature, 95 rows.
+    published = [
+        (-0.00801852759549487, 0.9385268631168612),
+        (-0.0344469918720925, 0.7403412988307005),
+        (-0.05580523219288835, 0.5911706303540297),
+        (-0.07844829743643748, 0.4498513741924563),
+        (-0.1285979060679713, 0.21424078801962765),
+    ]
+    for r, p in published:
+        assert pearson_p_value(r, 95) == pytest.approx(p, rel=1e-12)

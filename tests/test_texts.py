@@ -18,6 +18,7 @@ from verseflux.operators.textprep import (
     count_tokens,
     drop_stopwords,
     lemma_table,
+    number_rows,
     lemmatize_arrays,
     stopword_table,
     stopwords,
@@ -207,15 +208,17 @@ def test_user_model(spark):
 
     df = spark.createDataFrame([(1, "y" * 600), (2, "bad"), (3, ""), (4, None), (5, "short")], "id long, x string")
     got = {r.id: (r.sentiment, r.sentiment_score) for r in score_text(df.coalesce(1), "x", UserModel(load)).collect()}
-    assert got == {1: ("POSITIVE", 0.9), 2: ("ERROR", 0.0), 3: ("UNKNOWN", 0.0), 4: ("UNKNOWN", 0.0), 5: ("NEGATIVE", 0.9)}
-    whole = UserModel(load, max_chars=None)
+    # 510 characters say POSITIVE, the other 90 say NEGATIVE.
+    assert got.pop(1) == ("POSITIVE", pytest.approx((510 * 0.9 + 90 * 0.1) / 600))
+    assert got == {2: ("ERROR", 0.0), 3: ("UNKNOWN", 0.0), 4: ("UNKNOWN", 0.0), 5: ("NEGATIVE", 0.9)}
+    whole = UserModel(load, window=None)
     assert score_text(df.where("id = 1"), "x", whole).first().sentiment == "NEGATIVE"
 
 
 def test_lexicon_is_learned(spark):
     rows = [(f"sunny happy word{i}", 1) for i in range(5)] + [(f"gloomy sad word{i}", 0) for i in range(5)]
     df = spark.createDataFrame(rows, "x string, y int")
-    lexicon = build_lexicon(df, "x", "y", 2)
+    lexicon = build_lexicon(df, "x", "y", 0.5)
     assert lexicon.positive == ("happy", "sunny") and lexicon.negative == ("gloomy", "sad")
     scored = lexicon(spark.createDataFrame([("happy happy",), ("sad",), ("neither",)], "x string"), "x").collect()
     assert [r.label for r in scored] == ["POSITIVE", "NEGATIVE", "POSITIVE"] and scored[2].score == 0.5
@@ -263,7 +266,7 @@ def test_csv_round_trip(spark, tmp_path):
     rows = [("A \"quoted\" title, with comma", "X", 2024, "human", "line one\nline \"two\"\n"), ("NA", "n/a", None, "AI", "null")]
     df = spark.createDataFrame(rows, SONGS)
     write_csv(df, str(tmp_path / "csv"))
-    back = {r.source: r for r in read_csv(spark, str(tmp_path / "csv"), SONGS).collect()}
+    back = {r.source: r for r in read_csv(spark, str(tmp_path / "csv"), SONGS, multi_line=True).collect()}
     assert tuple(back["human"]) == rows[0]
     assert back["AI"].title is None and back["AI"].artist is None and back["AI"].lyrics is None
     write_table(df, str(tmp_path / "table"), partition_by=["year"])
@@ -280,3 +283,22 @@ def test_column_checks(spark):
     assert require_columns(df, ["id"]) is df
     with pytest.raises(ValueError, match="x"):
         require_columns(df, ["id", "x"])
+
+
+def test_bad_cells_are_listed(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("n,x\n1,a\nz,b\n,c\n")
+    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("x", T.StringType())])
+    rows = read_csv(spark, str(tmp_path), schema, bad_cells="bad").collect()
+    assert sorted((r.x, r.n, tuple(r.bad)) for r in rows) == [("a", 1, ()), ("b", None, ("n",)), ("c", None, ())]
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(5000).selectExpr("(id * 7919) % 5000 AS x", "cast(id % 3 AS string) AS y")
+    rows = number_rows(df, [F.desc("x"), F.asc("y")], "k").collect()
+    assert sorted((r.k, r.x) for r in rows) == [(k, 4999 - k) for k in range(5000)]
+
+
+def test_too_large_a_model_is_an_error(spark):
+    docs = spark.createDataFrame([(["a", "b"],)] * 6, "tokens array<string>")
+    with pytest.raises(ValueError, match="2 terms x 10 topics"):
+        fit_topics(docs, k=10, no_above=1.0, model_cells=19)

@@ -190,7 +190,8 @@ def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
         reach = math.ceil(reach / cut)
         t = np.arange(-reach, reach + 1)
         taps = cut * np.sinc(cut * t) * np.hanning(2 * reach + 3)[1:-1]
-        x = np.convolve(x, taps / taps.sum(), mode="same") if len(x) > len(taps) else x
+        # The middle of the full result: "same" would give the longer of both lengths.
+        x = np.convolve(x, taps / taps.sum(), mode="full")[reach : reach + len(x)]
     length = math.ceil(len(x) * target / rate)
     places = np.arange(length) * (rate / target)
     return np.interp(places, np.arange(len(x)), x).astype(np.float32)

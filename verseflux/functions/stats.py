@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,58 +60,70 @@ def single_valued(c: str) -> str:
     return f"coalesce(min(`{c}`) = max(`{c}`), false)"
 
 
-def _ln_beta_half(a: float) -> float:
+def _ln_beta_half(a: np.ndarray) -> np.ndarray:
     """ln B(a, 1/2), without the cancellation of lgamma differences for large a."""
-    if a < 50.0:
-        return math.lgamma(a) + math.lgamma(0.5) - math.lgamma(a + 0.5)
-    i = 1.0 / a
+    small = np.array([math.lgamma(x) + math.lgamma(0.5) - math.lgamma(x + 0.5) for x in np.minimum(a, 50.0)])
+    i = 1.0 / np.maximum(a, 50.0)
     ratio = 1.0 + i * (-1 / 8 + i * (1 / 128 + i * (5 / 1024 + i * (-21 / 32768 - i * 399 / 262144))))
-    return 0.5 * math.log(math.pi / a) - math.log(ratio)
+    return np.where(a < 50.0, small, 0.5 * np.log(math.pi * i) - np.log(ratio))
 
 
-def _beta_fraction(a: float, b: float, z: float) -> float:
-    """Continued fraction of the regularized incomplete beta function (modified Lentz)."""
+def _beta_fraction(a: np.ndarray, b: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Continued fraction of the regularized incomplete beta function (modified Lentz), until
+    it stands still in every row."""
     tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * z / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    total = d
+
+    def away(x: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(x) > tiny, x, tiny)
+
+    c, d = np.ones_like(z), 1.0 / away(1.0 - (a + b) * z / (a + 1.0))
+    total = d.copy()
     for m in range(1, 100_000):
         even = m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))
         for term in (even, odd):
-            d = 1.0 + term * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + term / c
-            c = c if abs(c) > tiny else tiny
+            d = 1.0 / away(1.0 + term * d)
+            c = away(1.0 + term / c)
             step = c * d
             total *= step
-        if abs(step - 1.0) < 1e-16:
+        if np.all(np.abs(step - 1.0) < 1e-16):
             break
     return total
 
 
-def pearson_p_value(r: float, n: float) -> float | None:
-    """Two-sided p of r under no correlation: I(1 - r^2; n/2 - 1, 1/2)."""
-    if r is None or n is None or math.isnan(r) or math.isnan(n) or n < 2:
+def pearson_p_values(r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-sided p of r under no correlation: I(1 - r^2; n/2 - 1, 1/2); NaN where undefined."""
+    r, n = np.asarray(r, float), np.asarray(n, float)
+    out = np.full(r.shape, np.nan)
+    known = ~(np.isnan(r) | np.isnan(n)) & (n >= 2)
+    out[known] = np.where(r[known] ** 2 >= 1.0, 0.0, 1.0)
+    out[known & (n == 2)] = 1.0
+    work = known & (n > 2) & (r * r > 0.0) & (r * r < 1.0)
+    if work.any():
+        a, r2 = n[work] / 2.0 - 1.0, r[work] ** 2
+        each, where = np.unique(a, return_inverse=True)
+        front = np.exp(a * np.log1p(-r2) + 0.5 * np.log(r2) - _ln_beta_half(each)[where])
+        half = np.full_like(a, 0.5)
+        near = 1.0 - r2 < (a + 1.0) / (a + 2.5)
+        first, second = np.where(near, a, half), np.where(near, half, a)
+        part = front * _beta_fraction(first, second, np.where(near, 1.0 - r2, r2)) / first
+        out[work] = np.where(near, part, 1.0 - part)
+    return out
+
+
+def pearson_p_value(r: float | None, n: float | None) -> float | None:
+    """The p-value of one coefficient; ``None`` where it is undefined."""
+    if r is None or n is None:
         return None
-    if n == 2:
-        return 1.0
-    a, r2 = n / 2.0 - 1.0, r * r
-    if r2 >= 1.0:
-        return 0.0
-    if r2 == 0.0:
-        return 1.0
-    front = math.exp(a * math.log1p(-r2) + 0.5 * math.log(r2) - _ln_beta_half(a))
-    if 1.0 - r2 < (a + 1.0) / (a + 2.5):
-        return front * _beta_fraction(a, 0.5, 1.0 - r2) / a
-    return 1.0 - front * _beta_fraction(0.5, a, r2) / 0.5
+    p = float(pearson_p_values(np.array([r]), np.array([n]))[0])
+    return None if math.isnan(p) else p
 
 
 @F.pandas_udf(T.DoubleType())
 def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
-    """p-value for each row of a result table (a few rows per group and feature)."""
-    values = [pearson_p_value(float(a), float(b)) for a, b in zip(r, n)]
-    return pd.Series(values, dtype="float64")
+    """p-values of a batch of coefficients; undefined ones are null."""
+    p = pearson_p_values(r.to_numpy(float, na_value=np.nan), n.to_numpy(float, na_value=np.nan))
+    return pd.Series(p).astype("Float64").mask(np.isnan(p))
 
 
 def significance(p: Column | str) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verseflux.functions.once import explode_present
-from verseflux.functions.text import is_blank, truncate
+from verseflux.functions.text import is_blank
 from verseflux.operators.textprep import clean_tokens
 
 NEUTRAL_BELOW = 0.6
@@ -31,7 +31,7 @@ Scorer = Callable[[DataFrame, str], DataFrame]
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Two word lists of fixed size; scores by counting hits inside each row."""
+    """Two word lists; scores by counting hits inside each row."""
 
     positive: tuple[str, ...]
     negative: tuple[str, ...]
@@ -56,12 +56,18 @@ class Lexicon:
 
 
 def lexicon_terms(
-    labelled: DataFrame, text_col: str, label_col: str, size: int, stop: list[str] | None = None
+    labelled: DataFrame,
+    text_col: str,
+    label_col: str,
+    min_weight: float,
+    stop: list[str] | None = None,
 ) -> DataFrame:
-    """``(term, weight, side)``: the ``size`` terms most over-represented in either class.
+    """``(term, weight, side)``: the terms over-represented in either class by ``min_weight``.
 
     The weight is the share of documents with the term among label 1, minus that among
-    label 0; ties go by spelling. Only partial counts per term are shuffled.
+    label 0. Shares of a class add up to the mean number of distinct terms per document, so at
+    most that number / ``min_weight`` terms per class reach it, whatever the size of the corpus.
+    Only partial counts per term are shuffled.
     """
     docs = clean_tokens(labelled, text_col, stop)
     terms = F.concat(F.array(F.lit("")), F.array_distinct("tokens"))
@@ -85,20 +91,19 @@ def lexicon_terms(
         F.col("down"), totals.getField("down")
     )
     weighted = counts.where(~whole).withColumn("weight", weight).select("term", "weight")
-    up = weighted.where("weight > 0").orderBy(F.desc("weight"), "term").limit(size)
-    down = weighted.where("weight < 0").orderBy("weight", "term").limit(size)
-    return up.withColumn("side", F.lit("POSITIVE")).union(down.withColumn("side", F.lit("NEGATIVE")))
+    side = F.when(F.col("weight") > 0, "POSITIVE").otherwise("NEGATIVE")
+    return weighted.where(F.abs("weight") >= F.lit(float(min_weight))).withColumn("side", side)
 
 
 def build_lexicon(
     labelled: DataFrame,
     text_col: str,
     label_col: str,
-    size: int = 200,
+    min_weight: float = 0.02,
     stop: list[str] | None = None,
 ) -> Lexicon:
-    """Fit a :class:`Lexicon`; fetches at most ``2 * size`` words."""
-    rows = lexicon_terms(labelled, text_col, label_col, size, stop).collect()
+    """Fit a :class:`Lexicon`; the number of words is bounded as ``lexicon_terms`` says."""
+    rows = lexicon_terms(labelled, text_col, label_col, min_weight, stop).collect()
     words = {s: tuple(sorted(r.term for r in rows if r.side == s)) for s in ("POSITIVE", "NEGATIVE")}
     return Lexicon(words["POSITIVE"], words["NEGATIVE"], tuple(stop) if stop is not None else None)
 
@@ -162,22 +167,26 @@ class UserModel:
 
     ``load`` returns a function from a list of texts to a list of ``(label, confidence)``. If a
     batch fails it is retried text by text, and texts that fail alone get a null label.
-    ``max_chars`` is the model's input window; ``None`` feeds whole texts.
+
+    Whole texts are scored. ``window`` is the model's input size in characters: longer texts
+    are cut into windows of that size, and the confidence in POSITIVE is averaged over the
+    windows that were scored, by their length. ``None`` feeds each text in one piece.
     """
 
     load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]
-    max_chars: int | None = MODEL_WINDOW
+    window: int | None = MODEL_WINDOW
 
     def __call__(self, df: DataFrame, text_col: str) -> DataFrame:
-        load = self.load
+        load, window = self.load, self.window
 
         @F.pandas_udf(_RESULT)
         def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             classify = load()
             for texts in batches:
-                yield pd.DataFrame(_classify(classify, list(texts)), columns=["label", "score"])
+                results = _classify_whole(classify, list(texts), window)
+                yield pd.DataFrame(results, columns=["label", "score"])
 
-        text = F.coalesce(truncate(text_col, self.max_chars), F.lit(""))
+        text = F.coalesce(F.col(text_col), F.lit(""))
         return (
             df.withColumn("_result", predict(text))
             .withColumn("label", F.col("_result.label"))
@@ -186,6 +195,28 @@ class UserModel:
         )
 
 
+def _classify_whole(
+    classify, texts: list[str], window: int | None
+) -> list[tuple[str | None, float | None]]:
+    """One result per text; a text of one window keeps the model's own answer."""
+    cuts = [
+        [t[a : a + window] for a in range(0, max(1, len(t)), window)] if window else [t]
+        for t in texts
+    ]
+    answers = iter(_classify(classify, [piece for own in cuts for piece in own]))
+    results: list[tuple[str | None, float | None]] = []
+    for own in cuts:
+        found = [(piece, next(answers)) for piece in own]
+        scored = [(len(p), a) for p, a in found if a[0] is not None and a[1] is not None]
+        if len(own) == 1 or not scored:
+            results.append(found[0][1] if len(own) == 1 else (None, None))
+            continue
+        total = sum(n for n, _ in scored)
+        up = sum(n * (s if label == "POSITIVE" else 1 - s) for n, (label, s) in scored) / total
+        results.append(("POSITIVE" if up >= 0.5 else "NEGATIVE", max(up, 1 - up)))
+    return results
+
+
 def _classify(classify, texts: list[str]) -> list[tuple[str | None, float | None]]:
     """Blank texts are not shown to the model; they are labelled UNKNOWN later on."""
     results: list[tuple[str | None, float | None]] = [(None, None)] * len(texts)

@@ -11,15 +11,13 @@ from pyspark.sql import types as T
 
 from verseflux.functions.fixed import BASE_STOPWORDS, CONTRACTIONS, EXTRA_STOPWORDS, NOUN_ENDINGS
 from verseflux.functions.once import compute_once, explode_present
+from verseflux.lineage import cut_lineage
 
 _SPLIT_WORDS = r"\b(?:" + "|".join(f"({a})({b})" for a, b in CONTRACTIONS) + r")\b"
 _SPLIT_PARTS = " ".join(
     "".join(f"${2 * i + half}" for i in range(len(CONTRACTIONS))) for half in (1, 2)
 )
 
-# Most frequent terms kept in a vocabulary.
-KEEP_TERMS = 100_000
-
 
 def clean_word(word: str) -> str:
     """The cleaning of texts, for single words of a list."""
@@ -194,23 +192,44 @@ def vocabulary(
     tokens_col: str = "tokens",
     no_below: int = 5,
     no_above: float = 0.5,
-    keep_n: int = KEEP_TERMS,
+    keep_n: int | None = None,
 ) -> DataFrame:
     """``(term, term_id, df)``: terms in at least ``no_below`` documents and in at most the
-    share ``no_above`` of them; the ``keep_n`` most frequent of these, ties by spelling.
+    share ``no_above`` of them, numbered from the most frequent on, ties by spelling.
+
+    ``keep_n`` asks for only so many of the most frequent terms; by default all are kept.
     """
     counts = document_frequency(docs, tokens_col)
     n_docs = counts.agg(F.max(F.when(F.col("is_total"), F.col("df")))).scalar()
-    order = [F.desc("df"), F.asc("term")]
-    top = (
-        counts.where(~F.col("is_total") & (F.col("df") >= no_below))
-        .where(F.col("df") <= F.floor(n_docs * F.lit(float(no_above))))
-        .orderBy(*order)
-        .limit(keep_n)
+    kept = counts.where(~F.col("is_total") & (F.col("df") >= no_below)).where(
+        F.col("df") <= F.floor(n_docs * F.lit(float(no_above)))
+    )
+    numbered = number_rows(kept.select("term", "df"), [F.desc("df"), F.asc("term")], "term_id")
+    if keep_n is not None:
+        numbered = numbered.where(F.col("term_id") < keep_n)
+    return numbered.select("term", "term_id", "df")
+
+
+def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number the rows from 0 in ``order`` without bringing them into one task.
+
+    Rows are sorted by ranges and written to the checkpoint folder once; a range's numbers
+    begin after the rows of the ranges before it, of which there is one count each.
+    """
+    inside = F.monotonically_increasing_id()  # range number in the upper bits, row in the lower
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut_lineage(ranged.withColumn("_id", inside))
+    part = F.shiftright("_id", 33).alias("_part")
+    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
+    row = F.col("_id").bitwiseAND((1 << 33) - 1)
+    return (
+        ranged.withColumn("_part", part)
+        .join(first, "_part")
+        .withColumn(name, (F.col("_first") + row).cast("long"))
+        .drop("_id", "_part", "_first")
     )
-    # At most keep_n rows are left: numbering them in one task is fine.
-    number = F.row_number().over(Window.orderBy(*order)) - 1
-    return top.select("term", number.alias("term_id"), "df")
 
 
 def bag_of_words(
@@ -218,8 +237,7 @@ def bag_of_words(
 ) -> DataFrame:
     """``(id, term_id, term, tf)`` for the tokens in the vocabulary.
 
-    No broadcast hint: a vocabulary cut by ``keep_n`` has a known size, which lets the planner
-    broadcast it, and one that is not cut is joined by sort-merge.
+    No broadcast hint: the vocabulary grows with the corpus.
     """
     counts = count_tokens(docs, id_col, tokens_col).withColumnRenamed("token", "term")
     joined = counts.join(vocab.select("term", "term_id"), "term")

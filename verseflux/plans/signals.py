@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from verseflux.functions.fixed import SIGNAL_FEATURES
 from verseflux.operators.describe import describe_features
@@ -15,9 +14,6 @@ from verseflux.schemas import require_columns
 from verseflux.sources.media import list_media, read_media
 
 
-MANY_PATHS = 200_000
-
-
 @dataclass(frozen=True)
 class SignalReport:
     features: DataFrame  # title and the five features
@@ -39,16 +35,14 @@ def extract_signal_features(
     """Features of the file named after each title, searched below ``root``.
 
     A file wanted by several titles is decoded once and its features are shared. Contents are
-    never shuffled: up to ``MANY_PATHS`` wanted files are picked by a broadcast of their paths;
-    beyond that, all files are processed and the features are joined afterwards.
+    read for wanted files only, at any number of titles; the planner broadcasts their paths if
+    their measured size allows. ``errors`` lists wanted files.
     """
     require_columns(titles, ["title"])
     listing = list_media(spark, root, extension)
     found = file_lookup(titles, listing, extension=extension)
     wanted = found.select("path").distinct()
-    contents = read_media(spark, root, extension)
-    if wanted.limit(MANY_PATHS + 1).count() <= MANY_PATHS:
-        contents = contents.join(F.broadcast(wanted), "path", "left_semi")
+    contents = read_media(spark, root, extension).join(wanted, "path", "left_semi")
     decoded = decode_waveforms(contents, framing)
     chunks = decoded.where("error IS NULL").drop("signal_id").withColumnRenamed("path", "signal_id")
     features = signal_features(chunks, framing, settings).withColumnRenamed("signal_id", "path")

@@ -38,24 +38,21 @@ def topic_tokens(
 
     ``lemmas``: a table ``(token, lemma)``; ``"corpus"`` to derive one by noun endings from the
     documents' own vocabulary; ``None`` to leave tokens as they are. With lemmas, ``id_col``
-    must identify the rows, and the lemmatized tokens are written once to the checkpoint
-    folder since model fitting reads them several times.
+    must identify the rows, and only it and the tokens are in the result, of documents that
+    have tokens; they are written once to the checkpoint folder since model fitting reads them
+    several times. Texts are not shuffled.
     """
     docs = clean_tokens(df, text_col, stop)
     if lemmas is None:
         return docs
     if id_col is None:
         raise ValueError("lemmas need id_col")
+    docs = docs.select(id_col, "tokens")
     if isinstance(lemmas, str):
         if lemmas != "corpus":
             raise ValueError(f"lemmas must be a table, 'corpus' or None, not {lemmas!r}")
         lemmas = lemma_table(document_frequency(docs).where("NOT is_total"))
-    replaced = cut_lineage(lemmatize_arrays(docs, lemmas, id_col))
-    none = F.array().cast("array<string>")
-    return (
-        df.join(replaced, id_col, "left")
-        .withColumn("tokens", F.coalesce("tokens", none))
-    )
+    return cut_lineage(lemmatize_arrays(docs, lemmas, id_col))
 
 
 def add_topics(
@@ -86,14 +83,19 @@ def analyze_documents(
 ) -> DataFrame:
     """``df`` without its text, plus ``sentiment``, ``sentiment_score`` and ``topics``.
 
-    Once the topic model is fitted, scoring and topic assignment are projections over one
-    scan of the documents.
+    Scoring is a projection over the scan, and so is topic assignment without lemmas. With
+    lemmas, topics are assigned to the lemmatized tokens, and only ids and topic strings meet the
+    scored rows.
     """
     require_columns(df, [text_col])
     filled = df.fillna({text_col: ""})
     docs = topic_tokens(filled, text_col, id_col, lemmas, stop)
     model = fit_topics(docs, k, passes, seed, **fit_options)
-    scored = score_text(add_topics(docs, model, num_words), text_col, scorer)
-    return scored.select(
-        *[c for c in df.columns if c != text_col], "sentiment", "sentiment_score", "topics"
-    )
+    kept = [c for c in df.columns if c != text_col]
+    if lemmas is None:
+        scored = score_text(add_topics(docs, model, num_words), text_col, scorer)
+        return scored.select(*kept, "sentiment", "sentiment_score", "topics")
+    scored = score_text(filled, text_col, scorer).select(*kept, "sentiment", "sentiment_score")
+    topics = add_topics(docs, model, num_words).select(F.col(id_col).alias("_id"), "topics")
+    met = scored.join(topics, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    return met.withColumn("topics", F.coalesce("topics", F.lit(TOPICS_DEFAULT)))

@@ -18,7 +18,7 @@ from verseflux.operators.scoring import (
 from verseflux.operators.textprep import stopwords
 from verseflux.queries.registry import query, rounded, sql_rounded, sql_tokens, table
 
-LEXICON_SIZE = 200
+LEXICON_WEIGHT = 0.02
 
 SQL_LEXICON = f"""
 WITH tokens AS (
@@ -31,10 +31,8 @@ shares AS (
     FROM (SELECT unnest(list_distinct(tokens)) AS term, quality FROM tokens
         WHERE quality IS NOT NULL)
     GROUP BY term),
-up AS (SELECT term, weight FROM shares WHERE weight > 0
-    ORDER BY weight DESC, term LIMIT {LEXICON_SIZE}),
-down AS (SELECT term, weight FROM shares WHERE weight < 0
-    ORDER BY weight, term LIMIT {LEXICON_SIZE})
+up AS (SELECT term, weight FROM shares WHERE weight >= {LEXICON_WEIGHT}::double),
+down AS (SELECT term, weight FROM shares WHERE weight <= -{LEXICON_WEIGHT}::double)
 """
 
 SQL_SCORED = (
@@ -77,7 +75,7 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, folder: str) -> Lexicon:
-    return build_lexicon(labelled_documents(spark, folder), "text", "quality", LEXICON_SIZE)
+    return build_lexicon(labelled_documents(spark, folder), "text", "quality", LEXICON_WEIGHT)
 
 
 def _label_inputs(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +109,7 @@ SELECT term, {sql_rounded('weight', 9)} AS weight, 'POSITIVE' AS side FROM up
 UNION ALL SELECT term, {sql_rounded('weight', 9)}, 'NEGATIVE' FROM down""",
 )
 def lexicon_terms_query(spark: SparkSession, folder: str) -> DataFrame:
-    terms = lexicon_terms(labelled_documents(spark, folder), "text", "quality", LEXICON_SIZE)
+    terms = lexicon_terms(labelled_documents(spark, folder), "text", "quality", LEXICON_WEIGHT)
     return terms.withColumn("weight", rounded("weight", 9))
 
 

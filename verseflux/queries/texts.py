@@ -200,19 +200,16 @@ def tokens_clean(spark: SparkSession, folder: str) -> DataFrame:
 WITH docs AS (SELECT {sql_tokens("text", [], 1)} AS tokens FROM documents),
 common AS (
     SELECT term FROM (SELECT unnest(list_distinct(tokens)) AS term FROM docs)
-    GROUP BY term ORDER BY count(*) DESC, term LIMIT 50)
+    GROUP BY term HAVING count(*) >= 0.2::double * (SELECT count(*) FROM docs WHERE len(tokens) > 0))
 SELECT unnest({sql_words([*BASE_STOPWORDS, *EXTRA_STOPWORDS])}) AS word
 UNION SELECT term FROM common""",
 )
 def stopword_union(spark: SparkSession, folder: str) -> DataFrame:
     docs = clean_tokens(table(spark, folder, "documents"), "text", stop=[], min_len=1)
-    common = (
-        document_frequency(docs)
-        .where("NOT is_total")
-        .orderBy(F.desc("df"), "term")
-        .limit(50)
-        .select(F.col("term").alias("word"))
-    )
+    counts = document_frequency(docs)
+    n_docs = counts.agg(F.max(F.when(F.col("is_total"), F.col("df")))).scalar()
+    common = counts.where(~F.col("is_total") & (F.col("df") >= F.lit(0.2) * n_docs))
+    common = common.select(F.col("term").alias("word"))
     return stopword_table(spark, more=common)
 
 
@@ -253,7 +250,7 @@ frequency AS (
 vocabulary AS (
     SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS term_id, df FROM frequency
     WHERE df >= 5 AND df <= floor(0.5 * (SELECT count(*) FROM docs WHERE len(tokens) > 0))
-    ORDER BY df DESC, term LIMIT 100000)
+)
 """
 )
 

@@ -36,20 +36,32 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, missing: list[str] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    missing: list[str] | None = None,
+    multi_line: bool = False,
+    bad_cells: str | None = None,
 ) -> DataFrame:
-    """CSV with header, quoted newlines and doubled quotes, typed by ``schema``.
+    """CSV with header and doubled quotes, typed by ``schema``.
 
     Columns are matched by header name, in any order; absent ones raise ``ValueError``.
-    Texts listed in ``missing`` (default: the usual ones) become null.
+    Texts listed in ``missing`` (default: the usual ones) become null, and so do cells that are
+    not of their column's type; ``bad_cells`` names a column that lists the columns of such
+    cells. ``multi_line`` is for cells with line breaks, such as song texts: a file is then read
+    by one task.
     """
     missing = MISSING if missing is None else missing
-    raw = spark.read.options(multiLine=True, **CSV_OPTIONS).csv(path)
+    raw = spark.read.options(multiLine=multi_line, **CSV_OPTIONS).csv(path)
     require_columns(raw, schema.fieldNames())
-    cells = []
+    cells, bad = [], []
     for field in schema.fields:
-        cell = F.when(~F.col(field.name).isin(missing), F.col(field.name))
-        cells.append(cell.try_cast(field.dataType).alias(field.name))
+        text = F.when(~F.col(field.name).isin(missing), F.col(field.name))
+        cell = text.try_cast(field.dataType)
+        cells.append(cell.alias(field.name))
+        bad.append(F.when(text.isNotNull() & cell.isNull(), F.lit(field.name)))
+    if bad_cells is not None:
+        cells.append(F.array_compact(F.array(*bad)).alias(bad_cells))
     return raw.select(*cells)
 
 
