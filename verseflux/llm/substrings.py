@@ -32,6 +32,7 @@ from verseflux.lineage import checkpoint_dir, cut_lineage
 from verseflux.llm.common import add_arrow, id_or_last, texts, without
 from verseflux.llm.lyndon import suffix_array
 from verseflux.llm.nearcopies import _mix
+from verseflux.llm.records import remove_folder
 
 LENGTH = 200
 ANCHOR = 40
@@ -267,24 +268,44 @@ def _by_windows(fetched: DataFrame, length: int) -> DataFrame:
     cells = cut_lineage(fetched.mapInArrow(grid, "doc long, begin long, n long, alone boolean, copies long, core binary, data binary"))
     cores = cells.groupBy("core").agg(F.count("*").alias("times")).where("times > 1").select(F.col("core").alias("c"))
     cells = cells.join(cut_lineage(cores), F.col("core") == F.col("c")).drop("c", "core")
-    keys = cut_lineage(cells.mapInArrow(windows, "doc long, begin long, alone boolean, copies long, key binary"))
+    cells = cut_lineage(cells.withColumn("same", F.sha2("data", 256)))
+    # Cells that are equal as a whole are repeats; one of them goes on, as a partner for others.
+    kinds = cells.groupBy("same").agg(
+        F.min(F.struct("doc", "begin")).alias("one"), F.sum("copies").alias("all"), F.count("*").alias("cells")
+    )
+    kinds = cut_lineage(kinds.select(F.col("same").alias("s"), F.col("one.doc").alias("d"), F.col("one.begin").alias("b"), "all", "cells"))
+    equal = kinds.where("cells > 1").select("s")
+    whole = cells.where("alone").join(equal, F.col("same") == F.col("s"))
+    whole = whole.select("doc", "begin", (F.col("begin") + F.col("n") - 1 + length).alias("end"))
+    single = (F.col("same") == F.col("s")) & (F.col("doc") == F.col("d")) & (F.col("begin") == F.col("b"))
+    ones = cells.join(kinds, single).select(
+        "doc", "begin", "n", (F.col("alone") & (F.col("cells") == 1)).alias("alone"), F.col("all").alias("copies"), "data"
+    )
+    keys = cut_lineage(ones.mapInArrow(windows, "doc long, begin long, alone boolean, copies long, key binary"))
     twice = keys.groupBy("key").agg(F.sum("copies").alias("times")).where("times > 1").select(F.col("key").alias("k"))
     hits = keys.where("alone").join(cut_lineage(twice), F.col("key") == F.col("k"))
-    return hits.select("doc", "begin", (F.col("begin") + length).alias("end"))
+    return whole.unionByName(hits.select("doc", "begin", (F.col("begin") + length).alias("end")))
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared checkpoint folder, which takes less room there than a
+    checkpoint and is read by columns."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/substrings-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """``doc``, ``begin``, ``end`` (bytes) of what repeated windows cover; spans may overlap.
     ``docs``: ``doc`` (a number of its own for every id and text) and ``text``."""
     spark = docs.sparkSession
-    folder = f"{checkpoint_dir(spark)}/segments-{uuid.uuid4().hex}"
-    segments(docs, length, anchor).write.parquet(folder)
-    all_ = spark.read.parquet(folder)
+    all_, folder = _written(segments(docs, length, anchor))
+    # Written out, so that the join deals both sides anew and hot anchors can be split.
     twice = all_.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select(F.col("anchor").alias("a"))
-    some = all_.join(twice, F.col("anchor") == F.col("a")).drop("a")
-    kept = f"{checkpoint_dir(spark)}/segments-{uuid.uuid4().hex}"
-    some.write.parquet(kept)
-    some = spark.read.parquet(kept)
+    twice, anchors = _written(twice)
+    some, _ = _written(all_.join(twice, F.col("anchor") == F.col("a")).drop("a"))
+    remove_folder(spark, folder)
+    remove_folder(spark, anchors)
     kinds = some.groupBy("anchor", "whole").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc", "first", "last", "at")).alias("one")
     )
@@ -305,7 +326,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         "doc", "anchor", "first", "last", "at", "alone", "copies", "hot",
         F.expr(f"substring(bytes, first + 1, last - first + {length})").alias("data"),
     )
-    fetched = cut_lineage(fetched)
+    fetched, _ = _written(fetched)
     found = _in_buckets(fetched.where("NOT hot"), max(1, -(-total // BUCKET)), length)
     spans = found.unionByName(_by_windows(fetched.where("hot"), length)).unionByName(full)
     return spans
