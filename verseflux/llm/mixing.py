@@ -95,8 +95,9 @@ def source_plan(sizes: DataFrame, block: int, weights: tuple[int, ...] = (1, 2,
 
 
 def per_source(sources: DataFrame) -> DataFrame:
-    """The table of sources for a join on ``no``: broadcast if it is small, which is checked."""
-    return F.broadcast(sources) if sources.count() <= 10_000 else sources.hint("merge")
+    """A table with a row or few per source, for a join: broadcast if it is small, which is
+    checked. Left to the planner, the other side may look small before its rows are made."""
+    return F.broadcast(sources) if sources.count() <= 20_000 else sources.hint("merge")
 
 
 def shard_slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
@@ -117,7 +118,7 @@ def shard_slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     drawn = spark.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("slot"))
     drawn = drawn.withColumn("u", F.pmod(F.xxhash64("shard", "slot", F.lit(seed)), F.lit(_DRAW)))
     drawn = drawn.withColumn("place", F.expr(f"u div {_DRAW // GUIDE}"))
-    counts = drawn.join(guide, "place").where("u >= low AND u < high").groupBy("no", "shard").agg(F.count("*").alias("n"))
+    counts = drawn.join(per_source(guide), "place").where("u >= low AND u < high").groupBy("no", "shard").agg(F.count("*").alias("n"))
     step = max(1, math.isqrt(shards))
     counts = cut_lineage(counts.withColumn("part", F.expr(f"shard div {step}")))
     numbered = _in_parts(counts, ["no"], "part", ["shard"], "n", "start")
