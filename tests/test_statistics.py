@@ -223,3 +223,16 @@ def test_published_p_values():
     ]
     for r, p in published:
         assert pearson_p_value(r, 95) == pytest.approx(p, rel=1e-12)
+
+
+def test_quantile_in_a_gap(spark):
+    low = [k / 1_000_000 for k in range(500)]
+    high = [1_000_000 + k / 1_000_000 for k in range(500)]
+    df = spark.createDataFrame([(x,) for x in low + high], "a double")
+    row = describe_features(df, ["a"], bracket_rows=20).first()
+    assert row.q50 == pytest.approx((low[-1] + high[0]) / 2, rel=1e-15)
+    from verseflux.functions.stats import numeric
+    from verseflux.operators.describe import QUARTILES, _brackets
+
+    brackets = _brackets(numeric(df, ["a"]), ["a"], QUARTILES, 20)[1]
+    assert len(brackets) == 6 and all(b.inside <= 20 for b in brackets)

@@ -17,12 +17,10 @@ ACCURACY = 10_000
 
 @dataclass
 class _Bracket:
-    """Values ``low..high`` of a column that hold the two ranks next to a quantile."""
+    """Values ``low..high`` of a column that hold one rank."""
 
     feature: str
-    q: float
-    rank: int  # 0-based rank of the lower neighbour
-    share: float  # how far the quantile lies towards the upper neighbour
+    rank: int  # 0-based
     low: float
     high: float
     below: int = 0  # rows under ``low``
@@ -39,22 +37,29 @@ def describe_features(
 
     Quantiles interpolate linearly between neighbours and are exact. The built-in exact
     percentile gathers all values of a column in one buffer, so it is not used. Instead: (1) one
-    pass takes moments and a quantile sketch, which brackets each quantile; (2) one pass counts
-    rows below and inside the brackets, narrowing while more than ``bracket_rows`` distinct
-    values may be inside; (3) the values inside are ranked. Each pass reads only ``features``
-    and shuffles partial aggregates.
+    pass takes a quantile sketch, which brackets each of the two ranks next to a quantile on
+    its own; (2) a pass counts rows below and inside all brackets, and while some hold more
+    than ``bracket_rows`` rows of several values, a pass cuts all of these into steps and keeps
+    the step that holds the rank; (3) the values inside are ranked. Each pass reads only
+    ``features`` and shuffles partial aggregates.
     """
     slim = numeric(df, features)
     base = _moments(slim, features)
-    brackets = _brackets(slim, features, quantiles, bracket_rows)
+    places, brackets = _brackets(slim, features, quantiles, bracket_rows)
+    found = _rank_inside(slim, brackets)
+    spark = slim.sparkSession
+    wanted = spark.createDataFrame(places, "feature string, q double, rank long, share double")
+    near = found.select("feature", "rank", F.col("value").alias("near"))
+    far = found.select("feature", (F.col("rank") - 1).alias("rank"), F.col("value").alias("far"))
+    value = F.col("near") + F.when(
+        F.col("share") > 0, (F.col("far") - F.col("near")) * F.col("share")
+    ).otherwise(0.0)
+    # One row per feature and quantile.
+    met = wanted.join(near, ["feature", "rank"]).join(far, ["feature", "rank"], "left")
+    met = met.withColumn("value", value)
     names = {q: f"q{round(q * 100):02d}" for q in quantiles}
-    found = _rank_inside(slim, brackets).groupBy("feature").agg(
-        *[
-            F.max(F.when(F.col("q") == q, F.col("value"))).alias(names[q])
-            for q in quantiles
-        ]
-    )
-    return base.join(found, "feature", "left").select(
+    columns = [F.max(F.when(F.col("q") == q, F.col("value"))).alias(names[q]) for q in quantiles]
+    return base.join(met.groupBy("feature").agg(*columns), "feature", "left").select(
         "feature", "n", "mean", "std", "lowest", *names.values(), "highest"
     )
 
@@ -75,7 +80,9 @@ def _moments(slim: DataFrame, features: list[str]) -> DataFrame:
 
 def _brackets(
     slim: DataFrame, features: list[str], quantiles: tuple[float, ...], limit: int
-) -> list[_Bracket]:
+) -> tuple[list[tuple[str, float, int, float]], list[_Bracket]]:
+    """(feature, q, rank of the lower neighbour, share of the way to the upper one), and a
+    bracket per feature and rank."""
     margin = 2.0 / ACCURACY
     asked = [x for q in quantiles for x in (max(0.0, q - margin), min(1.0, q + margin))]
     row = slim.agg(
@@ -89,7 +96,8 @@ def _brackets(
             for f in features
         ]
     ).first()
-    brackets = []
+    places: list[tuple[str, float, int, float]] = []
+    brackets: dict[tuple[str, int], _Bracket] = {}
     for f in features:
         s = row[f]
         for i, q in enumerate(quantiles):
@@ -97,26 +105,29 @@ def _brackets(
                 continue
             place = q * (s.n - 1)
             rank = min(math.floor(place), s.n - 1)
-            brackets.append(
-                _Bracket(f, q, rank, place - rank, s.sketch[2 * i], s.sketch[2 * i + 1])
-            )
-    ends = {f: (row[f].lowest, row[f].highest, row[f].n) for f in features}
+            places.append((f, q, rank, place - rank))
+            for r in {rank, min(rank + 1, s.n - 1)}:
+                low, high = s.sketch[2 * i], s.sketch[2 * i + 1]
+                brackets.setdefault((f, r), _Bracket(f, r, low, high))
+    found = list(brackets.values())
     while True:
-        again = _count(slim, brackets)
-        open_ = False
-        for b, (below, inside, distinct_low, distinct_high) in zip(brackets, again, strict=True):
+        reopened = False
+        for b, (below, inside, low, high) in zip(found, _count(slim, found), strict=True):
             b.below, b.inside = below, inside
-            last = min(b.rank + 1, ends[b.feature][2] - 1)
             if below > b.rank:  # the sketch was off: reopen that side
-                b.low, open_ = ends[b.feature][0], True
-            if below + inside <= last:
-                b.high, open_ = ends[b.feature][1], True
-            if below <= b.rank and below + inside > last:
-                b.low, b.high = distinct_low, distinct_high
-                if inside > limit and b.low < b.high:
-                    open_ = _narrow(slim, b, last) or open_
-        if not open_:
-            return brackets
+                b.low, reopened = row[b.feature].lowest, True
+            elif below + inside <= b.rank:
+                b.high, reopened = row[b.feature].highest, True
+            else:
+                b.low, b.high = low, high
+        if not reopened:
+            break
+    while wide := [b for b in found if b.inside > limit and 0 < b.high / 2 - b.low / 2 < math.inf]:
+        before = [(b.low, b.high) for b in wide]
+        _narrow(slim, wide)
+        if before == [(b.low, b.high) for b in wide]:
+            break
+    return places, found
 
 
 def _count(slim: DataFrame, brackets: list[_Bracket]) -> list[tuple]:
@@ -138,48 +149,50 @@ def _count(slim: DataFrame, brackets: list[_Bracket]) -> list[tuple]:
     return [tuple(row[f"b{i}"]) for i in range(len(brackets))]
 
 
-def _narrow(slim: DataFrame, b: _Bracket, last: int) -> bool:
-    """Cut the bracket into equal steps and keep those that hold the wanted ranks."""
-    steps = 1000
-    width = b.high / steps - b.low / steps
-    x = F.col(b.feature)
-    if not 0 < width < math.inf:
-        return False
-    step = F.least(F.lit(steps - 1), F.floor((x - b.low) / width).cast("int"))
+def _narrow(slim: DataFrame, brackets: list[_Bracket], steps: int = 1000) -> None:
+    """Cut each bracket into equal steps and keep the one that holds its rank; one pass."""
+    entries = []
+    for i, b in enumerate(brackets):
+        x, width = F.col(b.feature), b.high / steps - b.low / steps
+        step = F.floor((x - b.low) / width) if width > 0 else F.when(x > b.low, 1).otherwise(0)
+        step = F.greatest(F.lit(0), F.least(F.lit(steps - 1), step.cast("int")))
+        inside = (x >= b.low) & (x <= b.high)
+        entries.append(
+            F.when(inside, F.struct(F.lit(i).alias("i"), step.alias("step"), x.alias("x")))
+        )
     rows = (
-        slim.where((x >= b.low) & (x <= b.high))
-        .groupBy(F.greatest(F.lit(0), step).alias("step"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
-        .orderBy("step")
+        slim.select(F.inline(F.array_compact(F.array(*entries))))
+        .groupBy("i", "step")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .orderBy("i", "step")
         .collect()
     )
-    seen, low, high = b.below, None, None
-    for r in rows:
-        if low is None and seen + r.n > b.rank:
-            low = r.low
-        seen += r.n
-        if seen > last:
-            high = r.high
-            break
-    changed = (low, high) != (b.low, b.high)
-    b.low, b.high = low, high
-    return changed
+    for i, b in enumerate(brackets):
+        seen = b.below
+        for r in rows:
+            if r.i != i:
+                continue
+            if seen + r.n > b.rank:
+                b.low, b.high, b.below, b.inside = r.low, r.high, seen, r.n
+                break
+            seen += r.n
 
 
 def _rank_inside(slim: DataFrame, brackets: list[_Bracket]) -> DataFrame:
+    """``(feature, rank, value)``."""
     spark = slim.sparkSession
-    schema = "feature string, q double, rank long, part double, below long"
-    wanted = spark.createDataFrame(
-        [(b.feature, b.q, b.rank, b.share, b.below) for b in brackets], schema
-    )
+    schema = "feature string, rank long, below long"
+    wanted = spark.createDataFrame([(b.feature, b.rank, b.below) for b in brackets], schema)
     if not brackets:
-        return wanted.select("feature", "q", F.lit(None).cast("double").alias("value"))
+        return wanted.select("feature", "rank", F.lit(None).cast("double").alias("value"))
     hits = [(F.col(b.feature) >= b.low) & (F.col(b.feature) <= b.high) for b in brackets]
     entries = [
         F.when(
             hit,
             F.struct(
-                F.lit(b.feature).alias("feature"), F.lit(b.q).alias("q"), F.col(b.feature).alias("x")
+                F.lit(b.feature).alias("feature"),
+                F.lit(b.rank).cast("long").alias("rank"),
+                F.col(b.feature).alias("x"),
             ),
         )
         for hit, b in zip(hits, brackets, strict=True)
@@ -187,21 +200,15 @@ def _rank_inside(slim: DataFrame, brackets: list[_Bracket]) -> DataFrame:
     values = (
         slim.where(reduce(Column.__or__, hits))  # most rows lie in no bracket
         .select(F.inline(F.array_compact(F.array(*entries))))
-        .groupBy("feature", "q", "x")
+        .groupBy("feature", "rank", "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     # Distinct values of one bracket only; their number was bounded when bracketing.
-    w = Window.partitionBy("feature", "q").orderBy("x")
+    w = Window.partitionBy("feature", "rank").orderBy("x")
     ranked = (
         values.withColumn("upto", F.sum("n").over(w))
-        .join(F.broadcast(wanted), ["feature", "q"])
-        .withColumn("first", F.col("below") + F.col("upto") - F.col("n"))
+        .join(F.broadcast(wanted), ["feature", "rank"])  # a row per feature and rank
         .withColumn("end", F.col("below") + F.col("upto"))
     )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("end")), F.col("x")))
-
-    near, far = at(F.col("rank")), at(F.col("rank") + 1)
-    value = near + F.when(F.max("part") > 0, (far - near) * F.max("part")).otherwise(0.0)
-    return ranked.groupBy("feature", "q").agg(value.alias("value"))
+    here = (F.col("end") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("end"))
+    return ranked.where(here).select("feature", "rank", F.col("x").alias("value"))
