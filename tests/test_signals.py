@@ -15,12 +15,15 @@ from verseflux.operators.signal import (
     chunk_series,
     decode_waveforms,
     frame_table,
+    keep_unframed,
     onset_envelope,
     signal_features,
     signal_means,
     spectral_chunks,
     tempo,
     timbre_chunks,
+    unframed_arrays,
+    unframed_series,
 )
 from verseflux.plans.signals import extract_signal_features
 from verseflux.sources.media import list_media, media_manifest, read_media
@@ -351,3 +354,17 @@ def test_low_pass_at_any_length(n):
     assert np.sqrt(np.mean(y[len(y) // 4 : -len(y) // 4 or None] ** 2)) < 0.3
     if n >= 1000:
         assert np.sqrt(np.mean(y[100:-100] ** 2)) < 0.01
+
+
+def test_short_signals_are_kept_with_a_reason(spark):
+    framing = Framing(frame=64, hop=16, center=False, tuning=0.0)
+    rows = [("a", [0.5] * 5), ("b", [float(np.sin(k / 3)) for k in range(900)]), ("c", []), ("d", None)]
+    signals = spark.createDataFrame(rows, "signal_id string, samples array<double>")
+    features = signal_features(chunk_arrays(signals, framing), framing)
+    got = {r.signal_id: r for r in keep_unframed(features, unframed_arrays(signals, framing)).collect()}
+    assert {k: r.reason for k, r in got.items()} == {
+        "a": "shorter than a frame", "b": None, "c": "no samples", "d": "no samples",
+    }
+    assert got["a"].sound_loudness is None and got["b"].sound_loudness > 0
+    numbered = spark.createDataFrame([("x", 0, 3), ("y", 0, 64)], "signal_id string, i long, n long")
+    assert [tuple(r) for r in unframed_series(numbered, framing).collect()] == [("x", "shorter than a frame")]

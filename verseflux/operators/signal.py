@@ -153,6 +153,29 @@ def chunk_series(samples: DataFrame, framing: Framing) -> DataFrame:
     )
 
 
+def unframed_arrays(
+    signals: DataFrame, framing: Framing, signal_col: str = "signal_id", samples_col: str = "samples"
+) -> DataFrame:
+    """``(signal_id, reason)`` of the signals that ``chunk_arrays`` makes no chunk of."""
+    n = F.coalesce(F.size(samples_col), F.lit(0))
+    reason = F.when(n <= 0, "no samples").when(n + 2 * framing.margin < framing.frame, "shorter than a frame")
+    rows = signals.select(F.col(signal_col).alias("signal_id"), reason.alias("reason"))
+    return rows.where(F.col("reason").isNotNull())
+
+
+def unframed_series(samples: DataFrame, framing: Framing) -> DataFrame:
+    """``(signal_id, reason)`` of the numbered series that ``chunk_series`` makes no chunk of."""
+    longest = samples.groupBy("signal_id").agg(F.max("n").alias("n"))
+    short = longest.where(F.col("n") < framing.frame)
+    return short.select("signal_id", F.lit("shorter than a frame").alias("reason"))
+
+
+def keep_unframed(features: DataFrame, unframed: DataFrame) -> DataFrame:
+    """``features`` with ``reason`` (null), and a row of null features per unframed signal."""
+    rows = features.withColumn("reason", F.lit(None).cast("string"))
+    return rows.unionByName(unframed, allowMissingColumns=True)
+
+
 def decode_waveforms(files: DataFrame, framing: Framing) -> DataFrame:
     """Wav files ``(path, content)`` -> chunks, plus one row with ``error`` per bad file.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verseflux.functions.fixed import LABEL_CODES
+from verseflux.operators.bayes import bayes_scores, bayes_weights
 from verseflux.operators.correlate import label_code
 from verseflux.operators.scoring import (
     Lexicon,
@@ -152,3 +153,35 @@ def sentiment_trained(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     scored = score_text(documents, "text", model)
     return scored.select("doc_id", "sentiment", rounded("sentiment_score").alias("sentiment_score"))
+
+
+@query(
+    "sentiment_bayes",
+    f"""
+WITH tokens AS (
+    SELECT d.doc_id, l.quality, {sql_tokens("d.text", stopwords())} AS tokens
+    FROM documents d LEFT JOIN labels l USING (doc_id)),
+counts AS (
+    SELECT term, sum(quality)::double AS up, sum(1 - quality)::double AS down
+    FROM (SELECT unnest(tokens) AS term, quality FROM tokens WHERE quality IS NOT NULL)
+    GROUP BY term),
+weights AS (
+    SELECT term, ln((up + 1) / (down + 1)) - ln((sum(up) OVER () + count(*) OVER ())
+        / (sum(down) OVER () + count(*) OVER ())) AS weight
+    FROM counts),
+prior AS (SELECT ln((sum(quality) + 1.0::double) / (sum(1 - quality) + 1)) AS p FROM tokens),
+odds AS (
+    SELECT t.doc_id, p + coalesce(s.total, 0) AS o
+    FROM tokens t CROSS JOIN prior LEFT JOIN (
+        SELECT doc_id, sum(weight) AS total
+        FROM (SELECT doc_id, unnest(tokens) AS term FROM tokens) JOIN weights USING (term)
+        GROUP BY doc_id) s ON t.doc_id = s.doc_id)
+SELECT doc_id, CASE WHEN o >= 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label,
+    {sql_rounded('1 / (1 + exp(-abs(o)))')} AS score
+FROM odds""",
+)
+def sentiment_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    weights = bayes_weights(labelled_documents(spark, folder), "text", "quality")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    scored = bayes_scores(documents, weights, "text")
+    return scored.select("doc_id", "label", rounded("score").alias("score"))
