@@ -26,7 +26,9 @@ HEADLINE = [
     "lemmatize",
     "sentiment_lexicon",
     "sentiment_trained",
+    "sentiment_bayes",
     "document_topics",
+    "document_analysis",
     "file_lookup",
     "join_canonical",
     "correlate_features",
@@ -36,6 +38,7 @@ HEADLINE = [
     "compare_groups",
     "correlation_matrix",
     "regression_band",
+    "bootstrap_band",
     "describe_features",
     "signal_rms",
     "signal_features",
