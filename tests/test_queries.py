@@ -51,7 +51,7 @@ def test_trained_scorer(spark, con):
     assert all(0.4 <= r.sentiment_score <= 1.0 for r in rows if r.sentiment != "UNKNOWN")
 
 
-def test_bootstrap_query(spark):
+def test_bootstrap_shape(spark):
     rows = QUERIES["bootstrap_band"](spark, FOLDER).collect()
     assert len({(r.feature, r.point) for r in rows}) == len(rows) == 500
     assert all(r.low <= r.high for r in rows)

@@ -69,8 +69,22 @@ def regression_band(
     )
 
 
+# Drawing by integers modulo a prime: any engine can repeat it, and no product overflows.
+DRAW_PRIME = 2**31 - 1
+DRAW_STEPS = (48271, 69621, 40692)
+
+
+def _uniform(id_col: str, resample: str, seed: int) -> Column:
+    """A number in [0, 1) that is fixed by (id, resample, seed)."""
+    p, (a, b, c) = DRAW_PRIME, DRAW_STEPS
+    mixed = F.pmod(F.pmod(F.col(id_col).cast("long"), F.lit(p)) * a + F.col(resample) * b + F.lit(seed * c + 1), F.lit(p))
+    for _ in range(3):
+        mixed = F.pmod(F.pmod(mixed * mixed, F.lit(p)) * a + mixed * c + b, F.lit(p))
+    return mixed / F.lit(float(p))
+
+
 def _poisson(u: Column) -> Column:
-    """Poisson(1) count of a uniform number in [0, 1)."""
+    """Poisson(1) count of a uniform number in [0, 1), up to 12 (beyond: 6e-11 of all)."""
     bounds, total = [], 0.0
     for k in range(12):
         total += math.exp(-1.0) / math.factorial(k)
@@ -90,7 +104,7 @@ def bootstrap_band(
     points: int = GRID,
     seed: int = 0,
 ) -> DataFrame:
-    """The same table with the band taken from resampled lines (percentiles 2.5 and 97.5).
+    """The same table for whole-number ids with the band taken from resampled lines (percentiles 2.5 and 97.5).
 
     Poisson bootstrap: a row's weight in a resample is a function of (id, resample, seed), so a
     recomputed task draws the same weights. Rows are multiplied by ``resamples`` only inside
@@ -101,11 +115,10 @@ def bootstrap_band(
     lines = regression_line(rows, outcome, features)
     cells = ", ".join(f"'{f}', coalesce(avg({paired(f, outcome)[0]}), 0D)" for f in features)
     centre = rows.agg(F.expr(f"named_struct({cells})")).scalar()
-    number = F.shiftrightunsigned(F.xxhash64(id_col, "resample", F.lit(seed)), 11)
     draws = (
         rows.withColumn("_centre", centre)
         .withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-        .withColumn("_w", _poisson(number / F.lit(float(1 << 53))))
+        .withColumn("_w", _poisson(_uniform(id_col, "resample", seed)))
         .where("_w > 0")
     )
 

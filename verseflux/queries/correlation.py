@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from verseflux.operators.correlate import (
 from verseflux.operators.describe import describe_features
 from verseflux.operators.parse import parse_collection
 from verseflux.operators.regression import (
+    DRAW_PRIME,
+    DRAW_STEPS,
     NORMAL_975,
     bootstrap_band,
     regression_band,
@@ -369,10 +373,56 @@ def regression_band_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("bootstrap_band")
+def _sql_bootstrap(resamples: int = 1000) -> str:
+    p, (a, b, c) = DRAW_PRIME, DRAW_STEPS
+    steps = f"SELECT doc_id, r, ((doc_id % {p}) * {a} + r * {b} + 1) % {p} AS m FROM base, range(1, {resamples + 1}) t(r)"
+    for _ in range(3):
+        steps = f"SELECT doc_id, r, (((m * m) % {p}) * {a} + m * {c} + {b}) % {p} AS m FROM ({steps})"
+    bounds, total = [], 0.0
+    for k in range(12):
+        total += math.exp(-1.0) / math.factorial(k)
+        bounds.append(f"{total!r}::double")
+    pairs = " UNION ALL ".join(
+        f"SELECT doc_id, '{x}' AS feature, {x} - avg({x}) OVER () AS x, avg({x}) OVER () AS centre, sentiment_numeric AS y "
+        f"FROM base WHERE {x} IS NOT NULL AND sentiment_numeric IS NOT NULL"
+        for x in TEXT_FEATURES
+    )
+    return (
+        _SQL_FEATURES
+        + f""",
+draws AS (
+    SELECT doc_id, r, len(list_filter([{", ".join(bounds)}], lambda z: z <= m / {p}::double))::double AS w
+    FROM ({steps})),
+pairs AS ({pairs}),
+sums AS (
+    SELECT feature, r, sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy,
+        any_value(centre) AS centre
+    FROM pairs JOIN draws USING (doc_id) WHERE w > 0 GROUP BY feature, r),
+slopes AS (SELECT *, (xy - x * y / w) / nullif(xx - x * x / w, 0) AS slope FROM sums),
+lines AS ({_sql_lines('base', 'sentiment_numeric', TEXT_FEATURES)}),
+grid AS (
+    SELECT feature, point, x_min + (x_max - x_min) * (point / 99) AS x, slope, intercept
+    FROM lines, range(100) t(point))
+SELECT g.feature, point::int AS point, {sql_rounded('any_value(g.x)', 4)} AS x,
+    {sql_rounded('any_value(g.intercept + g.slope * g.x)')} AS fit,
+    {sql_rounded('quantile_cont((s.y - s.slope * s.x) / s.w + s.slope * (g.x - s.centre), 0.025)')} AS low,
+    {sql_rounded('quantile_cont((s.y - s.slope * s.x) / s.w + s.slope * (g.x - s.centre), 0.975)')} AS high
+FROM grid g JOIN slopes s ON g.feature = s.feature GROUP BY g.feature, point"""
+    )
+
+
+@query("bootstrap_band", _sql_bootstrap())
 def bootstrap_band_query(spark: SparkSession, folder: str) -> DataFrame:
     df = labelled_features(spark, folder)
-    return bootstrap_band(df, "doc_id", "sentiment_numeric", TEXT_FEATURES)
+    band = bootstrap_band(df, "doc_id", "sentiment_numeric", TEXT_FEATURES)
+    return band.select(
+        "feature",
+        "point",
+        rounded("x", 4).alias("x"),
+        rounded("fit").alias("fit"),
+        rounded("low").alias("low"),
+        rounded("high").alias("high"),
+    )
 
 
 def _sql_describe(source: str, features: list[str], digits: int = 4) -> str:
