@@ -17,27 +17,26 @@ from pyspark.sql import functions as F
 
 from verseflux.lineage import cut_lineage
 from verseflux.llm.bpe import encode_decode
-from verseflux.llm.common import table
+from verseflux.llm.common import prepare, table
 from verseflux.llm.linededup import dedup_lines
 from verseflux.llm.mixing import mix_documents
 from verseflux.llm.nearcopies import drop_near_copies
 from verseflux.llm.queries import tokenizer_path
-from verseflux.llm.toxicity import labelled_sample, score_toxicity, train
-from verseflux.session import ship_package
+from verseflux.llm.toxicity import learn, score_toxicity
 
 #: No SQL can express the trained classifier.
 ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
-    net = train(labelled_sample(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "lang"))
+    prepare(spark)
+    net = learn(docs, table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs.select(F.struct("*").alias("doc"), "text", "lang"), net)
     return scored.where("NOT rejected").select("doc.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     done = dedup_lines(docs)
     changed = F.col("n_dropped") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
@@ -46,7 +45,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return drop_near_copies(docs)
 
 
@@ -55,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     done = encode_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
     return done.select(
         "doc_id",

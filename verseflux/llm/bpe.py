@@ -34,7 +34,7 @@ from verseflux.llm.common import add_arrow, without
 #: Fixed pattern of byte-level pre-tokenization.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words kept by a worker with their ids; beyond them the table starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _FIRST = 0
 
 

@@ -17,7 +17,7 @@ import numpy as np
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 #: Distinct pieces kept by a worker; beyond them the cache starts anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: Bytes of text encoded at once.
 GROUP_CHARS = 2_000_000
 

@@ -9,10 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from verseflux.session import ship_package
+
 #: Bytes that separate words: space and the five ASCII controls from tab to carriage return.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Stands for a null id where ids are compared: it is larger than any id in use.
 NO_ID = 2**63 - 1
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors, and keep batches of whole texts small: a batch is held
+    by the JVM and by Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return ship_package(spark)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from verseflux.llm.quality import ERROR, GRID, RISK, RULES, TERMS, quality_filte
 from verseflux.llm.records import new_folder, public_id, read_records, remove_folder, write_records
 from verseflux.llm.registry import ORACLES, QUERIES, query
 from verseflux.llm.substrings import cut_repeats
-from verseflux.llm.toxicity import labelled_sample, score_toxicity, train
+from verseflux.llm.toxicity import learn, score_toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -262,7 +262,7 @@ def op10_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
 def op1_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     labels = table(spark, folder, "labels").where(~held_out("doc_id", 5, 0))
-    net = train(labelled_sample(docs, labels, "doc_id", "text", "lang"))
+    net = learn(docs, labels)
     scored = score_toxicity(docs, net)
     return scored.select(
         "doc_id",

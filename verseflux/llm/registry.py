@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verseflux.session import ship_package
+from verseflux.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +17,7 @@ def query(name: str, sql: str | None = None):
     def register(function: Callable[[SparkSession, str], DataFrame]):
         @wraps(function)
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return function(ship_package(spark), folder)
+            return function(prepare(spark), folder)
 
         QUERIES[name] = run
         if sql is not None:
