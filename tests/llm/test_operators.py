@@ -173,6 +173,17 @@ def test_hub_of_near_copies(spark):
         assert sorted(map(tuple, done.collect()), key=str) == want
 
 
+def test_near_copies_of_a_large_tight_group(spark):
+    # 300 texts of one changed word are the hot region; the last is at 0.8 from text 0 only and
+    # shares the minima of single trees with it, but never those of two neighbouring trees.
+    base = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(base), "en", "a")]
+    rows += [(k, " ".join(base[:-1] + [f"x{k}"]), "en", "a") for k in range(1, 300)]
+    rows.append((1000, " ".join(base[:177] + [f"y177_{j}" for j in range(41)] + base[218:]), "en", "a"))
+    done = nearcopies.near_copies(documents(spark, rows), width=4)
+    assert sorted(map(tuple, done.collect()), key=str) == copies_by_hand(rows)
+
+
 def test_near_copies_edges(spark):
     assert nearcopies.near_copies(empty(spark)).count() == 0
     done = nearcopies.near_copies(clashing(spark, "n_shingles", "kept"), width=4)

@@ -2,10 +2,9 @@
 
 1. Every text becomes its set of shingle hashes, a fingerprint of the set, and a signature of
    ``TREES`` x ``DEPTH`` minima. Texts with equal sets are one class from here on.
-2. Each tree sorts the classes by its own label: its own ``DEPTH`` minima, then those of the
-   next tree. Neighbours in the order with a common prefix of at least ``DEPTH`` minima are
-   candidates; where more than ``REGION`` classes share a prefix, a longer one is asked for.
-   A pair at the limit of 0.8 shares some tree's prefix but for three pairs in a million.
+2. Each tree labels the classes by its own ``DEPTH`` minima. All classes that share a tree's
+   label are candidates, however many they are: each is linked with the smallest of them.
+   A pair at the limit of 0.8 shares some tree's label but for three pairs in a million.
 3. Candidates only say which classes must be looked at together: classes that are connected by
    them are compared exactly, all with all, on full sets. A connected group of more than
    ``TILE`` shingles is cut into blocks of like sizes; blocks whose sizes allow a link meet in
@@ -21,7 +20,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseflux.lineage import cut_lineage
@@ -30,7 +29,6 @@ from verseflux.llm.graph import components
 
 TREES = 24
 DEPTH = 4
-REGION = 256
 #: Shingles of a tile's side, at most (a longer text is a side of its own).
 TILE = 100_000
 #: Classes of sizes: each reaches 5 % beyond the one before.
@@ -142,7 +140,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def labels(classes: DataFrame) -> DataFrame:
-    """``tree``, ``head`` (the tree's own minima), ``rest`` (those of the next tree), ``id``."""
+    """``tree``, ``head`` (the tree's own minima), ``id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,36 +153,20 @@ def labels(classes: DataFrame) -> DataFrame:
                     [
                         pa.array(np.full(len(rows), t, np.int8)),
                         pa.array(np.ascontiguousarray(rows[:, t])),
-                        pa.array(np.ascontiguousarray(rows[:, (t + 1) % TREES])),
                         batch.column(0),
                     ],
-                    names=["tree", "head", "rest", "id"],
+                    names=["tree", "head", "id"],
                 )
 
-    return classes.select("id", "signature").mapInArrow(run, "tree byte, head long, rest long, id long")
-
-
-def candidates(rows: DataFrame, region: int) -> DataFrame:
-    """Neighbours (a, b) in the sorted orders whose common prefix is long enough."""
-    keys = ["tree", "head"]
-    sized = rows.withColumn("n4", F.count("*").over(Window.partitionBy(*keys))).where("n4 > 1")
-    for d in (5, 6, 7):
-        part = F.expr(f"shiftrightunsigned(rest, {64 - 16 * (d - 4)})")
-        sized = sized.withColumn(f"p{d}", part).withColumn(f"n{d}", F.count("*").over(Window.partitionBy(*keys, f"p{d}")))
-    depth = F.lit(8)
-    for d in (7, 6, 5, 4):
-        depth = F.when(F.col(f"n{d}") <= region, d).otherwise(depth)
-    order = Window.partitionBy(*keys).orderBy("rest", "id")
-    near = sized.select("id", depth.alias("depth"), F.lag("id").over(order).alias("b"), F.expr("rest").alias("rest"), F.lag("rest").over(order).alias("last"))
-    apart = F.expr("rest ^ last")
-    common = (
-        F.when(apart == 0, 8)
-        .when(F.shiftrightunsigned(apart, 48) != 0, 4)
-        .when(F.shiftrightunsigned(apart, 32) != 0, 5)
-        .when(F.shiftrightunsigned(apart, 16) != 0, 6)
-        .otherwise(7)
-    )
-    return near.where(F.col("b").isNotNull() & (common >= F.col("depth"))).select(F.col("id").alias("a"), "b").distinct()
+    return classes.select("id", "signature").mapInArrow(run, "tree byte, head long, id long")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of every class with the smallest one of each head that it shares."""
+    # Written, so that the join deals a hot head to several tasks.
+    least = rows.groupBy("tree", "head").agg(F.min("id").alias("b"), F.count("*").alias("n"))
+    least = cut_lineage(least.where("n > 1").select("tree", "head", "b"))
+    return rows.join(least, ["tree", "head"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def spanning_links(ids: list[int], sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -292,7 +274,7 @@ def near_copies(
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    region: int = REGION,
+    region: int | None = None,
     tile: int = TILE,
 ) -> DataFrame:
     """One row per row of ``df``: the id, ``n_shingles``, ``component_id``, ``kept``.
@@ -303,11 +285,12 @@ def near_copies(
     empty texts, and texts without words, have no shingles and are linked with nothing. A null
     id is larger than all others and never named unless alone (its component is null). Rows
     that repeat an id are judged by their own texts. An empty table gives an empty one; other
-    columns are not read.
+    columns are not read. ``region`` is accepted for older callers and has no effect: regions of
+    any size are looked at whole.
     """
     docs = df.select(id_or_last(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = cut_lineage(sketches(docs, width))
-    out = _named(sketched, docs, width, percent, region, tile)
+    out = _named(sketched, docs, width, percent, tile)
     component = F.coalesce("component", "id")
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
@@ -322,7 +305,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stays."""
     docs = df.select(id_or_last(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = cut_lineage(sketches(docs, width))
-    out = _named(sketched, docs, width, percent, REGION, TILE)
+    out = _named(sketched, docs, width, percent, TILE)
     gone = out.where(F.coalesce("component", "id") != F.col("id"))
     gone = gone.select(F.col("id").alias("__id"), F.col("hash").alias("__h")).distinct()
     marked = df.withColumn("__key", id_or_last(id_col)).withColumn("__hash", F.xxhash64(text_col))
@@ -333,12 +316,12 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(gone.hint("shuffle_hash"), same, "left_anti").drop("__key", "__hash")
 
 
-def _named(sketched: DataFrame, docs: DataFrame, width: int, percent: int, region: int, tile: int) -> DataFrame:
+def _named(sketched: DataFrame, docs: DataFrame, width: int, percent: int, tile: int) -> DataFrame:
     """``sketched`` with ``component``: the smallest id of a class, or null without shingles."""
     some = sketched.where("n > 0")
     classes = some.groupBy("print").agg(F.min(F.struct("id", "n", "signature")).alias("first"))
     classes = cut_lineage(classes.select("print", "first.id", "first.n", "first.signature"))
-    looked = components(candidates(labels(classes), region))
+    looked = components(candidates(labels(classes)))
     sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
     groups = looked.join(sizes.withColumnRenamed("id", "node"), "node").select(F.col("node").alias("id"), "n", "component")
     links = cut_lineage(confirm(groups, docs, width, percent, tile))
