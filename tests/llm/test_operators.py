@@ -195,6 +195,44 @@ def test_near_copies_edges(spark):
     assert {r.doc_id for r in kept.collect()} == stay and kept.count() == len(stay)
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    def text(seed, *changed):
+        own = [f"t{seed}_{k}" for k in range(120)]
+        for k in changed:
+            own[k] = "changed"
+        return " ".join(own)
+
+    rows = [
+        (5, text(1), "en", "a"),
+        (None, text(1, 7), "en", "a"),  # near copy of 5
+        (None, text(2), "en", "a"),  # like nothing else
+        (None, text(3), "en", "a"),  # three near copies without an id, one of them twice
+        (None, text(3), "en", "a"),
+        (None, text(3, 60), "en", "a"),
+        (8, text(4), "en", "a"),  # an id with two texts, one a near copy of 6
+        (8, text(5), "en", "a"),
+        (6, text(4, 50), "en", "a"),
+        (9, text(6), "en", "a"),  # near copies of each other under one id
+        (9, text(6, 30), "en", "a"),
+        (None, None, "en", "a"),
+        (None, None, "en", "b"),
+        (None, "", "en", "a"),
+        (None, "", "en", "a"),
+    ]
+    df = documents(spark, rows)
+    done = [tuple(r) for r in nearcopies.near_copies(df, width=4).collect()]
+    assert Counter((i, c, k) for i, _, c, k in done) == Counter(
+        [(5, 5, True), (None, 5, False), (None, None, True), (None, None, True), (None, None, False), (None, None, False)]
+        + [(8, 6, False), (8, 8, True), (6, 6, True), (9, 9, True), (9, 9, False)]
+        + 4 * [(None, None, True)]
+    )
+    kept = Counter((r.doc_id, r.text) for r in nearcopies.drop_near_copies(df, width=4).collect())
+    assert sum(kept.values()) == 10
+    assert kept[None, None] == kept[None, ""] == 2
+    assert {(5, text(1)), (None, text(2)), (8, text(5)), (6, text(4, 50))} <= kept.keys()
+    assert kept[None, text(3)] + kept[None, text(3, 60)] == kept[9, text(6)] + kept[9, text(6, 30)] == 1
+
+
 # ---- repeated substrings ----------------------------------------------------------------
 
 

@@ -9,7 +9,8 @@
    them are compared exactly, all with all, on full sets. A connected group of more than
    ``TILE`` shingles is cut into blocks of like sizes; blocks whose sizes allow a link meet in
    tiles, and a tile gives a spanning forest of its links, not its pairs.
-4. Components of the links.
+4. Components of the links. Classes are the nodes, numbered on their own; ids only name the
+   components and choose the row that stays.
 """
 
 from __future__ import annotations
@@ -135,12 +136,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 names=["id", "hash", "n", "print", "signature"],
             )
 
-    hashed = docs.select("id", "text", F.xxhash64("text").alias("hash"))
-    return hashed.mapInArrow(run, "id long, hash long, n long, print binary, signature binary")
+    return docs.select("id", "text", "hash").mapInArrow(run, "id long, hash long, n long, print binary, signature binary")
 
 
 def labels(classes: DataFrame) -> DataFrame:
-    """``tree``, ``head`` (the tree's own minima), ``id``."""
+    """``tree``, ``head`` (the tree's own minima), ``node`` (number of the class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,18 +155,18 @@ def labels(classes: DataFrame) -> DataFrame:
                         pa.array(np.ascontiguousarray(rows[:, t])),
                         batch.column(0),
                     ],
-                    names=["tree", "head", "id"],
+                    names=["tree", "head", "node"],
                 )
 
-    return classes.select("id", "signature").mapInArrow(run, "tree byte, head long, id long")
+    return classes.select("node", "signature").mapInArrow(run, "tree byte, head long, node long")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
     """Links (a, b) of every class with the smallest one of each head that it shares."""
     # Written, so that the join deals a hot head to several tasks.
-    least = rows.groupBy("tree", "head").agg(F.min("id").alias("b"), F.count("*").alias("n"))
+    least = rows.groupBy("tree", "head").agg(F.min("node").alias("b"), F.count("*").alias("n"))
     least = cut_lineage(least.where("n > 1").select("tree", "head", "b"))
-    return rows.join(least, ["tree", "head"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    return rows.join(least, ["tree", "head"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def spanning_links(ids: list[int], sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -213,7 +213,8 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], sides: np.ndarray | N
 
 
 def confirm(groups: DataFrame, docs: DataFrame, width: int, percent: int, tile: int) -> DataFrame:
-    """Confirmed links (a, b). ``groups``: ``id``, ``n``, ``component`` of the candidates."""
+    """Confirmed links (a, b) of nodes. ``groups``: ``node``, ``n``, ``component`` of the
+    candidates, and ``id`` and ``hash`` of a row of ``docs`` that has the text; only one has both."""
     totals = groups.groupBy("component").agg(F.sum("n").alias("total"))
     groups = cut_lineage(groups.join(totals, "component"))
     # Small groups share tiles, several at once; their number follows the shingles in all.
@@ -221,7 +222,7 @@ def confirm(groups: DataFrame, docs: DataFrame, width: int, percent: int, tile:
     all_small = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bundles = max(1, math.ceil(all_small / tile))
     small = whole.select(
-        "id", "component", F.pmod(F.xxhash64("component"), F.lit(bundles)).alias("tile"), F.lit(-1).cast("long").alias("pair"), F.lit(0).alias("side")
+        "node", "id", "hash", "component", F.pmod(F.xxhash64("component"), F.lit(bundles)).alias("tile"), F.lit(-1).cast("long").alias("pair"), F.lit(0).alias("side")
     )
     large = groups.where(F.col("total") > tile)
     large = large.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)))
@@ -229,7 +230,7 @@ def confirm(groups: DataFrame, docs: DataFrame, width: int, percent: int, tile:
     # At least half full blocks of at most a tile, but for texts that are longer.
     counts = counts.withColumn("parts", F.ceil(F.lit(2) * F.col("in_class") / F.greatest(F.lit(tile), F.col("longest"))))
     large = large.join(counts.select("component", "class", "parts"), ["component", "class"])
-    large = cut_lineage(large.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("id", "component", "class", "part"))
+    large = cut_lineage(large.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).select("node", "id", "hash", "component", "class", "part"))
     blocks = counts.select("component", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     reach = math.ceil(math.log(100 / percent) / math.log(SIZE_STEP)) + 1
     other = blocks.select(F.col("component").alias("c2"), F.col("class").alias("class2"), F.col("part").alias("part2"))
@@ -244,15 +245,16 @@ def confirm(groups: DataFrame, docs: DataFrame, width: int, percent: int, tile:
     ends = pairs.withColumn("ends", F.when(same, F.expr(alone)).otherwise(F.expr(both)))
     ends = ends.select("component", "tile", F.inline("ends"))
     big = large.join(ends, ["component", "class", "part"]).select(
-        "id", "component", "tile", F.col("tile").alias("pair"), "side"
+        "node", "id", "hash", "component", "tile", F.col("tile").alias("pair"), "side"
     )
     members = cut_lineage(small.unionByName(big))
-    named = members.select(F.col("id").alias("m"), "component", "tile", "pair", "side")
-    rows = docs.join(named.hint("shuffle_hash"), F.col("id") == F.col("m")).select("id", "text", "component", "tile", "pair", "side")
+    named = members.select("node", F.col("id").alias("m"), F.col("hash").alias("h"), "component", "tile", "pair", "side")
+    own = (F.col("id") == F.col("m")) & (F.col("hash") == F.col("h"))
+    rows = docs.join(named.hint("shuffle_hash"), own).select("node", "text", "component", "tile", "pair", "side")
 
     def compare(table: pa.Table) -> pa.Table:
         shingler = Shingler(width)
-        ids = table["id"].to_pylist()
+        ids = table["node"].to_pylist()
         sets = list(shingler(texts(table["text"].combine_chunks())))
         sides = np.array(table["side"].to_pylist(), np.int64)
         found: list[tuple[int, int]] = []
@@ -283,49 +285,73 @@ def near_copies(
     sets of ``width`` words, A-Z in lower case; a text of fewer words is one shingle. The
     component is named by the smallest id that can be reached; ``kept`` is its own row. Null and
     empty texts, and texts without words, have no shingles and are linked with nothing. A null
-    id is larger than all others and never named unless alone (its component is null). Rows
-    that repeat an id are judged by their own texts. An empty table gives an empty one; other
+    id is larger than all others and names no component (one of null ids alone is null, and one
+    row of it stays). Rows that repeat an id are judged by their own texts; of different texts
+    with the smallest id one stays. An empty table gives an empty one; other
     columns are not read. ``region`` is accepted for older callers and has no effect: regions of
     any size are looked at whole.
     """
-    docs = df.select(id_or_last(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketched = cut_lineage(sketches(docs, width))
+    docs, sketched = _sketched(df, id_col, text_col, width)
     out = _named(sketched, docs, width, percent, tile)
-    component = F.coalesce("component", "id")
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(component != NO_ID, component).alias("component_id"),
-        (component == F.col("id")).alias("kept"),
+        F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"),
+        "kept",
     )
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``df`` without the rows that ``near_copies`` does not keep; of equal rows with one id one
-    stays."""
-    docs = df.select(id_or_last(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketched = cut_lineage(sketches(docs, width))
+    stays. Rows without an id whose texts have no words all stay."""
+    docs, sketched = _sketched(df, id_col, text_col, width)
     out = _named(sketched, docs, width, percent, TILE)
-    gone = out.where(F.coalesce("component", "id") != F.col("id"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("hash").alias("__h")).distinct()
+    gone = out.where("NOT text_kept").select(F.col("id").alias("__id"), F.col("hash").alias("__h")).distinct()
     marked = df.withColumn("__key", id_or_last(id_col)).withColumn("__hash", F.xxhash64(text_col))
-    repeated = sketched.groupBy("id", "hash").count().where("count > 1")
-    if not repeated.isEmpty():
-        marked = marked.dropDuplicates(["__key", "__hash"])
+    if _repeats(sketched.where((F.col("n") > 0) | (F.col("id") != NO_ID))):
+        words = F.coalesce(F.col(text_col).rlike(r"[^\x09-\x0d\x20]"), F.lit(False))
+        alone = F.when((F.col("__key") == NO_ID) & ~words, F.monotonically_increasing_id())
+        marked = marked.withColumn("__alone", alone).dropDuplicates(["__key", "__hash", "__alone"])
     same = (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__h"))
-    return marked.join(gone.hint("shuffle_hash"), same, "left_anti").drop("__key", "__hash")
+    return marked.join(gone.hint("shuffle_hash"), same, "left_anti").drop("__key", "__hash", "__alone")
+
+
+def _sketched(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """``id``, ``text``, ``hash`` of the rows, and their sketches, written and with a ``row`` number."""
+    docs = df.select(id_or_last(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    return docs, cut_lineage(sketches(docs, width).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _repeats(sketched: DataFrame) -> bool:
+    """Whether an id stands with the same text more than once."""
+    return not sketched.groupBy("id", "hash").count().where("count > 1").isEmpty()
 
 
 def _named(sketched: DataFrame, docs: DataFrame, width: int, percent: int, tile: int) -> DataFrame:
-    """``sketched`` with ``component``: the smallest id of a class, or null without shingles."""
+    """``sketched`` with ``component`` (the smallest id of the texts that are linked), ``text_kept``
+    (whether the row's text is the one that stays under its id) and ``kept``.
+
+    Of a component the smallest (id, print, hash) stays, and all its rows if it has an id: they are
+    one document. Without an id its first row stays.
+    """
     some = sketched.where("n > 0")
-    classes = some.groupBy("print").agg(F.min(F.struct("id", "n", "signature")).alias("first"))
-    classes = cut_lineage(classes.select("print", "first.id", "first.n", "first.signature"))
-    looked = components(candidates(labels(classes)))
-    sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
-    groups = looked.join(sizes.withColumnRenamed("id", "node"), "node").select(F.col("node").alias("id"), "n", "component")
+    if _repeats(some):
+        docs = docs.dropDuplicates(["id", "hash"])
+    classes = some.groupBy("print").agg(F.min(F.struct("id", "hash", "row", "n", "signature")).alias("first"))
+    # Numbers of classes hold once they are written.
+    classes = cut_lineage(classes.select("print", "first.*", F.monotonically_increasing_id().alias("node")))
+    looked = components(candidates(labels(classes))).withColumnRenamed("node", "m")
+    groups = looked.join(classes, F.col("node") == F.col("m")).select("node", "id", "hash", "n", "component")
     links = cut_lineage(confirm(groups, docs, width, percent, tile))
-    joined = components(links).select(F.col("node").alias("id"), "component")
-    named = classes.select("print", "id").join(joined, "id", "left")
-    named = cut_lineage(named.select(F.col("print").alias("of"), F.coalesce("component", "id").alias("component")))
-    return sketched.join(named, F.col("print") == F.col("of"), "left")
+    joined = components(links).select(F.col("node").alias("m"), "component")
+    named = classes.join(joined, F.col("node") == F.col("m"), "left").withColumn("group", F.coalesce("component", "node"))
+    named = cut_lineage(named.select("print", "id", "hash", "row", "group"))
+    stays = named.groupBy("group").agg(F.min(F.struct("id", "print", "hash", "row")).alias("stays"))
+    named = named.select(F.col("print").alias("of"), "group").join(stays, "group").drop("group")
+    out = sketched.join(named, F.col("print") == F.col("of"), "left")
+    own = (F.col("id") == F.col("stays.id")) & (F.col("print") == F.col("stays.print")) & (F.col("hash") == F.col("stays.hash"))
+    text_kept = F.col("stays").isNull() | own
+    kept = F.col("stays").isNull() | own & ((F.col("id") != NO_ID) | (F.col("row") == F.col("stays.row")))
+    component = F.coalesce("stays.id", "id")
+    return out.select("id", "hash", "n", component.alias("component"), text_kept.alias("text_kept"), kept.alias("kept"))
