@@ -368,3 +368,26 @@ def test_short_signals_are_kept_with_a_reason(spark):
     assert got["a"].sound_loudness is None and got["b"].sound_loudness > 0
     numbered = spark.createDataFrame([("x", 0, 3), ("y", 0, 64)], "signal_id string, i long, n long")
     assert [tuple(r) for r in unframed_series(numbered, framing).collect()] == [("x", "shorter than a frame")]
+
+
+def test_queries_keep_unframed_signals(spark, tmp_path):
+    from compare import connect, difference, spark_result, sql_result
+
+    from verseflux.queries import ORACLES, QUERIES
+
+    events = "id event_id, 7 + id % 2 * (id div 20) user_id, timestamp_seconds(id * 30) ts, sin(id) value"
+    spark.range(23).selectExpr(*events.split(", ")).coalesce(1).write.parquet(str(tmp_path / "made.parquet"))
+    rows = [(1, [float(np.sin(k)) for k in range(64)]), (2, []), (3, None), (4, [0.5])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "vectors.parquet"))
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    for made, name in (("made", "events"), ("vectors", "embeddings")):
+        part = next((tmp_path / f"{made}.parquet").glob("part-*.parquet"))
+        (folder / f"{name}.parquet").write_bytes(part.read_bytes())
+    con = connect(str(folder))
+    want = {"signal_features_all": {7: None, 8: "shorter than a frame"}}
+    want["signal_features_arrays_all"] = {1: None, 2: "no samples", 3: "no samples", 4: None}
+    for name, reasons in want.items():
+        done = QUERIES[name](spark, str(folder))
+        assert difference(spark_result(done), sql_result(con, ORACLES[name])) is None
+        assert {r.signal_id: r.reason for r in done.collect()} == reasons

@@ -19,6 +19,7 @@ from verseflux.operators.signal import (
     chunk_arrays,
     chunk_series,
     frame_table,
+    keep_unframed,
     mean_timbre,
     onset_envelope,
     signal_features,
@@ -26,6 +27,8 @@ from verseflux.operators.signal import (
     spectral_chunks,
     tempo,
     timbre_chunks,
+    unframed_arrays,
+    unframed_series,
 )
 from verseflux.queries.registry import query, rounded, sql_rounded, table
 
@@ -300,3 +303,45 @@ def signal_features_query(spark: SparkSession, folder: str) -> DataFrame:
 def signal_features_arrays(spark: SparkSession, folder: str) -> DataFrame:
     cut = chunk_arrays(table(spark, folder, "embeddings"), ARRAY_FRAMING, "vec_id", "embedding")
     return _round_features(signal_features(cut, ARRAY_FRAMING, ARRAY_TEMPO))
+
+
+_SQL_KEPT = """
+SELECT *, NULL::varchar AS reason FROM ({framed})
+UNION ALL SELECT {id}, NULL, NULL, NULL, NULL, NULL, {reason} FROM {rest}"""
+
+
+@query(
+    "signal_features_all",
+    _SQL_EVENTS
+    + sql_tempo(FRAMING, TEMPO)
+    + _SQL_KEPT.format(
+        framed=_SQL_ALL.replace("{bands}", str(BANDS)),
+        id="user_id",
+        reason="'shorter than a frame'",
+        rest=f"events GROUP BY user_id HAVING count(*) < {FRAME}",
+    ),
+)
+def signal_features_all(spark: SparkSession, folder: str) -> DataFrame:
+    """``signal_features`` and a row with a reason for every signal shorter than a frame."""
+    numbered = samples(spark, folder)
+    features = _round_features(signal_features(chunk_series(numbered, FRAMING), FRAMING, TEMPO))
+    return keep_unframed(features, unframed_series(numbered, FRAMING))
+
+
+@query(
+    "signal_features_arrays_all",
+    sql_spectra(_ARRAYS + " WHERE len(e) > 0", ARRAY_FRAMING)
+    + sql_tempo(ARRAY_FRAMING, ARRAY_TEMPO)
+    + _SQL_KEPT.format(
+        framed=_SQL_ALL.replace("{bands}", str(ARRAY_FRAMING.bands)),
+        id="vec_id",
+        reason="CASE WHEN coalesce(len(embedding), 0) = 0 THEN 'no samples' ELSE 'shorter than a frame' END",
+        rest=f"embeddings WHERE coalesce(len(embedding), 0) = 0 OR len(embedding) + {2 * _PAD} < {ARRAY_FRAMING.frame}",
+    ),
+)
+def signal_features_arrays_all(spark: SparkSession, folder: str) -> DataFrame:
+    """``signal_features_arrays`` and a row with a reason for every array without a frame."""
+    arrays = table(spark, folder, "embeddings")
+    cut = chunk_arrays(arrays, ARRAY_FRAMING, "vec_id", "embedding")
+    features = _round_features(signal_features(cut, ARRAY_FRAMING, ARRAY_TEMPO))
+    return keep_unframed(features, unframed_arrays(arrays, ARRAY_FRAMING, "vec_id", "embedding"))
