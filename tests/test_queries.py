@@ -55,3 +55,12 @@ def test_bootstrap_shape(spark):
     rows = QUERIES["bootstrap_band"](spark, FOLDER).collect()
     assert len({(r.feature, r.point) for r in rows}) == len(rows) == 500
     assert all(r.low <= r.high for r in rows)
+
+
+def test_failed_texts_are_scored(spark, monkeypatch):
+    # With a model that answers, the texts that fail otherwise get its label.
+    from verseflux.queries import sentiment
+
+    monkeypatch.setattr(sentiment, "_no_model", lambda: lambda texts: [("NEGATIVE", 0.8)] * len(texts))
+    rows = QUERIES["sentiment_label"](spark, FOLDER).where("kind = 'failed'").collect()
+    assert rows and {(r.sentiment, r.sentiment_score) for r in rows} == {("NEGATIVE", 0.8)}

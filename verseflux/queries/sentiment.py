@@ -10,8 +10,8 @@ from verseflux.operators.bayes import bayes_scores, bayes_weights
 from verseflux.operators.correlate import label_code
 from verseflux.operators.scoring import (
     Lexicon,
+    UserModel,
     build_lexicon,
-    label_sentiment,
     lexicon_terms,
     score_text,
     train_model,
@@ -79,27 +79,33 @@ def lexicon(spark: SparkSession, folder: str) -> Lexicon:
     return build_lexicon(labelled_documents(spark, folder), "text", "quality", LEXICON_WEIGHT)
 
 
-def _label_inputs(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored documents, texts whose scoring failed, and blank texts."""
+def _no_model():
+    """A classifier that fails on every text."""
+
+    def classify(texts: list[str]):
+        raise RuntimeError("no answer")
+
+    return classify
+
+
+def _sure_model():
+    return lambda texts: [("POSITIVE", 0.9)] * len(texts)
+
+
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, texts that the scorer fails on, and blank texts, all scored."""
     documents = table(spark, folder, "documents").select(
         F.lit("scored").alias("kind"), F.col("doc_id").alias("id"), "text"
     )
-    scored = lexicon(spark, folder)(documents, "text")
     failed = table(spark, folder, "benchmark").select(
-        F.lit("failed").alias("kind"),
-        F.col("item_id").alias("id"),
-        "text",
-        F.lit(None).cast("string").alias("label"),
-        F.lit(None).cast("double").alias("score"),
+        F.lit("failed").alias("kind"), F.col("item_id").alias("id"), "text"
     )
     blank = table(spark, folder, "labels").select(
-        F.lit("blank").alias("kind"),
-        F.col("doc_id").alias("id"),
-        F.lit(" \n").alias("text"),
-        F.lit("POSITIVE").alias("label"),
-        F.lit(0.9).alias("score"),
+        F.lit("blank").alias("kind"), F.col("doc_id").alias("id"), F.lit(" \n").alias("text")
     )
-    return scored.unionByName(failed).unionByName(blank)
+    scored = score_text(documents, "text", lexicon(spark, folder))
+    scored = scored.unionByName(score_text(failed, "text", UserModel(_no_model)))
+    return scored.unionByName(score_text(blank, "text", UserModel(_sure_model)))
 
 
 @query(
@@ -130,7 +136,7 @@ def sentiment_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     + f"SELECT kind, id, sentiment, {sql_rounded('sentiment_score')} AS sentiment_score FROM labelled",
 )
 def sentiment_label(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = label_sentiment(_label_inputs(spark, folder), "text")
+    labelled = _labelled(spark, folder)
     return labelled.select("kind", "id", "sentiment", rounded("sentiment_score").alias("sentiment_score"))
 
 
@@ -142,7 +148,7 @@ SELECT kind, id, sentiment, CASE sentiment WHEN 'POSITIVE' THEN 1 WHEN 'NEUTRAL'
     WHEN 'NEGATIVE' THEN -1 END AS sentiment_numeric FROM labelled""",
 )
 def sentiment_numeric(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = label_sentiment(_label_inputs(spark, folder), "text")
+    labelled = _labelled(spark, folder)
     code = label_code("sentiment", LABEL_CODES)
     return labelled.select("kind", "id", "sentiment", code.alias("sentiment_numeric"))
 
