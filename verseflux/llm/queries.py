@@ -285,3 +285,6 @@ def op9_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")
     )
+
+
+from verseflux.llm import queries_new  # noqa: E402, F401  (registers its queries)
