@@ -37,7 +37,7 @@ SIZE_STEP = 1.05
 _GROUP = 1_000_000
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix64(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -52,7 +52,7 @@ class Shingler:
         self.width = width
         self.powers = self.inverses = np.ones(1, np.uint64)
 
-    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         n = len(data)
         if len(self.powers) <= n:
@@ -64,9 +64,9 @@ class Shingler:
         edge = np.diff(np.r_[False, inside].view(np.int8))
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         # Bytes are spread before they are summed, so that a word is no plain polynomial.
-        spread = _mix(data.astype(np.uint64) + np.uint64(self.BASE))
+        spread = mix64(data.astype(np.uint64) + np.uint64(self.BASE))
         sums = np.r_[np.uint64(0), np.cumsum(spread * self.powers[:n])]
-        hashes = _mix((sums[end] - sums[begin]) * self.inverses[begin] + (end - begin).astype(np.uint64))
+        hashes = mix64((sums[end] - sums[begin]) * self.inverses[begin] + (end - begin).astype(np.uint64))
         closes = np.cumsum([len(t) + 1 for t in texts])
         return hashes, np.diff(np.r_[0, np.searchsorted(begin, closes)])
 
@@ -83,11 +83,11 @@ class Shingler:
             yield from self._sets(group)
 
     def _sets(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        words, counts = self._words(texts)
+        words, counts = self.words(texts)
         w = self.width
         rows = np.zeros(max(0, len(words) - w + 1), np.uint64)
         for k in range(w):
-            rows = _mix(rows * np.uint64(3) + words[k : k + len(rows)])
+            rows = mix64(rows * np.uint64(3) + words[k : k + len(rows)])
         at = 0
         for n in counts:
             if n >= w:
@@ -95,7 +95,7 @@ class Shingler:
             elif n:
                 one = np.full(1, np.uint64(n))
                 for k in range(n):
-                    one = _mix(one * np.uint64(5) + words[at + k : at + k + 1])
+                    one = mix64(one * np.uint64(5) + words[at + k : at + k + 1])
                 yield one
             else:
                 yield rows[:0]

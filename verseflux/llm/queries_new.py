@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from verseflux.llm.bond import hard_negatives
 from verseflux.llm.common import table
 from verseflux.llm.prefixtrie import conversation_trie
+from verseflux.llm.queries import held_out
 from verseflux.llm.registry import query
+from verseflux.llm.suffixtree import score_texts
 
 #: Unsigned crc32 of the text ``{0}``: the table comes from the polynomial, bit by bit.
 CRC_TABLE = (
@@ -87,3 +89,11 @@ FROM counted n JOIN sums s USING (node) LEFT JOIN nodes p ON n.parent = p.node
 @query("op13_prefix_table", TRIE_SQL)
 def op13_prefix_table(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie(table(spark, folder, "conversations"))
+
+
+@query("op12_suffix_tree")
+def op12_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(held_out("doc_id", 7, 2), F.lit(False)))
+    scored = score_texts(docs.withColumn("learned", ~F.col("held_out")), "learned")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from verseflux.lineage import checkpoint_dir, cut_lineage
 from verseflux.llm.common import add_arrow, id_or_last, texts, without
 from verseflux.llm.lyndon import suffix_array
-from verseflux.llm.nearcopies import _mix
+from verseflux.llm.nearcopies import mix64
 from verseflux.llm.records import remove_folder
 
 LENGTH = 200
@@ -53,7 +53,7 @@ class Anchors:
         inverse = pow(_BASE, -1, 1 << 64)
         self.powers = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
         self.inverses = np.cumprod(np.r_[np.uint64(1), np.full(n, inverse, np.uint64)])
-        self.spread = _mix(np.arange(256, dtype=np.uint64) + np.uint64(_BASE))
+        self.spread = mix64(np.arange(256, dtype=np.uint64) + np.uint64(_BASE))
 
     def __call__(self, pieces: list[bytes]):
         """Segments of all pieces: number of the piece, hash of the anchor, hash of the whole,
@@ -66,7 +66,7 @@ class Anchors:
             return None
         starts = np.cumsum(sizes) - sizes
         sums = np.r_[np.uint64(0), np.cumsum(self.spread[data] * self.powers[:n])]
-        hashes = _mix((sums[g:] - sums[:-g]) * self.inverses[: n - g + 1])
+        hashes = mix64((sums[g:] - sums[:-g]) * self.inverses[: n - g + 1])
         places = np.arange(len(hashes), dtype=np.uint64)
         low = np.uint64((1 << _PLACE_BITS) - 1)
         keys = (hashes & ~low) | places
@@ -87,8 +87,8 @@ class Anchors:
         good = inside[first]
         first, last = first[good], last[good]
         at = chosen[first]
-        bytes_ = _mix((sums[last + length] - sums[first]) * self.inverses[first])
-        whole_hash = _mix(bytes_ + ((at - first) * 1024 + (last - first)).astype(np.uint64))
+        bytes_ = mix64((sums[last + length] - sums[first]) * self.inverses[first])
+        whole_hash = mix64(bytes_ + ((at - first) * 1024 + (last - first)).astype(np.uint64))
         own = owner[first]
         return own, hashes[at], whole_hash, first - starts[own], last - starts[own], at - starts[own]
 
