@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_registered():
     assert entry_file.queries().keys() >= {*QUERIES, "pipeline"}
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_token_queries(spark, docs):

@@ -99,7 +99,7 @@ def _kind(bound: float):
         return np.float32
     if bound < 2.0**53:
         return np.float64
-    return np.int64 if bound < 2.0**62 else object
+    return np.int64 if bound < 2.0**60 else object
 
 
 def scan(anchor: np.ndarray, block: _Block, alive: np.ndarray, keep, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -109,11 +109,12 @@ def scan(anchor: np.ndarray, block: _Block, alive: np.ndarray, keep, step: int =
     """
     order = np.argsort(-np.abs(anchor), kind="stable")
     a = anchor[order]
-    ends = np.stack([a * block.least[order], a * block.most[order]])
+    kind = _kind(float(np.abs(a).astype(float) @ block.size[order].astype(float)))
+    whole = object if kind is object else np.int64
+    ends = np.stack([a.astype(whole) * block.least[order], a.astype(whole) * block.most[order]])
     # What all dimensions after the first k can add, at least and at most.
     low = np.r_[np.cumsum(ends.min(axis=0)[::-1])[::-1], 0]
     high = np.r_[np.cumsum(ends.max(axis=0)[::-1])[::-1], 0]
-    kind = _kind(float(np.abs(a).astype(float) @ block.size[order].astype(float)))
     columns, a = block.columns(kind), a.astype(kind)
     n = len(block.ids)
     rows = np.flatnonzero(alive)
@@ -130,7 +131,7 @@ def scan(anchor: np.ndarray, block: _Block, alive: np.ndarray, keep, step: int =
         else:
             scores = scores + a[k : k + step] @ columns[np.ix_(dims, rows)]
         after = min(k + step, len(a))
-        left = keep(scores.astype(np.int64) + low[after], scores.astype(np.int64) + high[after])
+        left = keep(scores.astype(whole) + low[after], scores.astype(whole) + high[after])
         rows, scores = rows[left], scores[left]
         dense = dense and len(rows) * 3 > n
     return rows, scores.astype(np.int64)
@@ -242,8 +243,8 @@ def hard_negatives(
 
     Components are floor(``scale`` * x); a score is the inner product of these whole numbers.
     Higher scores come first, ties go to the smaller id. Rows with a null id, label or vector, or
-    a null or non-finite component take no part, nor do components beyond 31 bits; only vectors
-    of one length meet. Equal rows count once; rows that share the anchor's id are neither its
+    a null or non-finite component take no part, nor do components beyond 31 bits; scores must fit
+    a long; only vectors of one length meet. Equal rows count once; rows that share the anchor's id are neither its
     positives nor its negatives. Positives of negative score have no negatives. An empty table
     gives an empty one; other columns are not read.
     """

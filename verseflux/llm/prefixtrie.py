@@ -88,10 +88,14 @@ class PerfectHash:
 
 
 def subtree_sums(
-    depth: np.ndarray, node: tuple[np.ndarray, np.ndarray], parent: tuple[np.ndarray, np.ndarray], own: np.ndarray
+    depth: np.ndarray,
+    node: tuple[np.ndarray, np.ndarray],
+    parent: tuple[np.ndarray, np.ndarray],
+    own: np.ndarray,
+    piece: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digests (two arrays) of the distinct nodes and the sums of ``own`` (a row per number) over
-    the subtree of each, as far as these rows tell."""
+    the subtree of each, as far as its piece goes and these rows tell."""
     order = np.lexsort(node[::-1])
     first = np.r_[True, (node[0][order][1:] != node[0][order][:-1]) | (node[1][order][1:] != node[1][order][:-1])]
     some = order[first[: len(order)]]
@@ -102,7 +106,7 @@ def subtree_sums(
     here = table.find(node[0][some], node[1][some])
     up[here] = table.find(parent[0][some], parent[1][some])
     level[here] = depth[some]
-    up[level == 0] = -1  # the root has no parent, and its digest stands for none
+    up[level % piece == 0] = -1  # nothing leaves a piece here: it enters the next as a number
     sums = np.zeros((len(own), len(some)), np.int64)
     for k, numbers in enumerate(own):
         np.add.at(sums[k], slots, numbers)
@@ -241,7 +245,7 @@ def _subtrees(paths: DataFrame, nodes: DataFrame, piece: int, shard_rows: int) -
     both = lasts.select("conv", "part", "leaf", "saved").unionByName(totals.select("conv", "part", "leaf", "saved"))
     both = both.groupBy("conv", "part").agg(F.sum("leaf").alias("leaf"), F.sum("saved").alias("saved"))
     both = both.select("conv", "part", F.sum("leaf").over(deeper).alias("leaf"), F.sum("saved").over(deeper).alias("saved"))
-    entering = lasts.drop("leaf", "saved").join(both, ["conv", "part"]).where("leaf > 0").drop("part")
+    entering = lasts.drop("leaf", "saved").join(both, ["conv", "part"]).where("leaf > 0 OR saved > 0").drop("part")
     rows = steps.unionByName(own).unionByName(entering)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("conv", part), F.lit(shards))).drop("conv")
 
@@ -251,7 +255,7 @@ def _subtrees(paths: DataFrame, nodes: DataFrame, piece: int, shard_rows: int) -
         )
         unsigned = lambda x: x.view(np.uint64)
         a, b, sums = subtree_sums(
-            depth, (unsigned(p1), unsigned(p2)), (unsigned(q1), unsigned(q2)), np.stack([leaf, saved])
+            depth, (unsigned(p1), unsigned(p2)), (unsigned(q1), unsigned(q2)), np.stack([leaf, saved]), piece
         )
         some = (sums != 0).any(axis=0)
         return pa.table({"p1": a[some].view(np.int64), "p2": b[some].view(np.int64), "leaf": sums[0][some], "saved": sums[1][some]})

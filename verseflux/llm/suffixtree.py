@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from verseflux.lineage import cut_lineage
-from verseflux.llm.common import texts, without
+from verseflux.llm.common import release, texts, without
 from verseflux.llm.nearcopies import Shingler, mix64
 
 #: Words of a context, at most; weight of the suffix; nats that a context must gain.
@@ -285,6 +285,7 @@ def score_texts(
     answers = _answers(blocks.drop("rest").mapInArrow(first, ddl), 0)
     distinct = answers.where("block = -1").agg(F.sum("n")).first()[0] or 0
     total = _train_tokens(blocks)
+    release(df.sparkSession)
 
     def with_answers(columns: list[str], answers: DataFrame):
         own = blocks.select("block", *columns)
@@ -312,6 +313,8 @@ def score_texts(
     for asked in range(1, 2 * order + 1):
         more = with_answers(state, answers).applyInArrow(step(asked), ddl)
         answers = answers.unionByName(_answers(more, asked))
+        del more
+        release(df.sparkSession)
 
     schema = StructType(list(rest.schema.fields) + list(StructType.fromDDL(_RESULT).fields))
 
