@@ -22,6 +22,7 @@ that results do not depend on how texts are dealt to blocks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ GAIN = 6.0
 #: Bytes of text in a block, and keys of a shard on average, at most.
 BLOCK_BYTES = 8_000_000
 SHARD_KEYS = 2_000_000
+#: Buckets of the table of blocks, at most (Spark's own limit).
+MOST_BUCKETS = 100_000
 #: Gains are summed as whole multiples of 2^-16 nats.
 _UNIT = 1 << 16
 #: Stands for the end of a text among the hashes of words.
@@ -112,7 +115,10 @@ def _blocks(docs: DataFrame, text_col: str, train_col: str, size: int) -> DataFr
             yield block(*held)
 
     packed = plain.mapInArrow(run, "n long, docs long, lengths binary, train binary, words binary, codes binary, rest binary")
-    return cut_lineage(packed.withColumn("block", F.monotonically_increasing_id()))
+    packed = packed.withColumn("block", F.monotonically_increasing_id())
+    # The part of a block is the task that made it: as a table with a bucket per part the blocks
+    # meet their answers again and again without being shuffled.
+    return packed.withColumn("part", F.spark_partition_id())
 
 
 class Ask:
@@ -146,7 +152,7 @@ class Ask:
 
 
 def _answers(asked: DataFrame, kind: int) -> DataFrame:
-    """Every shard adds up what all blocks say of a key, and answers every block. A row of block
+    """Every shard adds up what all blocks say of a key, and answers every block. A row of part
     -1 tells how many keys of the shard have a count."""
 
     def add(rows: pa.Table) -> pa.Table:
@@ -158,7 +164,7 @@ def _answers(asked: DataFrame, kind: int) -> DataFrame:
         group = np.empty(len(keys), np.int64)
         group[order] = np.cumsum(first) - 1
         ends = np.cumsum(ns)
-        made = {"block": rows["block"].to_pylist() + [-1], "n": ns + [0]}
+        made = {"part": rows["part"].to_pylist() + [-1], "block": rows["block"].to_pylist() + [-1], "n": ns + [0]}
         for name in ("sums", "gains"):
             packed = rows[name].to_pylist()
             if packed[0] is None:
@@ -172,12 +178,12 @@ def _answers(asked: DataFrame, kind: int) -> DataFrame:
             made[name] = [squeeze(answer[e - n : e]) for e, n in zip(ends, ns, strict=True)] + [None]
         shard = rows["shard"][0].as_py()
         return pa.table(
-            [pa.array(made["block"], pa.int64()), pa.array([shard] * len(made["n"]), pa.int32()), pa.array(made["n"], pa.int32()),
+            [pa.array(made["part"], pa.int32()), pa.array(made["block"], pa.int64()), pa.array([shard] * len(made["n"]), pa.int32()), pa.array(made["n"], pa.int32()),
              pa.array(made["sums"], pa.binary()), pa.array(made["gains"], pa.binary())],
-            names=["block", "shard", "n", "sums", "gains"],
+            names=["part", "block", "shard", "n", "sums", "gains"],
         )
 
-    answers = asked.groupBy("shard").applyInArrow(add, "block long, shard int, n int, sums binary, gains binary")
+    answers = asked.groupBy("shard").applyInArrow(add, "part int, block long, shard int, n int, sums binary, gains binary")
     return cut_lineage(answers.withColumn("kind", F.lit(kind)))
 
 
@@ -266,69 +272,79 @@ def score_texts(
     names = StructType.fromDDL(_RESULT).names
     docs = df.select(*[f"`{c}`" for c in without(df, names).columns])
     rest = docs.drop(text_col)
+    spark = df.sparkSession
     blocks = _blocks(docs, text_col, train_col, block_bytes)
-    shards = max(1, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // shard_keys))
-    ddl = "block long, shard int, n int, keys binary, sums binary, gains binary"
+    name = f"suffixtree_blocks_{uuid.uuid4().hex}"
+    buckets = max(1, min(blocks.rdd.getNumPartitions(), MOST_BUCKETS))
+    blocks.write.bucketBy(buckets, "part").saveAsTable(name)
+    try:
+        return cut_lineage(_scores(spark.table(name), rest.schema, order, weight, gain, shard_keys))
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
 
-    def rows_of(block: int, ask: Ask) -> pa.Table:
-        made = [(block, s, n, keys, adds[0], adds[1] if len(adds) > 1 else None) for s, keys, adds, n in ask.by_shard(shards)]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        columns = list(zip(*made, strict=True)) if made else [()] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "shard", "n", "keys", "sums", "gains"])
+def _scores(blocks: DataFrame, rest: StructType, order: int, weight: float, gain: float, shard_keys: int) -> DataFrame:
+    spark, names = blocks.sparkSession, StructType.fromDDL(_RESULT).names
+    shards = max(1, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // shard_keys))
+    ddl = "part int, block long, shard int, n int, keys binary, sums binary, gains binary"
+    fields = StructType.fromDDL(ddl).names
+
+    def rows_of(row: dict, ask: Ask) -> pa.Table:
+        made = [
+            (row["part"], row["block"], s, n, keys, adds[0], adds[1] if len(adds) > 1 else None)
+            for s, keys, adds, n in ask.by_shard(shards)
+        ]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        columns = list(zip(*made, strict=True)) if made else [()] * 7
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=fields)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                yield from rows_of(row["block"], Block(row, order, weight, gain).advance([], 0, 0)).to_batches()
+                yield from rows_of(row, Block(row, order, weight, gain).advance([], 0, 0)).to_batches()
 
-    answers = _answers(blocks.drop("rest").mapInArrow(first, ddl), 0)
-    distinct = answers.where("block = -1").agg(F.sum("n")).first()[0] or 0
+    state = ["part", "block", "n", "docs", "lengths", "train", "words", "codes"]
+    answers = _answers(blocks.select(*state).mapInArrow(first, ddl), 0)
+    distinct = answers.where("part = -1").agg(F.sum("n")).first()[0] or 0
     total = _train_tokens(blocks)
-    release(df.sparkSession)
-
-    def with_answers(columns: list[str], answers: DataFrame):
-        own = blocks.select("block", *columns)
-        other = answers.where("block >= 0").withColumnRenamed("n", "answered")
-        both = own.unionByName(other, allowMissingColumns=True)
-        return both.groupBy("block")
-
-    def fixed(found: list[dict], asked: int) -> list[list[dict]]:
-        said: list[list[dict]] = [[] for _ in range(asked)]
-        for r in found:
-            if r["kind"] is not None:
-                said[r["kind"]].append({"shard": r["shard"], "n": r["answered"], "sums": r["sums"], "gains": r["gains"]})
-        return said
+    release(spark)
+
+    def met(columns: list[str]):
+        """Blocks and their answers by part; only the answers are shuffled."""
+        return blocks.select(*columns).groupBy("part").cogroup(answers.where("part >= 0").groupBy("part"))
+
+    def each(rows: pa.Table, said: pa.Table, asked: int) -> Iterator[tuple[dict, Block, Ask | tuple]]:
+        where = np.array(said["block"].to_pylist(), np.int64)
+        for i in range(rows.num_rows):
+            row = rows.slice(i, 1).to_pylist()[0]
+            given: list[list[dict]] = [[] for _ in range(asked)]
+            for r in said.take(np.flatnonzero(where == row["block"])).to_pylist():
+                given[r["kind"]].append(r)
+            block = Block(row, order, weight, gain)
+            yield row, block, block.advance(given, total, distinct)
 
     def step(asked: int):
-        def go(table: pa.Table) -> pa.Table:
-            found = table.to_pylist()
-            row = next(r for r in found if r["kind"] is None)
-            ask = Block(row, order, weight, gain).advance(fixed(found, asked), total, distinct)
-            return rows_of(row["block"], ask)
+        def go(rows: pa.Table, said: pa.Table) -> pa.Table:
+            return pa.concat_tables([rows_of(row, ask) for row, _, ask in each(rows, said, asked)])
 
         return go
 
-    state = ["n", "docs", "lengths", "train", "words", "codes"]
     for asked in range(1, 2 * order + 1):
-        more = with_answers(state, answers).applyInArrow(step(asked), ddl)
-        answers = answers.unionByName(_answers(more, asked))
-        del more
-        release(df.sparkSession)
-
-    schema = StructType(list(rest.schema.fields) + list(StructType.fromDDL(_RESULT).fields))
-
-    def finish(table: pa.Table) -> pa.Table:
-        found = table.to_pylist()
-        row = next(r for r in found if r["kind"] is None)
-        block = Block(row, order, weight, gain)
-        known, plain, p = block.advance(fixed(found, 2 * order + 1), total, distinct)
-        others = pa.ipc.open_stream(row["rest"]).read_all()
-        add = lambda x: np.add.reduceat(x, block.starts)
-        made = [block.lengths, add(known.astype(np.int64)), np.full(len(block.lengths), total, np.int64), add(plain), add(p)]
-        return pa.table(others.columns + [pa.array(m) for m in made], names=others.column_names + names)
-
-    return with_answers([*state, "rest"], answers).applyInArrow(finish, schema)
+        answers = answers.unionByName(_answers(met(state).applyInArrow(step(asked), ddl), asked))
+        release(spark)
+
+    def finish(rows: pa.Table, said: pa.Table) -> pa.Table:
+        done = []
+        for row, block, (known, plain, p) in each(rows, said, 2 * order + 1):
+            others = pa.ipc.open_stream(row["rest"]).read_all()
+            add = lambda x, at=block.starts: np.add.reduceat(x, at)
+            made = [block.lengths, add(known.astype(np.int64)), np.full(len(block.lengths), total, np.int64), add(plain), add(p)]
+            done.append(pa.table(others.columns + [pa.array(m) for m in made], names=others.column_names + names))
+        return pa.concat_tables(done)
+
+    schema = StructType(list(rest.fields) + list(StructType.fromDDL(_RESULT).fields))
+    return met([*state, "rest"]).applyInArrow(finish, schema)
 
 
 def _train_tokens(blocks: DataFrame) -> int:
