@@ -40,8 +40,8 @@ ORDER = 2
 WEIGHT = 256.0
 GAIN = 6.0
 #: Bytes of text in a block, and keys of a shard on average, at most.
-BLOCK_BYTES = 8_000_000
-SHARD_KEYS = 2_000_000
+BLOCK_BYTES = 4_000_000
+SHARD_KEYS = 1_000_000
 #: Buckets of the table of blocks, at most (Spark's own limit).
 MOST_BUCKETS = 100_000
 #: Gains are summed as whole multiples of 2^-16 nats.
