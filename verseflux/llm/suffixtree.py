@@ -138,61 +138,67 @@ class Ask:
                 steps = np.diff(np.r_[np.uint64(0), keys[a:b]])
                 yield s, squeeze(steps), [squeeze(x[order[a:b]].astype(np.int64)) for x in self.adds], int(b - a)
 
-    def read(self, answers: list[dict]) -> list[np.ndarray]:
-        """The sums of all blocks, from the answers of all shards, in the order of the keys."""
-        out = [np.zeros(len(self.keys), np.int64) for _ in self.adds]
+    def read(self, answers: list[dict]) -> np.ndarray:
+        """The answers of all shards, in the order of the keys."""
+        out = np.zeros(len(self.keys), np.int64)
         order = np.argsort(self.keys)
         a = 0
         for answer in sorted(answers, key=lambda r: r["shard"]):
             n = answer["n"]
-            for k, values in enumerate((answer["sums"], answer["gains"])[: len(out)]):
-                out[k][order[a : a + n]] = unsqueeze(values, n, np.int64)
+            out[order[a : a + n]] = unsqueeze(answer["found"], n, np.int64)
             a += n
         return out
 
 
-def _answers(asked: DataFrame, kind: int) -> DataFrame:
-    """Every shard adds up what all blocks say of a key, and answers every block. A row of part
-    -1 tells how many keys of the shard have a count."""
+def _kept(n: np.ndarray, gains: np.ndarray, weight: float, gain: float) -> np.ndarray:
+    """The count of every context that passes the divergence test, 0 for the others."""
+    gained = gains / _UNIT + n * (np.log(weight) - np.log(np.maximum(n - 1, 0) + weight))
+    return np.where((n >= 2) & (gained >= gain), n, 0)
+
+
+def _answers(asked: DataFrame, kind: int, weight: float, gain: float) -> DataFrame:
+    """Every shard adds up what all blocks say of a key, and answers every block: the count, or
+    where gains were sent (contexts) the count of those in the tree. A row of part -1 tells how
+    many keys of the shard have a count."""
 
     def add(rows: pa.Table) -> pa.Table:
         ns = rows["n"].to_pylist()
         keys = np.concatenate([np.cumsum(unsqueeze(k, n, np.uint64)) for k, n in zip(rows["keys"].to_pylist(), ns, strict=True)])
         order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        first = np.r_[True, ordered[1:] != ordered[:-1]]
-        group = np.empty(len(keys), np.int64)
+        keys = keys[order]
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        del keys
+        starts = np.flatnonzero(first)
+
+        def total(name: str) -> np.ndarray:
+            adds = np.concatenate([unsqueeze(p, n, np.int64) for p, n in zip(rows[name].to_pylist(), ns, strict=True)])
+            return np.add.reduceat(adds[order], starts)
+
+        found = total("sums")
+        if rows["gains"][0].is_valid:
+            found = _kept(found, total("gains"), weight, gain)
+        some = int((found > 0).sum())
+        group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(first) - 1
         ends = np.cumsum(ns)
-        made = {"part": rows["part"].to_pylist() + [-1], "block": rows["block"].to_pylist() + [-1], "n": ns + [0]}
-        for name in ("sums", "gains"):
-            packed = rows[name].to_pylist()
-            if packed[0] is None:
-                made[name] = [None] * (len(ns) + 1)
-                continue
-            adds = np.concatenate([unsqueeze(p, n, np.int64) for p, n in zip(packed, ns, strict=True)])
-            sums = np.add.reduceat(adds[order], np.flatnonzero(first))
-            if name == "sums":
-                made["n"][-1] = int((sums > 0).sum())
-            answer = sums[group]
-            made[name] = [squeeze(answer[e - n : e]) for e, n in zip(ends, ns, strict=True)] + [None]
-        shard = rows["shard"][0].as_py()
+        packed = [squeeze(found[group[e - n : e]]) for e, n in zip(ends, ns, strict=True)]
+        size = len(ns) + 1
         return pa.table(
-            [pa.array(made["part"], pa.int32()), pa.array(made["block"], pa.int64()), pa.array([shard] * len(made["n"]), pa.int32()), pa.array(made["n"], pa.int32()),
-             pa.array(made["sums"], pa.binary()), pa.array(made["gains"], pa.binary())],
-            names=["part", "block", "shard", "n", "sums", "gains"],
+            [pa.array(rows["part"].to_pylist() + [-1], pa.int32()), pa.array(rows["block"].to_pylist() + [-1], pa.int64()),
+             pa.array([rows["shard"][0].as_py()] * size, pa.int32()), pa.array(ns + [some], pa.int32()), pa.array(packed + [None], pa.binary())],
+            names=["part", "block", "shard", "n", "found"],
         )
 
-    answers = asked.groupBy("shard").applyInArrow(add, "part int, block long, shard int, n int, sums binary, gains binary")
+    answers = asked.groupBy("shard").applyInArrow(add, "part int, block long, shard int, n int, found binary")
     return cut_lineage(answers.withColumn("kind", F.lit(kind)))
 
 
 class Block:
     """What a block knows of its texts with the answers it has so far."""
 
-    def __init__(self, row: dict, order: int, weight: float, gain: float):
+    def __init__(self, row: dict, order: int, weight: float):
         n, docs = row["n"], row["docs"]
-        self.order, self.weight, self.gain = order, weight, gain
+        self.order, self.weight = order, weight
         self.lengths = unsqueeze(row["lengths"], docs, np.int32).astype(np.int64)
         self.words = np.frombuffer(row["words"], "<u8")
         self.codes = unsqueeze(row["codes"], n, np.uint32).astype(np.int64)
@@ -206,7 +212,7 @@ class Block:
         ask = Ask(self.words, np.bincount(self.codes[self.train], minlength=len(self.words)))
         if (rows := next(asked, None)) is None:
             return ask
-        count = ask.read(rows)[0][self.codes]  # of what was last counted, at every token
+        count = ask.read(rows)[self.codes]  # of what was last counted, at every token
         plain = (count + 1.0) / (total + distinct + 1.0)
         known, p = count > 0, plain.copy()
         token = self.words[self.codes]
@@ -226,7 +232,7 @@ class Block:
             if (rows := next(asked, None)) is None:
                 return pairs
             count = np.zeros(len(token), np.int64)
-            count[at] = pairs.read(rows)[0][key]
+            count[at] = pairs.read(rows)[key]
             # What every follower gains, without itself, up to a term that only needs N(s).
             own = at[self.train[at] & (count[at] >= 2)]
             gained = np.log(count[own] - 1 + self.weight * p[own]) - np.log(p[own]) - np.log(self.weight)
@@ -240,13 +246,11 @@ class Block:
             contexts = Ask(keys, np.bincount(key[once], minlength=len(keys)), sums)
             if (rows := next(asked, None)) is None:
                 return contexts
-            n, gain = contexts.read(rows)
-            gain = gain / _UNIT + n * (np.log(self.weight) - np.log(np.maximum(n - 1, 0) + self.weight))
-            kept = (n >= 2) & (gain >= self.gain)
+            n = contexts.read(rows)[key]
             held = np.full(len(token), False)
-            held[here] = kept[key]
-            some = here[kept[key]]
-            p[some] = (count[some] + self.weight * p[some]) / (n[key[kept[key]]] + self.weight)
+            held[here] = n > 0
+            some = here[n > 0]
+            p[some] = (count[some] + self.weight * p[some]) / (n[n > 0] + self.weight)
         return known, np.log10(plain), np.log10(p)
 
 
@@ -302,10 +306,10 @@ def _scores(blocks: DataFrame, rest: StructType, order: int, weight: float, gain
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                yield from rows_of(row, Block(row, order, weight, gain).advance([], 0, 0)).to_batches()
+                yield from rows_of(row, Block(row, order, weight).advance([], 0, 0)).to_batches()
 
     state = ["part", "block", "n", "docs", "lengths", "train", "words", "codes"]
-    answers = _answers(blocks.select(*state).mapInArrow(first, ddl), 0)
+    answers = _answers(blocks.select(*state).mapInArrow(first, ddl), 0, weight, gain)
     distinct = answers.where("part = -1").agg(F.sum("n")).first()[0] or 0
     total = _train_tokens(blocks)
     release(spark)
@@ -321,7 +325,7 @@ def _scores(blocks: DataFrame, rest: StructType, order: int, weight: float, gain
             given: list[list[dict]] = [[] for _ in range(asked)]
             for r in said.take(np.flatnonzero(where == row["block"])).to_pylist():
                 given[r["kind"]].append(r)
-            block = Block(row, order, weight, gain)
+            block = Block(row, order, weight)
             yield row, block, block.advance(given, total, distinct)
 
     def step(asked: int):
@@ -331,7 +335,7 @@ def _scores(blocks: DataFrame, rest: StructType, order: int, weight: float, gain
         return go
 
     for asked in range(1, 2 * order + 1):
-        answers = answers.unionByName(_answers(met(state).applyInArrow(step(asked), ddl), asked))
+        answers = answers.unionByName(_answers(met(state).applyInArrow(step(asked), ddl), asked, weight, gain))
         release(spark)
 
     def finish(rows: pa.Table, said: pa.Table) -> pa.Table:
