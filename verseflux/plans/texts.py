@@ -56,13 +56,14 @@ def topic_tokens(
 
 
 def add_topics(
-    docs: DataFrame, model: TopicModel | None, num_words: int = 7
+    docs: DataFrame, model: TopicModel | None, num_words: int = 7, id_col: str | None = None
 ) -> DataFrame:
-    """Add ``topics``; documents without tokens, or all without a model, get the default."""
+    """Add ``topics``; documents without tokens, or all without a model, get the default.
+    ``id_col`` identifies the documents; without it they are written once with numbers."""
     default = F.lit(TOPICS_DEFAULT)
     if model is None:
         return docs.withColumn("topics", default)
-    assigned = assign_topics(docs, model, num_words)
+    assigned = assign_topics(docs, model, num_words, id_col=id_col)
     return assigned.withColumn(
         "topics", F.when(F.size("tokens") > 0, F.col("topics")).otherwise(default)
     ).drop("topic")
@@ -83,19 +84,22 @@ def analyze_documents(
 ) -> DataFrame:
     """``df`` without its text, plus ``sentiment``, ``sentiment_score`` and ``topics``.
 
-    Scoring is a projection over the scan, and so is topic assignment without lemmas. With
-    lemmas, topics are assigned to the lemmatized tokens, and only ids and topic strings meet the
-    scored rows.
+    Scoring is a projection over the scan. With ``id_col``, only ids and topic strings meet the
+    scored rows; without it (and without lemmas) the documents are written once with numbers.
+    With lemmas, topics are assigned to the lemmatized tokens.
     """
     require_columns(df, [text_col])
     filled = df.fillna({text_col: ""})
-    docs = topic_tokens(filled, text_col, id_col, lemmas, stop)
-    model = fit_topics(docs, k, passes, seed, **fit_options)
     kept = [c for c in df.columns if c != text_col]
-    if lemmas is None:
-        scored = score_text(add_topics(docs, model, num_words), text_col, scorer)
+    docs = topic_tokens(filled, text_col, id_col, lemmas, stop)
+    if lemmas is None and id_col is None:
+        docs = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+        model = fit_topics(docs, k, passes, seed, id_col="_row", **fit_options)
+        scored = score_text(add_topics(docs, model, num_words, "_row"), text_col, scorer)
         return scored.select(*kept, "sentiment", "sentiment_score", "topics")
+    docs = docs.select(id_col, "tokens")
+    model = fit_topics(docs, k, passes, seed, id_col=id_col, **fit_options)
     scored = score_text(filled, text_col, scorer).select(*kept, "sentiment", "sentiment_score")
-    topics = add_topics(docs, model, num_words).select(F.col(id_col).alias("_id"), "topics")
+    topics = add_topics(docs, model, num_words, id_col).select(F.col(id_col).alias("_id"), "topics")
     met = scored.join(topics, F.col(id_col) == F.col("_id"), "left").drop("_id")
     return met.withColumn("topics", F.coalesce("topics", F.lit(TOPICS_DEFAULT)))
