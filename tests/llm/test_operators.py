@@ -75,6 +75,22 @@ def test_bpe_equals_the_library(spark, library):
     assert bpe.encode_decode(empty(spark), tokenizer_path()).count() == 0
 
 
+def test_piece_cache_keeps_what_is_frequent(library, monkeypatch):
+    from verseflux.llm import chunks
+
+    monkeypatch.setattr(chunks, "CACHE_PIECES", 40)
+    coder = records.LibraryCoder(tokenizer_path())
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        rows = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 30) % 5000) + "  end" for _ in range(4)] + [""]
+        ids, edges = coder.encode(rows)
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [
+            library.encode(r, add_special_tokens=False).ids for r in rows
+        ]
+    coder.clear()
+    assert coder.encode(["w1 w2"])[0].tolist() == library.encode("w1 w2", add_special_tokens=False).ids
+
+
 def test_automaton_on_random_text(library):
     with open(tokenizer_path(), encoding="utf-8") as f:
         codec = bpe.Codec(f.read())
@@ -312,6 +328,23 @@ def test_nearest(spark):
     assert [(r.query_id, r.vec_id) for r in few.orderBy("rank").collect()] and few.count() == 2
 
 
+@pytest.mark.parametrize("dim", [64, 1536, 4096])
+def test_nearest_in_many_dimensions(spark, dim):
+    # Whole numbers whose codes are exact: no rounding error covers up a wrong product.
+    rng = np.random.default_rng(dim)
+    v = rng.integers(-127, 128, (300, dim)) + 0.0
+    v[:, 0] = 127
+    v[100:200] = v[100] * np.where(rng.random((100, dim)) < 0.01, 0, 1)
+    v[100:200, 0] = 127
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    scores = v @ v.T
+    want = []
+    for q in range(0, 300, 20):
+        near = sorted((-scores[q, x], x) for x in range(300) if x != q)[:20]
+        want += [(q, k + 1, x, -s) for k, (s, x) in enumerate(near)]
+    assert sorted(map(tuple, ann.nearest(df, block=64, stripe=2).collect())) == want
+
+
 # ---- mixing -----------------------------------------------------------------------------
 
 
@@ -456,7 +489,8 @@ def test_toxicity_learns_a_word(spark):
         if toxic:
             own[rng.integers(len(own))] = rng.choice(["BADword", "vile"])
         sample.append({"text": " ".join(own), "toxic": int(toxic), "lang": "en" if k % 2 else None})
-    net = toxicity.train(sample)
+    hashed = toxicity._hashed(toxicity.Hasher(), [s["text"] for s in sample])
+    net = toxicity.train([s | {"words": d} for s, d in zip(sample, hashed, strict=True)])
     rows = [(k, s["text"], s["lang"], "a") for k, s in enumerate(sample)] + [(900, None, None, "a"), (901, "", "en", "a"), (902, LONG + " vile", "xx", "a"), (903, LONG, "xx", "a")]
     done = {r.doc_id: r for r in toxicity.score_toxicity(documents(spark, rows).withColumn("score", F.lit("x")), net).collect()}
     right = sum((done[k].score >= 0.5) == bool(s["toxic"]) for k, s in enumerate(sample))

@@ -27,6 +27,9 @@ from verseflux.lineage import cut_lineage
 #: Vectors of a block, blocks of candidates that meet the same query block in one task.
 BLOCK = 2048
 STRIPE = 8
+#: Dimensions whose products of codes are summed in single precision: 127 * 127 * 1024 < 2^24,
+#: so these sums are exact.
+CODE_DIMS = 1024
 #: Pairs that are computed again at once.
 PAIRS = 1 << 17
 
@@ -64,6 +67,14 @@ class _Block:
         self.vectors = np.frombuffer(vectors, "<f8").reshape(n, -1)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of codes, in any number of dimensions."""
+    out = np.zeros((len(a), len(b)))
+    for d in range(0, a.shape[1], CODE_DIMS):
+        out += a[:, d : d + CODE_DIMS] @ b[:, d : d + CODE_DIMS].T
+    return out
+
+
 def blocks(vectors: DataFrame, size: int, out: str) -> DataFrame:
     """Rows (id, vector) of one length packed into blocks of at most ``size``, each inside a
     partition; the length of the vectors goes with the block."""
@@ -121,7 +132,7 @@ class Best:
     def meet(self, x: _Block) -> None:
         q, k = self.block, self.k
         with np.errstate(over="ignore", invalid="ignore"):
-            about = (q.codes @ x.codes.T).astype(np.float64) * q.scale[:, None] * x.scale[None, :]
+            about = _products(q.codes, x.codes) * q.scale[:, None] * x.scale[None, :]
             # |q.x - about| <= |q| |x - x'| + |q - q'| |x'|, and some rounding of sums.
             off = q.norm[:, None] * x.wrong[None, :] + q.wrong[:, None] * (x.norm + x.wrong)[None, :]
             off += 1e-12 * q.norm[:, None] * x.norm[None, :]

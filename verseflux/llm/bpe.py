@@ -33,7 +33,7 @@ from verseflux.llm.common import add_arrow, without
 
 #: Fixed pattern of byte-level pre-tokenization.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Words kept by a worker with their ids; beyond them the table starts anew.
+#: Words kept by a worker with their ids: those of the last half and those met since then.
 CACHE_WORDS = 150_000
 _FIRST = 0
 
@@ -160,6 +160,7 @@ class Codec:
         merges = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs]
         self.automaton = MergeAutomaton(labels, merges)
         self.words: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.coder = PieceCoder(self._pieces, self.added)
         table = [labels.get(i, b"") for i in range(max([*labels, *self.added.values()]) + 1)]
         for content, i in self.added.items():
@@ -169,24 +170,30 @@ class Codec:
         self.label_bytes = np.frombuffer(b"".join(table), np.uint8)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words, self.older = {}, self.words
         if len(self.automaton.arcs) > 4 * CACHE_WORDS:
             self.automaton.arcs.clear()
-        words, encode = self.words, self.automaton.encode
+        words, older, encode = self.words, self.older, self.automaton.encode
         found = []
         for piece in pieces:
             ids: list[int] = []
             for w in WORDS.findall(piece):
                 own = words.get(w)
                 if own is None:
-                    own = encode(w.encode())
+                    own = older.get(w) or encode(w.encode())
                     if len(w) < 64:
                         words[w] = own
                 ids += own
             found.append(ids)
         return flattened(found)
 
+    def release(self) -> None:
+        """Forget all texts; the compiled automaton stays."""
+        self.words, self.older = {}, {}
+        self.automaton.arcs = {}
+        self.coder.clear()
+
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.label_sizes[ids]
         ends = np.cumsum(size)
@@ -228,4 +235,5 @@ def encode_decode(df: DataFrame, tokenizer: str, text_col: str = "text") -> Data
                 decoded.append(codec.decode(own).decode("utf-8", "replace"))
         return {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())}
 
-    return add_arrow(without(df, ["ids", "decoded"]), [text_col], "ids binary, decoded string", run)
+    rest = without(df, ["ids", "decoded"])
+    return add_arrow(rest, [text_col], "ids binary, decoded string", run, lambda: _codec(name).release())

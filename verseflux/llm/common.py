@@ -53,13 +53,18 @@ def without(df: DataFrame, names) -> DataFrame:
 
 
 def add_arrow(
-    df: DataFrame, needs: list[str], added: str, function: Callable[..., dict[str, pa.Array]]
+    df: DataFrame,
+    needs: list[str],
+    added: str,
+    function: Callable[..., dict[str, pa.Array]],
+    close: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``df`` and the columns of the schema text ``added``, computed batch by batch.
 
     ``function`` gets the columns ``needs`` as Arrow arrays and returns one array per added
     column. Columns of ``df`` with an added name are replaced; needed columns whose name begins
-    with two underscores are helpers and do not stay.
+    with two underscores are helpers and do not stay. ``close`` runs at the end of a task: Python
+    workers outlive tasks, and what they hold counts against the next stage.
     """
     schema = StructType.fromDDL(added)
     names = schema.names
@@ -69,10 +74,14 @@ def add_arrow(
     plain = df.select(*[f"`{c}`" for c in rest.columns], *[F.col(n).alias(f"__{i}") for i, n in enumerate(needs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = function(*[batch.column(width + i) for i in range(len(needs))])
-            columns = batch.columns[:width] + [made[n] for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width] + names)
+        try:
+            for batch in batches:
+                made = function(*[batch.column(width + i) for i in range(len(needs))])
+                columns = batch.columns[:width] + [made[n] for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width] + names)
+        finally:
+            if close is not None:
+                close()
 
     return plain.mapInArrow(run, StructType(list(rest.schema.fields) + list(schema.fields)))
 

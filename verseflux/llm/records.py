@@ -161,6 +161,7 @@ def write_records(
                     [pa.array([what] * n), pa.array(rolls, pa.int32()), pa.array(seq, pa.int64()), pa.array(own, pa.binary())],
                     names=["kind", "roll", "seq", "value"],
                 )
+        coder.clear()  # the worker outlives the task
 
     made = ordered.select("id", "text").mapInArrow(frames, "kind string, roll int, seq long, value binary")
     made = made.sortWithinPartitions("kind", "roll", "seq")

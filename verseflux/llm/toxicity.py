@@ -211,7 +211,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     the driver. Without any labelled text it is untrained."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.to_pylist()]
+        hasher, rows = Hasher(), []
+        for batch in batches:  # only the hashes of a batch's texts are kept
+            found = batch.to_pylist()
+            docs = _hashed(hasher, [r.pop("text") for r in found])
+            rows += [r | {"words": d} for r, d in zip(found, docs, strict=True)]
         net = train(sorted(rows, key=lambda r: r["mix"]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["model"])
 
@@ -220,15 +224,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return pickle.loads(models[0]["model"]) if models else train([])
 
 
-def train(sample: list, seed: int = 5) -> ConvNet:
-    """A model from sample rows, calibrated on every fifth of them."""
-    net, hasher = ConvNet(seed), Hasher()
-    if not sample:
-        return net
+def _hashed(hasher: Hasher, all_texts: list[str]) -> list[np.ndarray]:
     docs: list[np.ndarray] = []
-    for group in _byte_groups(r["text"].encode() for r in sample):
+    for group in _byte_groups(t.encode() for t in all_texts):
         rows, counts = hasher(group)
         docs += [own.copy() for own in np.split(rows, np.cumsum(counts)[:-1])]
+    return docs
+
+
+def train(sample: list, seed: int = 5) -> ConvNet:
+    """A model from sample rows (``words``: hashes), calibrated on every fifth of them."""
+    net = ConvNet(seed)
+    if not sample:
+        return net
+    docs = [r["words"] for r in sample]
     labels = np.array([1.0 if r["toxic"] == 1 else 0.0 for r in sample])
     held = np.arange(len(docs)) % 5 == 4
     net.train([d for d, h in zip(docs, held, strict=True) if not h], labels[~held], seed=seed)
