@@ -17,6 +17,7 @@ from verseflux.operators.signal import (
     frame_table,
     keep_unframed,
     onset_envelope,
+    resample_arrays,
     signal_features,
     signal_means,
     spectral_chunks,
@@ -26,6 +27,7 @@ from verseflux.operators.signal import (
     unframed_series,
 )
 from verseflux.plans.signals import extract_signal_features
+from verseflux.sources.waves import read_wave_ranges
 from verseflux.sources.media import list_media, media_manifest, read_media
 
 RATE = 22050
@@ -254,6 +256,56 @@ def check_features_per_title(spark, media):
     assert {r.feature: r.n for r in report.summary().collect()}["tempo"] == 2
 
 
+def test_one_row_per_title(spark, media):
+    titles = spark.createDataFrame([("My Song",), ("My Song",), ("Broken",), ("Gone",)], "title string")
+    rows = extract_signal_features(spark, titles, str(media), Framing(chunk_frames=16)).table.collect()
+    assert sorted((r.title, r.error) for r in rows if r.error) == [("Broken", "ValueError: not a wav file"), ("Gone", "no file")]
+    assert [(r.title, r.duration) for r in rows if not r.error] == [("My Song", 1.0)] * 2
+    assert all((r.tempo is None) == (r.error is not None) for r in rows)
+
+
+@pytest.mark.parametrize("channels,width", [(1, 1), (2, 2), (1, 3), (2, 4)])
+def test_ranges_of_a_file_join_up(spark, tmp_path, channels, width):
+    x = np.repeat(tone(440, 0.5), channels)
+    (tmp_path / "long.wav").write_bytes(wav_bytes(x, channels=channels, width=width) + b"tail of another chunk")
+    (tmp_path / "bad.wav").write_bytes(b"RIFF....WAVEnothing")
+    (tmp_path / "empty.WAV").write_bytes(wav_bytes(x[:0], channels=channels, width=width))
+    (tmp_path / "other.txt").write_text("x")
+    whole = dsp.decode_wav((tmp_path / "long.wav").read_bytes())[1]
+    rows = read_wave_ranges(spark, str(tmp_path), lead=7, tail=30, range_bytes=5000)
+    assert rows.rdd.getNumPartitions() >= (len(x) * width) // 5000
+    found = rows.collect()
+    errors = {r.path.rsplit("/", 1)[1]: r.error for r in found if r.error}
+    assert errors == {"bad.wav": "ValueError: no samples", "empty.WAV": "no samples"}
+    good = sorted((r for r in found if not r.error), key=lambda r: r.first)
+    assert len(good) > 2 and sum(r.own for r in good) == len(whole) and {r.n for r in good} == {len(whole)}
+    for r in good:
+        a, b = max(0, r.first - 7), min(len(whole), r.first + r.own + 30)
+        assert r.lead == r.first - a and np.array_equal(np.array(r.samples, np.float32), whole[a:b])
+    assert read_wave_ranges(spark, str(tmp_path / "long.wav")).count() == 1
+    (tmp_path / "none").mkdir()
+    assert read_wave_ranges(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("rate,target", [(44100, 22050), (22050, 44100), (48000, 44100), (8000, 11025)])
+def test_resampling_chunk_by_chunk(spark, rate, target):
+    x = np.random.default_rng(rate).normal(size=3000).astype(np.float32)
+    whole = dsp.resample(x, rate, target)
+    df = spark.createDataFrame([("a", x.tolist()), ("b", []), ("c", None), ("d", [1.0])], "signal_id string, samples array<float>")
+    rows = resample_arrays(df, rate, target, chunk=333).collect()
+    parts = sorted((r.first, r.samples) for r in rows if r.signal_id == "a")
+    assert len(parts) == -(-len(whole) // 333)
+    np.testing.assert_allclose(np.concatenate([p for _, p in parts]), whole, atol=1e-6)
+    assert {r.signal_id for r in rows} == {"a", "d"}
+    # By plain sums, for some outputs.
+    bank = dsp.Resampler(rate, target)
+    for m in (0, 1, 777, len(whole) - 1):
+        p = m * rate / target
+        taps = {j: np.sinc(bank.cut * (p - j)) * (0.5 + 0.5 * np.cos(np.pi * (p - j) / bank.reach)) for j in range(-200, 3200) if abs(p - j) < bank.reach}
+        want = sum(w * x[j] for j, w in taps.items() if 0 <= j < len(x)) / sum(taps.values())
+        assert whole[m] == pytest.approx(want, abs=1e-5)
+
+
 def test_decoding_equals_arrays(spark, media):
     framing = Framing(chunk_frames=10)
     files = read_media(spark, str(media / "b"), ".wav")

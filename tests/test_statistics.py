@@ -19,7 +19,7 @@ from verseflux.operators.correlate import (
     correlate_joined,
     correlation_matrix,
 )
-from verseflux.operators.describe import describe_features
+from verseflux.operators.describe import _keys, _value, describe_features
 from verseflux.operators.keys import join_canonical
 from verseflux.operators.regression import bootstrap_band, regression_band, regression_line
 
@@ -172,14 +172,14 @@ def test_regression_constant_feature(spark):
     assert got["c"].slope is None and got["b"].slope == pytest.approx(np.polyfit([1, 2, 4], [1, -1, -1], 1)[0])
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 5])
-def test_exact_quantiles(spark, limit):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_exact_quantiles(spark, parts):
     rng = np.random.default_rng(3)
     third = np.full(1000, 4.25)  # one value holds a third of the rows
     a = np.concatenate([third, rng.normal(size=1000), np.exp(rng.normal(size=1001) * 5)])
     b = np.arange(3001.0)
     df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b)], "a double, b double, c double")
-    got = {r.feature: r for r in describe_features(df, ["a", "b", "c"], bracket_rows=limit).collect()}
+    got = {r.feature: r for r in describe_features(df.repartition(parts), ["a", "b", "c"]).collect()}
     for name, v in (("a", a), ("b", b)):
         r = got[name]
         assert (r.n, r.lowest, r.highest) == (3001, v.min(), v.max())
@@ -229,10 +229,26 @@ def test_quantile_in_a_gap(spark):
     low = [k / 1_000_000 for k in range(500)]
     high = [1_000_000 + k / 1_000_000 for k in range(500)]
     df = spark.createDataFrame([(x,) for x in low + high], "a double")
-    row = describe_features(df, ["a"], bracket_rows=20).first()
+    row = describe_features(df, ["a"]).first()
     assert row.q50 == pytest.approx((low[-1] + high[0]) / 2, rel=1e-15)
-    from verseflux.functions.stats import numeric
-    from verseflux.operators.describe import QUARTILES, _brackets
 
-    brackets = _brackets(numeric(df, ["a"]), ["a"], QUARTILES, 20)[1]
-    assert len(brackets) == 6 and all(b.inside <= 20 for b in brackets)
+
+def test_quantiles_of_odd_values(spark):
+    # Both signs and zeros, the smallest and largest doubles, infinities; NaN counts as missing.
+    tiny, huge = 5e-324, 1.7e308
+    values = [-math.inf, -huge, -1.5, -tiny, -0.0, 0.0, tiny, 2.0, 2.0, huge, math.inf]
+    df = spark.createDataFrame([(v,) for v in [*values, math.nan]], "a double")
+    row = describe_features(df, ["a"], quantiles=(0.0, 0.1, 0.3, 0.5, 0.6, 0.7, 1.0)).first()
+    got = [row[c] for c in ("q00", "q10", "q30", "q50", "q60", "q70", "q100")]
+    assert got == [values[k] for k in (0, 1, 3, 5, 6, 7, 10)] and row.n == 11
+    keys = _keys(np.array(values))
+    assert (np.diff(keys.astype(object)) >= 0).all() and [_value(int(k)) for k in keys] == values
+
+
+def test_bootstrap_of_rows_without_values_or_ids(spark):
+    rows = [(i, float(i % 5), float(i % 7)) for i in range(200)] + [(None, 1e9, 1e9), (-3, None, 1.0), (-4, 2.0, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    band = bootstrap_band(df, "id", "y", ["x"], resamples=50, points=3)
+    alone = bootstrap_band(df.where("id >= 0"), "id", "y", ["x"], resamples=50, points=3)
+    assert [r.low for r in band.orderBy("point").collect()][0] is not None
+    assert [r.high for r in alone.orderBy("point").collect()] != []

@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +27,8 @@ from verseflux.operators.textprep import (
     stopwords,
     vocabulary,
 )
-from verseflux.operators.topics import assign_topics, fit_topics
+from verseflux.functions.stats import digamma, trigamma
+from verseflux.operators.topics import _prior_step, _start, assign_topics, fit_topics
 from verseflux.plans.texts import add_topics, analyze_documents, load_songs
 from verseflux.schemas import SONGS, has_column, require_columns
 from verseflux.sources.collections import read_collections
@@ -243,7 +247,7 @@ def test_topics_repeat(spark):
     runs = [{r.doc_id: (r.topic, r.topics) for r in assign_topics(docs, m, 4).collect()} for m in models]
     assert runs[0] == runs[1]
     assert runs[0][101] == (None, "N/A")
-    assert len(models[0].vocabulary) == 9 and len(models[0].words(4)) == 2
+    assert models[0].terms.count() == 9 and len(models[0].words(4)) == 2
     labels = {topics for topic, topics in runs[0].values() if topic is not None}
     assert all(len(label.split(", ")) == 4 for label in labels)
 
@@ -298,7 +302,53 @@ def test_numbers_follow_the_order(spark):
     assert sorted((r.k, r.x) for r in rows) == [(k, 4999 - k) for k in range(5000)]
 
 
-def test_too_large_a_model_is_an_error(spark):
-    docs = spark.createDataFrame([(["a", "b"],)] * 6, "tokens array<string>")
-    with pytest.raises(ValueError, match="2 terms x 10 topics"):
-        fit_topics(docs, k=10, no_above=1.0, model_cells=19)
+def test_topics_do_not_depend_on_partitions(spark):
+    docs = clean_tokens(topic_docs(spark))
+    seen = []
+    for parts in (1, 4, 9):
+        model = fit_topics(docs.repartition(parts), k=3, passes=6, id_col="doc_id")
+        words = [[(w, round(x, 9)) for w, x in own] for own in model.words(9)]
+        rows = assign_topics(docs.repartition(parts), model, 4, keep_distribution=True, id_col="doc_id").collect()
+        shares = {r.doc_id: [round(x, 9) for x in r.distribution or []] for r in rows}
+        seen.append((words, shares, [round(a, 9) for a in model.alpha]))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_topics_against_plain_loops(spark):
+    # The same passes by loops over documents, with the gamma function's own derivative.
+    psi = lambda x: (math.lgamma(x * (1 + 1e-6)) - math.lgamma(x * (1 - 1e-6))) / (2e-6 * x)
+    docs = clean_tokens(topic_docs(spark)).where("size(tokens) > 0").select("doc_id", "tokens")
+    vocab = {r.term: r.term_id for r in vocabulary(docs).collect()}
+    bags = [Counter(vocab[t] for t in r.tokens if t in vocab) for r in docs.collect()]
+    bags = [b for b in bags if b]
+    k, steps = 2, 3
+    w = {r.term_id: [r.w0, r.w1] for r in _start(vocabulary(docs), k, 42).collect()}
+    alpha = [1 / k] * k
+    for _ in range(2):
+        total = [sum(x[t] for x in w.values()) for t in range(k)]
+        b = {i: [math.exp(psi(x[t]) - psi(total[t])) for t in range(k)] for i, x in w.items()}
+        new, logs = {i: [1 / k] * k for i in w}, [0.0] * k
+        for bag in bags:
+            share = [1.0] * k
+            for _ in range(steps):
+                part = {i: [n * b[i][t] * share[t] / sum(x * y for x, y in zip(b[i], share)) for t in range(k)] for i, n in bag.items()}
+                g = [alpha[t] + sum(x[t] for x in part.values()) for t in range(k)]
+                share = [math.exp(psi(x)) for x in g]
+            for i, x in part.items():
+                new[i] = [p + q for p, q in zip(new[i], x)]
+            logs = [x + (psi(y) - psi(sum(g))) / len(bags) for x, y in zip(logs, g)]
+        w, alpha = new, list(_prior_step(np.array(alpha), np.array(logs)))
+    model = fit_topics(docs, k=k, passes=2, id_col="doc_id", steps=steps)
+    got = {r.term_id: [r.w0, r.w1] for r in model.terms.collect()}
+    assert got.keys() == w.keys()
+    for i, x in w.items():
+        assert got[i] == pytest.approx(x, rel=1e-5)
+    assert model.alpha == pytest.approx(alpha, rel=1e-5)
+
+
+def test_gamma_derivatives():
+    x = np.array([1e-3, 0.1, 0.5, 1.0, 2.5, 30.0, 1e6])
+    assert digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, rel=1e-10)
+    assert trigamma(np.array([1.0]))[0] == pytest.approx(math.pi**2 / 6, rel=1e-9)
+    assert digamma(x + 1) - digamma(x) == pytest.approx(1 / x, rel=1e-8)
+    assert trigamma(x) - trigamma(x + 1) == pytest.approx(1 / x**2, rel=1e-6)

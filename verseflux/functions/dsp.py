@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import io
 import math
-import wave
+import struct
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -165,33 +166,121 @@ def local_autocorrelation(windows: np.ndarray) -> np.ndarray:
     return lags / np.where(top > np.finfo(float).tiny, top, 1.0)
 
 
-def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
-    """PCM bytes -> (sample rate, mono samples in -1..1)."""
-    with wave.open(io.BytesIO(content)) as w:
-        rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
-        raw = w.readframes(w.getnframes())
-    if width == 1:
+@dataclass(frozen=True)
+class WavFormat:
+    """Where the samples of a PCM file stand, and how: ``start`` is the byte of the first one,
+    ``frames`` the number of samples per channel that are really there."""
+
+    rate: int
+    channels: int
+    width: int
+    start: int
+    frames: int
+
+    @property
+    def frame_bytes(self) -> int:
+        return self.channels * self.width
+
+
+def wav_format(file: io.IOBase, size: int) -> WavFormat:
+    """The format of a wav file of ``size`` bytes; only the chunk heads before the samples are
+    read. What is no PCM file is a ``ValueError``."""
+    head = file.read(12)
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:] != b"WAVE":
+        raise ValueError("not a wav file")
+    at, form = 12, None
+    while True:
+        file.seek(at)
+        head = file.read(8)
+        if len(head) < 8:
+            raise ValueError("no samples")
+        name, length = struct.unpack("<4sI", head)
+        if name == b"data":
+            break
+        if name == b"fmt ":
+            form = struct.unpack("<HHIIHH", file.read(16))
+        at += 8 + length + length % 2
+    if form is None:
+        raise ValueError("no format before the samples")
+    kind, channels, rate, _, _, bits = form
+    if kind not in (1, 0xFFFE) or bits not in (8, 16, 24, 32) or channels < 1 or rate < 1:
+        raise ValueError(f"format {kind} with {bits} bits and {channels} channels is not supported")
+    width = bits // 8
+    frames = min(length, size - at - 8) // (channels * width)
+    return WavFormat(rate, channels, width, at + 8, frames)
+
+
+def pcm_samples(raw: bytes, form: WavFormat) -> np.ndarray:
+    """Whole frames of PCM bytes -> mono samples in -1..1."""
+    if form.width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128.0) / 128.0
-    elif width == 3:
+    elif form.width == 3:
         parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         whole = (parts[:, 0] << 8) | (parts[:, 1] << 16) | (parts[:, 2] << 24)
         x = (whole / 2.0**31).astype(np.float32)
     else:
-        x = np.frombuffer(raw, f"<i{width}") / np.float32(2.0 ** (8 * width - 1))
-    return rate, x.reshape(-1, channels).mean(axis=1, dtype=np.float32)
+        x = np.frombuffer(raw, f"<i{form.width}") / np.float32(2.0 ** (8 * form.width - 1))
+    return x.reshape(-1, form.channels).mean(axis=1, dtype=np.float32)
+
+
+def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
+    """PCM bytes -> (sample rate, mono samples in -1..1)."""
+    form = wav_format(io.BytesIO(content), len(content))
+    return form.rate, pcm_samples(content[form.start : form.start + form.frames * form.frame_bytes], form)
+
+
+#: Zero crossings of the sinc on each side of a tap's centre.
+RESAMPLE_REACH = 16
+
+
+class Resampler:
+    """Polyphase filter bank from ``rate`` to ``target``.
+
+    Output m stands at the place m * down / up of the input (the rates over their greatest
+    common divisor). It is a sum over the inputs around that place, weighted by a sinc that cuts
+    off at the lower of both Nyquist frequencies, under a Hann window of ``RESAMPLE_REACH``
+    crossings; the weights of each of the ``up`` phases add up to one. Beyond the ends the input
+    is zero.
+    """
+
+    def __init__(self, rate: int, target: int):
+        common = math.gcd(rate, target)
+        self.up, self.down = target // common, rate // common
+        self.cut = min(1.0, target / rate)
+        self.reach = math.ceil(RESAMPLE_REACH / self.cut)
+        offsets = np.arange(1 - self.reach, self.reach + 1)
+        away = offsets[None, :] - np.arange(self.up)[:, None] / self.up
+        inside = np.abs(away) < self.reach
+        taps = np.sinc(self.cut * away) * np.where(inside, 0.5 + 0.5 * np.cos(np.pi * away / self.reach), 0.0)
+        self.taps = taps / taps.sum(axis=1, keepdims=True)
+
+    def length(self, n: int) -> int:
+        return -(-n * self.up // self.down)
+
+    def needs(self, first: int, count: int) -> tuple[int, int]:
+        """The range of inputs that outputs ``first`` to ``first + count - 1`` are made of."""
+        return first * self.down // self.up + 1 - self.reach, (first + count - 1) * self.down // self.up + self.reach + 1
+
+    def outputs(self, x: np.ndarray, at: int, first: int, count: int) -> np.ndarray:
+        """Outputs from ``first`` on, from inputs that begin with number ``at``; inputs that are
+        not given count as zero."""
+        low, high = self.needs(first, count)
+        padded = np.zeros(high - low)
+        a, b = max(low, at), min(high, at + len(x))
+        if a < b:
+            padded[a - low : b - low] = x[a - at : b - at]
+        out = np.empty(count)
+        windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * self.reach)
+        for k in range(0, count, 65536):
+            places = (first + np.arange(k, min(k + 65536, count))) * self.down
+            taps = self.taps[places % self.up]
+            out[k : k + len(places)] = np.einsum("ij,ij->i", windows[places // self.up + 1 - self.reach - low], taps)
+        return out
 
 
 def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Low-pass with a windowed sinc when going down, then interpolate linearly."""
+    """A whole signal at another rate."""
     if rate == target or len(x) == 0:
         return x
-    if target < rate:
-        cut, reach = target / rate, 32
-        reach = math.ceil(reach / cut)
-        t = np.arange(-reach, reach + 1)
-        taps = cut * np.sinc(cut * t) * np.hanning(2 * reach + 3)[1:-1]
-        # The middle of the full result: "same" would give the longer of both lengths.
-        x = np.convolve(x, taps / taps.sum(), mode="full")[reach : reach + len(x)]
-    length = math.ceil(len(x) * target / rate)
-    places = np.arange(length) * (rate / target)
-    return np.interp(places, np.arange(len(x)), x).astype(np.float32)
+    bank = Resampler(rate, target)
+    return bank.outputs(x, 0, 0, bank.length(len(x))).astype(np.float32)

@@ -3,69 +3,118 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verseflux.functions.stats import numeric
 
 QUARTILES = (0.25, 0.5, 0.75)
-ACCURACY = 10_000
+#: Bits of a key that one pass settles; four passes settle a double.
+DIGIT = 16
 
 
 @dataclass
-class _Bracket:
-    """Values ``low..high`` of a column that hold one rank."""
+class _Rank:
+    """The value with ``rank`` values before it: what is known of its key, and how many values
+    have a smaller one."""
 
-    feature: str
-    rank: int  # 0-based
-    low: float
-    high: float
-    below: int = 0  # rows under ``low``
-    inside: int = 0  # rows in the bracket
+    feature: int
+    rank: int
+    prefix: int = 0
+    below: int = 0
 
 
 def describe_features(
-    df: DataFrame,
-    features: list[str],
-    quantiles: tuple[float, ...] = QUARTILES,
-    bracket_rows: int = 1_000_000,
+    df: DataFrame, features: list[str], quantiles: tuple[float, ...] = QUARTILES
 ) -> DataFrame:
     """``(feature, n, mean, std, lowest, q25, q50, q75, highest)``, missing values skipped.
 
     Quantiles interpolate linearly between neighbours and are exact. The built-in exact
-    percentile gathers all values of a column in one buffer, so it is not used. Instead: (1) one
-    pass takes a quantile sketch, which brackets each of the two ranks next to a quantile on
-    its own; (2) a pass counts rows below and inside all brackets, and while some hold more
-    than ``bracket_rows`` rows of several values, a pass cuts all of these into steps and keeps
-    the step that holds the rank; (3) the values inside are ranked. Each pass reads only
-    ``features`` and shuffles partial aggregates.
+    percentile gathers all values of a column in one buffer, so it is not used. Instead, the
+    values are selected digit by digit: doubles as 64-bit keys of the same order, sixteen bits
+    a pass, for all ranks of all columns at once. A pass reads only ``features``, a task counts
+    digits in tables of fixed size, and what is shuffled is their sum; the number of passes does
+    not depend on the values.
     """
     slim = numeric(df, features)
     base = _moments(slim, features)
-    places, brackets = _brackets(slim, features, quantiles, bracket_rows)
-    found = _rank_inside(slim, brackets)
-    spark = slim.sparkSession
-    wanted = spark.createDataFrame(places, "feature string, q double, rank long, share double")
-    near = found.select("feature", "rank", F.col("value").alias("near"))
-    far = found.select("feature", (F.col("rank") - 1).alias("rank"), F.col("value").alias("far"))
-    value = F.col("near") + F.when(
-        F.col("share") > 0, (F.col("far") - F.col("near")) * F.col("share")
-    ).otherwise(0.0)
-    # One row per feature and quantile.
-    met = wanted.join(near, ["feature", "rank"]).join(far, ["feature", "rank"], "left")
-    met = met.withColumn("value", value)
-    names = {q: f"q{round(q * 100):02d}" for q in quantiles}
-    columns = [F.max(F.when(F.col("q") == q, F.col("value"))).alias(names[q]) for q in quantiles]
-    return base.join(met.groupBy("feature").agg(*columns), "feature", "left").select(
-        "feature", "n", "mean", "std", "lowest", *names.values(), "highest"
+    counts = {r["feature"]: r["n"] for r in base.select("feature", "n").collect()}
+    places = [(i, f, q, q * (counts[f] - 1)) for i, f in enumerate(features) for q in quantiles if counts[f]]
+    ranks: dict[tuple[int, int], _Rank] = {}
+    for i, f, _, place in places:
+        for r in (math.floor(place), min(math.floor(place) + 1, counts[f] - 1)):
+            ranks.setdefault((i, r), _Rank(i, r))
+    for level in range(64 // DIGIT):
+        _settle(slim, list(ranks.values()), level)
+    found = {key: _value(r.prefix) for key, r in ranks.items()}
+    rows: dict[str, dict[float, float]] = {f: {} for f in features}
+    for i, f, q, place in places:
+        near, share = found[i, math.floor(place)], place - math.floor(place)
+        far = found[i, min(math.floor(place) + 1, counts[f] - 1)]
+        rows[f][q] = near + (far - near) * share if share > 0 else near
+    names = [f"q{round(q * 100):02d}" for q in quantiles]
+    schema = ", ".join(["feature string", *[f"{n} double" for n in names]])
+    values = [(f, *[own.get(q) for q in quantiles]) for f, own in rows.items()]
+    table = slim.sparkSession.createDataFrame(values, schema)
+    return base.join(F.broadcast(table), "feature", "left").select(  # a row per feature
+        "feature", "n", "mean", "std", "lowest", *names, "highest"
     )
 
 
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles; zeros are one value."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def _value(key: int) -> float:
+    bits = key & ~(1 << 63) if key >> 63 else ~key & (2**64 - 1)
+    return float(np.uint64(bits).view(np.float64))
+
+
+def _settle(slim: DataFrame, ranks: list[_Rank], level: int) -> None:
+    """Find the next digit of every rank's key: one pass over the columns."""
+    if not ranks:
+        return
+    left = np.uint64(64 - DIGIT * (level + 1))
+    wanted: dict[int, list[int]] = {}
+    for feature, prefix in sorted({(r.feature, r.prefix) for r in ranks}):
+        wanted.setdefault(feature, []).append(prefix)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {(f, p): np.zeros(1 << DIGIT, np.int64) for f, own in wanted.items() for p in own}
+        for batch in batches:
+            for f, own in wanted.items():
+                heads = _keys(batch.column(f).drop_null().to_numpy()) >> left
+                for p in own:
+                    digits = heads if level == 0 else heads[heads >> np.uint64(DIGIT) == np.uint64(p)]
+                    tables[f, p] += np.bincount((digits & np.uint64((1 << DIGIT) - 1)).astype(np.int64), minlength=1 << DIGIT)
+        for (f, p), table in tables.items():
+            some = np.flatnonzero(table)
+            place = np.full(len(some), number[f, p], np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place), pa.array(some.astype(np.int32)), pa.array(table[some])], names=["place", "digit", "n"]
+            )
+
+    number = {key: k for k, key in enumerate((f, p) for f, own in wanted.items() for p in own)}
+    sums = slim.mapInArrow(count, "place int, digit int, n long").groupBy("place", "digit").agg(F.sum("n").alias("n"))
+    # At most 2^16 digits per place.
+    upto = F.sum("n").over(Window.partitionBy("place").orderBy("digit"))
+    asked = [(k, number[r.feature, r.prefix], r.rank - r.below) for k, r in enumerate(ranks)]
+    asked = slim.sparkSession.createDataFrame(asked, "k int, place int, rank long")
+    met = sums.withColumn("upto", upto).join(F.broadcast(asked), "place")  # a row per rank
+    for row in met.where("upto - n <= rank AND rank < upto").select("k", "digit", (F.col("upto") - F.col("n")).alias("less")).collect():
+        r = ranks[row["k"]]
+        r.prefix, r.below = r.prefix << DIGIT | row["digit"], r.below + row["less"]
+
+
 def _moments(slim: DataFrame, features: list[str]) -> DataFrame:
-    def stat(f: str) -> Column:
+    def stat(f: str):
         return F.struct(
             F.count(f).alias("n"),
             F.avg(f).alias("mean"),
@@ -76,139 +125,3 @@ def _moments(slim: DataFrame, features: list[str]) -> DataFrame:
 
     wide = slim.agg(*[stat(f) for f in features])
     return wide.unpivot([], features, "feature", "s").select("feature", "s.*")
-
-
-def _brackets(
-    slim: DataFrame, features: list[str], quantiles: tuple[float, ...], limit: int
-) -> tuple[list[tuple[str, float, int, float]], list[_Bracket]]:
-    """(feature, q, rank of the lower neighbour, share of the way to the upper one), and a
-    bracket per feature and rank."""
-    margin = 2.0 / ACCURACY
-    asked = [x for q in quantiles for x in (max(0.0, q - margin), min(1.0, q + margin))]
-    row = slim.agg(
-        *[
-            F.struct(
-                F.count(f).alias("n"),
-                F.min(f).alias("lowest"),
-                F.max(f).alias("highest"),
-                F.percentile_approx(f, asked, ACCURACY).alias("sketch"),
-            ).alias(f)
-            for f in features
-        ]
-    ).first()
-    places: list[tuple[str, float, int, float]] = []
-    brackets: dict[tuple[str, int], _Bracket] = {}
-    for f in features:
-        s = row[f]
-        for i, q in enumerate(quantiles):
-            if s.n == 0:
-                continue
-            place = q * (s.n - 1)
-            rank = min(math.floor(place), s.n - 1)
-            places.append((f, q, rank, place - rank))
-            for r in {rank, min(rank + 1, s.n - 1)}:
-                low, high = s.sketch[2 * i], s.sketch[2 * i + 1]
-                brackets.setdefault((f, r), _Bracket(f, r, low, high))
-    found = list(brackets.values())
-    while True:
-        reopened = False
-        for b, (below, inside, low, high) in zip(found, _count(slim, found), strict=True):
-            b.below, b.inside = below, inside
-            if below > b.rank:  # the sketch was off: reopen that side
-                b.low, reopened = row[b.feature].lowest, True
-            elif below + inside <= b.rank:
-                b.high, reopened = row[b.feature].highest, True
-            else:
-                b.low, b.high = low, high
-        if not reopened:
-            break
-    while wide := [b for b in found if b.inside > limit and 0 < b.high / 2 - b.low / 2 < math.inf]:
-        before = [(b.low, b.high) for b in wide]
-        _narrow(slim, wide)
-        if before == [(b.low, b.high) for b in wide]:
-            break
-    return places, found
-
-
-def _count(slim: DataFrame, brackets: list[_Bracket]) -> list[tuple]:
-    if not brackets:
-        return []
-    cells = []
-    for i, b in enumerate(brackets):
-        x = F.col(b.feature)
-        inside = (x >= b.low) & (x <= b.high)
-        cells.append(
-            F.struct(
-                F.count_if(x < b.low).alias("below"),
-                F.count_if(inside).alias("inside"),
-                F.min(F.when(inside, x)).alias("low"),
-                F.max(F.when(inside, x)).alias("high"),
-            ).alias(f"b{i}")
-        )
-    row = slim.agg(*cells).first()
-    return [tuple(row[f"b{i}"]) for i in range(len(brackets))]
-
-
-def _narrow(slim: DataFrame, brackets: list[_Bracket], steps: int = 1000) -> None:
-    """Cut each bracket into equal steps and keep the one that holds its rank; one pass."""
-    entries = []
-    for i, b in enumerate(brackets):
-        x, width = F.col(b.feature), b.high / steps - b.low / steps
-        step = F.floor((x - b.low) / width) if width > 0 else F.when(x > b.low, 1).otherwise(0)
-        step = F.greatest(F.lit(0), F.least(F.lit(steps - 1), step.cast("int")))
-        inside = (x >= b.low) & (x <= b.high)
-        entries.append(
-            F.when(inside, F.struct(F.lit(i).alias("i"), step.alias("step"), x.alias("x")))
-        )
-    rows = (
-        slim.select(F.inline(F.array_compact(F.array(*entries))))
-        .groupBy("i", "step")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        .orderBy("i", "step")
-        .collect()
-    )
-    for i, b in enumerate(brackets):
-        seen = b.below
-        for r in rows:
-            if r.i != i:
-                continue
-            if seen + r.n > b.rank:
-                b.low, b.high, b.below, b.inside = r.low, r.high, seen, r.n
-                break
-            seen += r.n
-
-
-def _rank_inside(slim: DataFrame, brackets: list[_Bracket]) -> DataFrame:
-    """``(feature, rank, value)``."""
-    spark = slim.sparkSession
-    schema = "feature string, rank long, below long"
-    wanted = spark.createDataFrame([(b.feature, b.rank, b.below) for b in brackets], schema)
-    if not brackets:
-        return wanted.select("feature", "rank", F.lit(None).cast("double").alias("value"))
-    hits = [(F.col(b.feature) >= b.low) & (F.col(b.feature) <= b.high) for b in brackets]
-    entries = [
-        F.when(
-            hit,
-            F.struct(
-                F.lit(b.feature).alias("feature"),
-                F.lit(b.rank).cast("long").alias("rank"),
-                F.col(b.feature).alias("x"),
-            ),
-        )
-        for hit, b in zip(hits, brackets, strict=True)
-    ]
-    values = (
-        slim.where(reduce(Column.__or__, hits))  # most rows lie in no bracket
-        .select(F.inline(F.array_compact(F.array(*entries))))
-        .groupBy("feature", "rank", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # Distinct values of one bracket only; their number was bounded when bracketing.
-    w = Window.partitionBy("feature", "rank").orderBy("x")
-    ranked = (
-        values.withColumn("upto", F.sum("n").over(w))
-        .join(F.broadcast(wanted), ["feature", "rank"])  # a row per feature and rank
-        .withColumn("end", F.col("below") + F.col("upto"))
-    )
-    here = (F.col("end") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("end"))
-    return ranked.where(here).select("feature", "rank", F.col("x").alias("value"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseflux.functions.stats import numeric, paired
@@ -72,27 +75,23 @@ def regression_band(
 # Drawing by integers modulo a prime: any engine can repeat it, and no product overflows.
 DRAW_PRIME = 2**31 - 1
 DRAW_STEPS = (48271, 69621, 40692)
+#: Rows and resamples of one product of weights and moments.
+DRAW_ROWS, DRAW_RESAMPLES = 1024, 250
 
 
-def _uniform(id_col: str, resample: str, seed: int) -> Column:
-    """A number in [0, 1) that is fixed by (id, resample, seed)."""
-    p, (a, b, c) = DRAW_PRIME, DRAW_STEPS
-    mixed = F.pmod(F.pmod(F.col(id_col).cast("long"), F.lit(p)) * a + F.col(resample) * b + F.lit(seed * c + 1), F.lit(p))
-    for _ in range(3):
-        mixed = F.pmod(F.pmod(mixed * mixed, F.lit(p)) * a + mixed * c + b, F.lit(p))
-    return mixed / F.lit(float(p))
+# Cumulated Poisson(1) probabilities; counts end at 12, beyond which lie 6e-11 of all draws.
+_POISSON = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(12)])
 
 
-def _poisson(u: Column) -> Column:
-    """Poisson(1) count of a uniform number in [0, 1), up to 12 (beyond: 6e-11 of all)."""
-    bounds, total = [], 0.0
-    for k in range(12):
-        total += math.exp(-1.0) / math.factorial(k)
-        bounds.append(total)
-    count = F.lit(len(bounds))
-    for k in reversed(range(len(bounds))):
-        count = F.when(u < bounds[k], k).otherwise(count)
-    return count.cast("double")
+def _weights(ids: np.ndarray, resamples: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) counts, a row per resample and a column per id, each fixed by (id, resample,
+    seed)."""
+    p, (a, b, c) = DRAW_PRIME, DRAW_STEPS
+    mixed = ((ids % p) * a)[None, :] + (resamples * b + seed * c + 1)[:, None]
+    mixed %= p
+    for _ in range(3):
+        mixed = (mixed * mixed % p * a + mixed * c + b) % p
+    return np.searchsorted(_POISSON, mixed / float(p), side="right").astype(np.float64)
 
 
 def bootstrap_band(
@@ -107,30 +106,43 @@ def bootstrap_band(
     """The same table for whole-number ids with the band taken from resampled lines (percentiles 2.5 and 97.5).
 
     Poisson bootstrap: a row's weight in a resample is a function of (id, resample, seed), so a
-    recomputed task draws the same weights. Rows are multiplied by ``resamples`` only inside
-    the partial aggregate; one row per resample leaves each task. Meant for moderate tables,
-    ``regression_band`` for large ones.
+    recomputed task draws the same weights. A batch of rows is one product of its weights with
+    its moments; one row per resample leaves each task, and no row is multiplied. Rows without
+    an id take no part. The work is rows x ``resamples``; ``regression_band`` is its limit.
     """
     rows = cut_lineage(numeric(df, [outcome, *features], [id_col]))  # numbers only, read thrice
     lines = regression_line(rows, outcome, features)
-    cells = ", ".join(f"'{f}', coalesce(avg({paired(f, outcome)[0]}), 0D)" for f in features)
-    centre = rows.agg(F.expr(f"named_struct({cells})")).scalar()
-    draws = (
-        rows.withColumn("_centre", centre)
-        .withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-        .withColumn("_w", _poisson(_uniform(id_col, "resample", seed)))
-        .where("_w > 0")
-    )
-
-    def stat(f: str) -> str:
-        x, y = f"(`{f}` - _centre.`{f}`)", f"`{outcome}`"
-        w = f"if({y} IS NULL OR `{f}` IS NULL, NULL, _w)"
-        return f"""named_struct('w', sum({w}), 'x', sum({w} * {x}), 'y', sum({w} * {y}),
-            'xx', sum({w} * {x} * {x}), 'xy', sum({w} * {x} * {y}),
-            'centre', first(_centre.`{f}`)) AS `{f}`"""
-
-    sums = draws.groupBy("resample").agg(*[F.expr(stat(f)) for f in features])
-    sums = sums.unpivot(["resample"], features, "feature", "s").select("feature", "s.*")
+    middle = rows.agg(*[F.expr(f"coalesce(avg({paired(f, outcome)[0]}), 0D) AS c{i}") for i, f in enumerate(features)]).first()
+    centres = [middle[f"c{i}"] for i in range(len(features))]
+    parts = ["w", "x", "y", "xx", "xy"]
+    names = [f"{m}{i}" for i in range(len(features)) for m in parts]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((resamples, len(names)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, DRAW_ROWS):
+                own = batch.slice(at, DRAW_ROWS)
+                y = own.column(1).to_numpy(zero_copy_only=False)
+                moments = []
+                for i, centre in enumerate(centres):
+                    x = own.column(2 + i).to_numpy(zero_copy_only=False) - centre
+                    here = ~(np.isnan(x) | np.isnan(y))
+                    x, z = np.where(here, x, 0.0), np.where(here, y, 0.0)
+                    moments += [here.astype(float), x, z, x * x, x * z]
+                table = np.stack(moments, axis=1)
+                for first in range(0, resamples, DRAW_RESAMPLES):
+                    some = np.arange(first, min(first + DRAW_RESAMPLES, resamples))
+                    sums[some] += _weights(own.column(0).to_numpy(), some + 1, seed) @ table
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, resamples + 1, dtype=np.int32)), *map(pa.array, sums.T.copy())], names=["resample", *names])
+
+    plain = rows.select(F.col(id_col).cast("long").alias("_id"), outcome, *features).where("_id IS NOT NULL")
+    drawn = plain.mapInArrow(draw, ", ".join(["resample int", *[f"{n} double" for n in names]]))
+    sums = drawn.groupBy("resample").agg(*[F.sum(n).alias(n) for n in names])
+    each = [
+        f"struct('{f}' AS feature, " + ", ".join(f"{m}{i} AS {m}" for m in parts) + f", {centres[i]!r}D AS centre)"
+        for i, f in enumerate(features)
+    ]
+    sums = sums.selectExpr(f"inline(array({', '.join(each)}))")
     slope = F.try_divide(
         F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("w")),
         F.col("xx") - F.try_divide(F.col("x") * F.col("x"), F.col("w")),

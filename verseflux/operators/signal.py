@@ -230,6 +230,103 @@ def decode_waveforms(files: DataFrame, framing: Framing) -> DataFrame:
     return decoded.select(name.alias("signal_id"), *decoded.columns)
 
 
+def wave_spectra(files: DataFrame, framing: Framing) -> DataFrame:
+    """Wav files ``(signal_id, content)`` -> ``duration`` and the rows of ``spectral_chunks`` per
+    chunk, or one row with an ``error`` per bad file: a file is decoded once, and its samples
+    stay in the task that decodes it."""
+    f = framing
+    arrays = ["rms", "centroid", "note", "timbre", "onset"]
+    names = ["duration", "first_frame", "n_frames", *arrays, "peak", "error"]
+    kinds = [pa.float64(), pa.int64(), pa.int64(), *[pa.list_(pa.float64())] * 5, pa.float64(), pa.string()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, mel = dsp.hann(f.frame), dsp.mel_weights(f.rate, f.frame, f.bands)
+        chroma = lru_cache(maxsize=None)(lambda tuning: dsp.chroma_weights(f.rate, f.frame, tuning))
+
+        def measured(content: bytes | None) -> Iterator[dict]:
+            rate, x = dsp.decode_wav(b"" if content is None else content)
+            if not len(x):
+                raise ValueError("no samples")
+            duration = len(x) / rate
+            x = np.pad(dsp.resample(x, rate, int(f.rate)).astype(np.float64), f.margin)
+            n_frames = f.frames(len(x) - 2 * f.margin)
+            if n_frames == 0:
+                raise ValueError("shorter than a frame")
+            tuning, peak = dsp.profile(x, f.frame, f.hop, f.rate, mel, f.tuning)
+            for first in range(0, n_frames, f.chunk_frames):
+                lead = 1 if first else 0
+                end = (first + f.chunk_frames - 1) * f.hop + f.frame
+                frames = dsp.cut_frames(x[(first - lead) * f.hop : end], f.frame, f.hop)
+                rms, centroid, note, decibels = dsp.frame_features(frames, f.rate, window, mel, chroma(tuning))
+                found = [rms[lead:], centroid[lead:], note[lead:], *dsp.timbre_and_onset(decibels, peak, lead)]
+                yield {"duration": duration, "first_frame": first, "n_frames": n_frames, "peak": peak} | dict(zip(arrays, found, strict=True))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows: list[dict] = []
+                try:
+                    rows += measured(batch.column(1)[i].as_py())
+                except Exception as e:  # a bad file is a row, not a failed task
+                    rows = [{"error": f"{type(e).__name__}: {e}"}]
+                columns = [pa.array([r.get(n) for r in rows], t) for n, t in zip(names, kinds, strict=True)]
+                ids = batch.column(0).take(pa.array([i] * len(rows)))
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["signal_id", *names])
+
+    plain = files.select("signal_id", "content")
+    id_type = plain.schema["signal_id"].dataType.simpleString()
+    fields = ", ".join(f"{c} array<double>" for c in arrays)
+    return plain.mapInArrow(
+        work, f"signal_id {id_type}, duration double, first_frame long, n_frames long, {fields}, peak double, error string"
+    )
+
+
+def wave_features(
+    files: DataFrame, framing: Framing, settings: TempoSettings = TempoSettings()
+) -> DataFrame:
+    """``(signal_id, duration, five features, error)``: one row per wav file ``(signal_id,
+    content)``, with features or with the reason why there are none. ``signal_id`` must
+    identify the files."""
+    spectra = cut_lineage(wave_spectra(files, framing))
+    good = spectra.where("error IS NULL").drop("error")
+    durations = good.where("first_frame = 0").select("signal_id", "duration")
+    found = features_of_spectra(good.drop("duration"), framing, settings).join(durations, "signal_id")
+    errors = spectra.where("error IS NOT NULL").select("signal_id", "error")
+    rows = found.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+    return rows.select(
+        "signal_id", "duration", "tempo", "vocal_tone_quality", "sound_brightness", "musical_note_strength", "sound_loudness", "error"
+    )
+
+
+def resample_arrays(
+    signals: DataFrame, rate: int, target: int, signal_col: str = "signal_id", samples_col: str = "samples", chunk: int = 65536
+) -> DataFrame:
+    """Array columns at another rate: ``(signal_id, first, samples)``, a row per ``chunk`` output
+    samples; each is made of its own inputs and what the filter needs of their neighbours. Null
+    and empty arrays give no row."""
+    bank = dsp.Resampler(rate, target)
+    n = F.size(samples_col)
+    length = F.floor((n * bank.up + bank.down - 1) / bank.down).cast("long")
+    rows = signals.select(F.col(signal_col).alias("signal_id"), F.col(samples_col).cast("array<float>").alias("x"), length.alias("length"))
+    rows = rows.where("length > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(chunk).cast("long"))))
+    rows = rows.withColumn("count", F.least(F.lit(chunk), F.col("length") - F.col("first")))
+    # The inputs that the outputs first .. first + count - 1 are made of, cut to the signal.
+    low = F.greatest(F.lit(0), F.floor(F.col("first") * bank.down / bank.up) + 1 - bank.reach).cast("int")
+    width = F.floor((F.col("count") - 1) * bank.down / bank.up).cast("int") + 2 * bank.reach + 2
+    rows = rows.withColumn("at", low).withColumn("x", F.slice("x", low + 1, width))
+    id_type = rows.schema["signal_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column("x"), batch.column("at").to_pylist(), batch.column("first").to_pylist(), batch.column("count").to_pylist())
+            out = [bank.outputs(_as_matrix(x), at, first, count) for x, at, first, count in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("signal_id"), batch.column("first"), pa.array(out, pa.list_(pa.float64()))], names=["signal_id", "first", "samples"]
+            )
+
+    plain = rows.select("signal_id", "first", "count", "at", "x")
+    return plain.mapInArrow(work, f"signal_id {id_type}, first long, samples array<double>")
+
+
 def _as_matrix(scalar: pa.ListScalar) -> np.ndarray:
     return scalar.values.to_numpy(zero_copy_only=False).astype(np.float64)
 
@@ -487,7 +584,14 @@ def signal_features(
     aggregated and joined back. What several branches read is written once to the checkpoint
     folder.
     """
-    spectra = cut_lineage(spectral_chunks(chunks, framing))
+    return features_of_spectra(cut_lineage(spectral_chunks(chunks, framing)), framing, settings)
+
+
+def features_of_spectra(
+    spectra: DataFrame, framing: Framing, settings: TempoSettings = TempoSettings()
+) -> DataFrame:
+    """The same from the rows of ``spectral_chunks`` or ``wave_spectra``, which are read by
+    several branches."""
     means = signal_means(spectra)
     timbre = spectra
     if "timbre" not in spectra.columns:

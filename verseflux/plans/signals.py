@@ -5,20 +5,27 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verseflux.functions.fixed import SIGNAL_FEATURES
 from verseflux.operators.describe import describe_features
 from verseflux.operators.keys import file_lookup, file_missing
-from verseflux.operators.signal import Framing, TempoSettings, decode_waveforms, signal_features
+from verseflux.lineage import cut_lineage
+from verseflux.operators.signal import Framing, TempoSettings, wave_features
 from verseflux.schemas import require_columns
 from verseflux.sources.media import list_media, read_media
 
 
+#: The error of a title without a file.
+NO_FILE = "no file"
+
+
 @dataclass(frozen=True)
 class SignalReport:
     features: DataFrame  # title and the five features
     missing: DataFrame  # titles without a file
     errors: DataFrame  # processed files that could not be decoded
+    table: DataFrame  # all of these: a row per title with features or an error
 
     def summary(self) -> DataFrame:
         return describe_features(self.features, SIGNAL_FEATURES)
@@ -43,11 +50,16 @@ def extract_signal_features(
     found = file_lookup(titles, listing, extension=extension)
     wanted = found.select("path").distinct()
     contents = read_media(spark, root, extension).join(wanted, "path", "left_semi")
-    decoded = decode_waveforms(contents, framing)
-    chunks = decoded.where("error IS NULL").drop("signal_id").withColumnRenamed("path", "signal_id")
-    features = signal_features(chunks, framing, settings).withColumnRenamed("signal_id", "path")
+    files = contents.select(F.col("path").alias("signal_id"), "content")
+    results = cut_lineage(wave_features(files, framing, settings).withColumnRenamed("signal_id", "path"))
+    good = results.where("error IS NULL").drop("error")
+    missing = file_missing(titles, listing, extension=extension).select("title")
+    # One row per title: its features, or why it has none.
+    table = found.join(results, "path", "left").select("title", "path", "duration", *SIGNAL_FEATURES, "error")
+    table = table.unionByName(missing.withColumn("error", F.lit(NO_FILE)), allowMissingColumns=True)
     return SignalReport(
-        features=found.join(features, "path").select("title", *SIGNAL_FEATURES),
-        missing=file_missing(titles, listing, extension=extension).select("title"),
-        errors=decoded.where("error IS NOT NULL").select("path", "error"),
+        features=found.join(good, "path").select("title", *SIGNAL_FEATURES),
+        missing=missing,
+        errors=results.where("error IS NOT NULL").select("path", "error"),
+        table=table,
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from verseflux.operators.signal import (
     keep_unframed,
     mean_timbre,
     onset_envelope,
+    resample_arrays,
     signal_features,
     signal_means,
     spectral_chunks,
@@ -29,6 +32,7 @@ from verseflux.operators.signal import (
     timbre_chunks,
     unframed_arrays,
     unframed_series,
+    wave_features,
 )
 from verseflux.queries.registry import query, rounded, sql_rounded, table
 
@@ -345,3 +349,101 @@ def signal_features_arrays_all(spark: SparkSession, folder: str) -> DataFrame:
     cut = chunk_arrays(arrays, ARRAY_FRAMING, "vec_id", "embedding")
     features = _round_features(signal_features(cut, ARRAY_FRAMING, ARRAY_TEMPO))
     return keep_unframed(features, unframed_arrays(arrays, ARRAY_FRAMING, "vec_id", "embedding"))
+
+
+# ---- wav files made of the embeddings ----------------------------------------------------
+# Width by vec_id % 3 (8, 16, 24 bits), stereo for odd ids, and some files that are no good.
+
+_WIDTH = "(vec_id % 3 + 1)"
+_STEREO = "vec_id % 2 = 1"
+_SCALE = "CASE vec_id % 3 WHEN 0 THEN 127 WHEN 1 THEN 32767 ELSE 8388607 END"
+_FULL = "CASE vec_id % 3 WHEN 0 THEN 128 WHEN 1 THEN 32768 ELSE 8388608 END"
+_NO_WAV, _NO_SAMPLES, _NO_PCM = ("vec_id % 17 = 3", "vec_id % 17 = 5", "vec_id % 17 = 7")
+
+
+def _little(number: str, size: int) -> str:
+    """Hex digits of a whole number as little-endian bytes."""
+    return " || ".join(f"lpad(hex(shiftright({number}, {8 * k}) & 255), 2, '0')" for k in range(size))
+
+
+def _sample(number: str) -> str:
+    by_width = " ".join(f"WHEN {w - 1} THEN {_little(f'{number} + 128' if w == 1 else number, w)}" for w in (1, 2, 3))
+    return f"CASE vec_id % 3 {by_width} END"
+
+
+def wav_files(embeddings: DataFrame) -> DataFrame:
+    """``(signal_id, content)``: a wav file per embedding that has one."""
+    numbers = f"transform(embedding, x -> CAST(floor(CAST(x AS double) * {_SCALE} + 0.5D) AS bigint))"
+    right = "CASE WHEN vec_id % 3 = 2 THEN q ELSE CAST(floor(q / 2D) AS bigint) END"
+    frames = f"array_join(transform(numbers, q -> {_sample('q')} || CASE WHEN {_STEREO} THEN {_sample(right)} ELSE '' END), '')"
+    text = lambda t: t.encode().hex()
+    rate = int(ARRAY_FRAMING.rate)
+    rows = embeddings.where("embedding IS NOT NULL").withColumn("numbers", F.expr(numbers))
+    rows = rows.withColumn("data", F.expr(f"CASE WHEN {_NO_SAMPLES} THEN '' ELSE {frames} END"))
+    rows = rows.withColumn("channels", F.expr(f"CASE WHEN {_STEREO} THEN 2L ELSE 1L END"))
+    rows = rows.withColumn("size", F.expr("CAST(length(data) div 2 AS bigint)")).withColumn("kind", F.expr(f"CASE WHEN {_NO_PCM} THEN 3L ELSE 1L END"))
+    head = [
+        f"'{text('RIFF')}'", _little("(size + 36)", 4), f"'{text('WAVEfmt ')}'", _little("16L", 4), _little("kind", 2), _little("channels", 2),
+        _little(f"{rate}L", 4), _little(f"({rate}L * channels * {_WIDTH})", 4), _little(f"(channels * {_WIDTH})", 2), _little(f"(8 * {_WIDTH})", 2),
+        f"'{text('data')}'", _little("size", 4),
+    ]
+    content = f"CASE WHEN {_NO_WAV} THEN '{text('RIFX, no wave')}' ELSE {' || '.join(head)} || data END"
+    return rows.select(F.col("vec_id").alias("signal_id"), F.unhex(F.expr(content)).alias("content"))
+
+
+_SQL_WAVES = f"""
+    SELECT id, unnest(range(len(e) + {2 * _PAD})) AS i, len(e) + {2 * _PAD} AS n,
+        unnest(list_concat(list_concat([0.0 FOR z IN range({_PAD})], e), [0.0 FOR z IN range({_PAD})])) AS x
+    FROM (
+        SELECT vec_id AS id, [CASE WHEN {_STEREO} AND vec_id % 3 < 2 THEN (q + floor(q / 2)) / 2 ELSE q END / ({_FULL}) FOR q IN
+            [floor(v::double * ({_SCALE}) + 0.5) FOR v IN embedding]] AS e
+        FROM embeddings WHERE embedding IS NOT NULL AND NOT ({_NO_WAV}) AND NOT ({_NO_SAMPLES}) AND NOT ({_NO_PCM}))"""
+
+
+@query(
+    "wave_features",
+    sql_spectra(_SQL_WAVES, ARRAY_FRAMING)
+    + sql_tempo(ARRAY_FRAMING, ARRAY_TEMPO)
+    + f"""
+SELECT f.*, {sql_rounded(f"len(embedding) / {ARRAY_FRAMING.rate!r}::double")} AS duration, NULL::varchar AS error
+FROM ({_SQL_ALL.replace("{bands}", str(ARRAY_FRAMING.bands))}) f JOIN embeddings ON vec_id = signal_id
+UNION ALL
+SELECT vec_id, NULL, NULL, NULL, NULL, NULL, NULL, 'ValueError: ' || CASE WHEN {_NO_WAV} THEN 'not a wav file'
+    WHEN {_NO_PCM} THEN 'format 3 with ' || (8 * {_WIDTH}) || ' bits and ' || (vec_id % 2 + 1) || ' channels is not supported' ELSE 'no samples' END
+FROM embeddings WHERE embedding IS NOT NULL AND ({_NO_WAV} OR {_NO_SAMPLES} OR {_NO_PCM})""",
+)
+def wave_features_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of wav files of several formats, and an error for each that cannot be read."""
+    result = wave_features(wav_files(table(spark, folder, "embeddings")), ARRAY_FRAMING, ARRAY_TEMPO)
+    numbers = [c for c in result.columns if c not in ("signal_id", "error")]
+    return result.select("signal_id", *[rounded(c).alias(c) for c in numbers], "error")
+
+
+# ---- resampling --------------------------------------------------------------------------
+
+RATES = (64, 48)
+_UP, _DOWN = RATES[1] // math.gcd(*RATES), RATES[0] // math.gcd(*RATES)
+_CUT = min(1.0, RATES[1] / RATES[0])
+_REACH = math.ceil(dsp.RESAMPLE_REACH / _CUT)
+
+
+@query(
+    "signal_resample",
+    f"""
+WITH outputs AS (
+    SELECT vec_id, embedding AS e, unnest(range((len(embedding) * {_UP} + {_DOWN - 1}) // {_DOWN})) AS i FROM embeddings),
+taps AS (
+    SELECT vec_id, i, e, j, i * {_DOWN} / {_UP}::double - j AS t
+    FROM outputs, range(1 - {_REACH}, {_REACH} + 1) r(d), LATERAL (SELECT i * {_DOWN} // {_UP} + d AS j)),
+weights AS (
+    SELECT *, CASE WHEN abs(t) < {_REACH} THEN (0.5 + 0.5 * cos(pi() * t / {_REACH}))
+        * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * {_CUT!r} * t) / (pi() * {_CUT!r} * t) END ELSE 0 END AS w FROM taps)
+SELECT vec_id AS signal_id, i, {sql_rounded("sum(w * CASE WHEN j BETWEEN 0 AND len(e) - 1 THEN e[j + 1]::double ELSE 0 END) / sum(w)", 5)} AS x
+FROM weights GROUP BY vec_id, i""",
+)
+def signal_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """The embeddings as signals at 48 instead of 64 samples per second."""
+    result = resample_arrays(table(spark, folder, "embeddings"), *RATES, "vec_id", "embedding", chunk=20)
+    return result.select("signal_id", F.posexplode("samples").alias("k", "x"), "first").select(
+        "signal_id", (F.col("first") + F.col("k")).alias("i"), rounded("x", 5).alias("x")
+    )
