@@ -200,6 +200,23 @@ def test_near_copies_of_a_large_tight_group(spark):
     assert sorted(map(tuple, done.collect()), key=str) == copies_by_hand(rows)
 
 
+def test_neighbours_by_prefix():
+    head = np.array([5, 5, 5, 6, 9 << 16, (9 << 16) + 1, 1 << 32, (1 << 32) + 5, (1 << 32) + 9, 3 << 32], np.int64)
+    tree = np.array([0] * 9 + [0])
+    # 0-3 share three minima but the region may reach further; 4, 5 are a small region.
+    assert nearcopies.neighbours(tree, head, 2).tolist() == [1, 2, 5]
+    assert nearcopies.neighbours(tree, head, 3).tolist() == [1, 2, 5, 7, 8]
+    assert nearcopies.neighbours(np.arange(10), head * 0, 3).tolist() == []
+    assert nearcopies.neighbours(tree[:1], head[:1], 3).tolist() == []
+
+
+def test_order_by_ranges_hands_on_the_edges(spark):
+    rows = [(t, h, r, 100 * h + r) for t in (0, 1) for h in (1, 2, 3) for r in range(60)]
+    df = spark.createDataFrame(rows, "tree byte, head long, rest long, node long").repartition(7)
+    links = [tuple(r) for r in nearcopies.candidates(df, 1).collect()]
+    assert sorted(links) == sorted((100 * h + r, 100 * h + r - 1) for h in (1, 2, 3) for r in range(1, 60))
+
+
 def test_near_copies_edges(spark):
     assert nearcopies.near_copies(empty(spark)).count() == 0
     done = nearcopies.near_copies(clashing(spark, "n_shingles", "kept"), width=4)

@@ -2,9 +2,12 @@
 
 1. Every text becomes its set of shingle hashes, a fingerprint of the set, and a signature of
    ``TREES`` x ``DEPTH`` minima. Texts with equal sets are one class from here on.
-2. Each tree labels the classes by its own ``DEPTH`` minima. All classes that share a tree's
-   label are candidates, however many they are: each is linked with the smallest of them.
-   A pair at the limit of 0.8 shares some tree's label but for three pairs in a million.
+2. Each tree sorts the classes by their signature from its own ``DEPTH`` minima on, by ranges of
+   rows. Neighbours in the order have the longest common prefixes: they are candidates if they
+   share the tree's own minima, and with one minimum less where the region of that prefix is
+   small, so the depth follows the region. All that share a tree's minima are neighbours of
+   neighbours, however many they are; a pair at the limit of 0.8 shares some tree's minima but
+   for three pairs in a million.
 3. Candidates only say which classes must be looked at together: classes that are connected by
    them are compared exactly, all with all, on full sets. A connected group of more than
    ``TILE`` shingles is cut into blocks of like sizes; blocks whose sizes allow a link meet in
@@ -21,7 +24,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verseflux.lineage import cut_lineage
@@ -30,6 +33,8 @@ from verseflux.llm.graph import components
 
 TREES = 24
 DEPTH = 4
+#: Classes of a region that is looked at with one minimum less.
+REGION = 8
 #: Shingles of a tile's side, at most (a longer text is a side of its own).
 TILE = 100_000
 #: Classes of sizes: each reaches 5 % beyond the one before.
@@ -139,8 +144,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text", "hash").mapInArrow(run, "id long, hash long, n long, print binary, signature binary")
 
 
-def labels(classes: DataFrame) -> DataFrame:
-    """``tree``, ``head`` (the tree's own minima), ``node`` (number of the class)."""
+def orders(classes: DataFrame) -> DataFrame:
+    """``tree``, ``head`` (the tree's own minima), ``rest`` (those of the next tree), ``node``
+    (number of the class): a row per tree, which sorts the classes by their signature from its
+    own minima on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,20 +160,61 @@ def labels(classes: DataFrame) -> DataFrame:
                     [
                         pa.array(np.full(len(rows), t, np.int8)),
                         pa.array(np.ascontiguousarray(rows[:, t])),
+                        pa.array(np.ascontiguousarray(rows[:, (t + 1) % TREES])),
                         batch.column(0),
                     ],
-                    names=["tree", "head", "node"],
+                    names=["tree", "head", "rest", "node"],
                 )
 
-    return classes.select("node", "signature").mapInArrow(run, "tree byte, head long, node long")
+    return classes.select("node", "signature").mapInArrow(run, "tree byte, head long, rest long, node long")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of every class with the smallest one of each head that it shares."""
-    # Written, so that the join deals a hot head to several tasks.
-    least = rows.groupBy("tree", "head").agg(F.min("node").alias("b"), F.count("*").alias("n"))
-    least = cut_lineage(least.where("n > 1").select("tree", "head", "b"))
-    return rows.join(least, ["tree", "head"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+def neighbours(tree: np.ndarray, head: np.ndarray, region: int) -> np.ndarray:
+    """Places of the sorted rows that are candidates of the row before them.
+
+    The row before is the neighbour of the longest common prefix on that side. It is a candidate
+    if both share the ``DEPTH`` minima of the head, however many rows do. Where they share one
+    minimum less, the region of that prefix counts if it holds at most ``region`` rows; a region
+    that reaches the end of the given rows may be larger and does not.
+    """
+    same_tree = np.r_[False, tree[1:] == tree[:-1]]
+    deep = same_tree & np.r_[False, head[1:] == head[:-1]]
+    upper = head >> 16  # a minimum has 16 bits
+    shallow = same_tree & np.r_[False, upper[1:] == upper[:-1]]
+    starts = np.flatnonzero(~shallow)
+    lengths = np.diff(np.r_[starts, len(tree)])
+    small = lengths <= region
+    small[[0, -1]] = False
+    return np.flatnonzero(deep | shallow & np.repeat(small, lengths))
+
+
+def candidates(rows: DataFrame, region: int) -> DataFrame:
+    """Links (a, b) of classes that are neighbours in some tree's order.
+
+    The orders are sorted by ranges, so that a region of any size spreads over several tasks; the
+    first row of a range meets the last one of the range before it.
+    """
+    keys = ["tree", "head", "rest", "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]  # one range
+        if not whole:
+            return
+        part, tree, head, node = (np.concatenate(c) for c in zip(*whole, strict=True))
+        at = neighbours(tree, head, region)
+        ends = [0, len(node) - 1]
+        out = [np.r_[node[at], node[ends]], np.r_[node[at - 1], [-1, -2]]]
+        extra = [np.r_[np.zeros(len(at), np.int64), x[ends]] for x in (part.astype(np.int64), tree.astype(np.int64), head)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*out, *extra)], names=["a", "b", "part", "tree", "head"])
+
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = ordered.select(F.spark_partition_id().alias("part"), "tree", "head", "node")
+    found = cut_lineage(ordered.mapInArrow(run, "a long, b long, part long, tree long, head long"))
+    # Two rows per range: its first (b = -1) and its last one (b = -2).
+    before = Window.orderBy("part", F.col("b").desc())
+    edges = found.where("b < 0").withColumns({n: F.lag(c).over(before) for n, c in (("l", "a"), ("t", "tree"), ("h", "head"), ("s", "b"))})
+    handed = edges.where("b = -1 AND s = -2 AND t = tree AND h = head").select("a", F.col("l").alias("b"))
+    return found.where("b >= 0").select("a", "b").union(handed).where("a <> b").distinct()
 
 
 def spanning_links(ids: list[int], sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -276,7 +324,7 @@ def near_copies(
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    region: int | None = None,
+    region: int = REGION,
     tile: int = TILE,
 ) -> DataFrame:
     """One row per row of ``df``: the id, ``n_shingles``, ``component_id``, ``kept``.
@@ -288,11 +336,11 @@ def near_copies(
     id is larger than all others and names no component (one of null ids alone is null, and one
     row of it stays). Rows that repeat an id are judged by their own texts; of different texts
     with the smallest id one stays. An empty table gives an empty one; other
-    columns are not read. ``region`` is accepted for older callers and has no effect: regions of
-    any size are looked at whole.
+    columns are not read. ``region`` is the largest region that is looked at with a prefix of one
+    minimum less; regions of the whole prefix are looked at whatever their size.
     """
     docs, sketched = _sketched(df, id_col, text_col, width)
-    out = _named(sketched, docs, width, percent, tile)
+    out = _named(sketched, docs, width, percent, tile, region)
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -305,7 +353,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``df`` without the rows that ``near_copies`` does not keep; of equal rows with one id one
     stays. Rows without an id whose texts have no words all stay."""
     docs, sketched = _sketched(df, id_col, text_col, width)
-    out = _named(sketched, docs, width, percent, TILE)
+    out = _named(sketched, docs, width, percent, TILE, REGION)
     gone = out.where("NOT text_kept").select(F.col("id").alias("__id"), F.col("hash").alias("__h")).distinct()
     marked = df.withColumn("__key", id_or_last(id_col)).withColumn("__hash", F.xxhash64(text_col))
     if _repeats(sketched.where((F.col("n") > 0) | (F.col("id") != NO_ID))):
@@ -328,7 +376,7 @@ def _repeats(sketched: DataFrame) -> bool:
     return not sketched.groupBy("id", "hash").count().where("count > 1").isEmpty()
 
 
-def _named(sketched: DataFrame, docs: DataFrame, width: int, percent: int, tile: int) -> DataFrame:
+def _named(sketched: DataFrame, docs: DataFrame, width: int, percent: int, tile: int, region: int) -> DataFrame:
     """``sketched`` with ``component`` (the smallest id of the texts that are linked), ``text_kept``
     (whether the row's text is the one that stays under its id) and ``kept``.
 
@@ -341,7 +389,7 @@ def _named(sketched: DataFrame, docs: DataFrame, width: int, percent: int, tile:
     classes = some.groupBy("print").agg(F.min(F.struct("id", "hash", "row", "n", "signature")).alias("first"))
     # Numbers of classes hold once they are written.
     classes = cut_lineage(classes.select("print", "first.*", F.monotonically_increasing_id().alias("node")))
-    looked = components(candidates(labels(classes))).withColumnRenamed("node", "m")
+    looked = components(candidates(orders(classes), region)).withColumnRenamed("node", "m")
     groups = looked.join(classes, F.col("node") == F.col("m")).select("node", "id", "hash", "n", "component")
     links = cut_lineage(confirm(groups, docs, width, percent, tile))
     joined = components(links).select(F.col("node").alias("m"), "component")
