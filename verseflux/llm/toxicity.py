@@ -38,6 +38,8 @@ BATCH = 16
 #: Batches that training aims at, and the least and most times that it reads the sample.
 STEPS, EPOCHS = 2500, (5, 12)
 _PAD = max(WIDTHS) - 1
+#: Padding behind the last text, so that even a text without words has a place in every map.
+_END = 1
 _GROUP = 1_000_000
 
 
@@ -99,21 +101,22 @@ class ConvNet:
     def padded(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Table rows with padding after every text, and where texts begin."""
         starts = np.r_[0, np.cumsum(counts + _PAD)[:-1]].astype(np.int64) if len(counts) else np.zeros(0, np.int64)
-        out = np.full((int((counts + _PAD).sum()), TABLES), 1 << BUCKET_BITS, np.int32)
+        out = np.full((int((counts + _PAD).sum()) + _END, TABLES), 1 << BUCKET_BITS, np.int32)
         out[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(rows))] = rows
         return out, starts
 
     def features(self, rows: np.ndarray, starts: np.ndarray):
         x = np.concatenate([t[rows[:, i]] for i, t in enumerate(self.tables)], axis=1)
-        owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(x)]))
+        total = len(x) - _END
+        owner = np.r_[np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, total])), [-1] * _END]
         maps, tops = [], []
         for w, weight, bias in zip(WIDTHS, self.weights, self.biases, strict=True):
             z = x[: len(x) - w + 1] @ weight[0]
             for k in range(1, w):
                 z += x[k : len(x) - w + 1 + k] @ weight[k]
             z += bias
-            if w > 1:
-                z[owner[: len(z)] != owner[w - 1 :]] = -np.inf
+            # Windows that reach into another text, or behind the last one, do not count.
+            z[(owner[: len(z)] != owner[w - 1 :]) | (owner[w - 1 :] < 0)] = -np.inf
             maps.append(z)
             tops.append(np.maximum.reduceat(z, starts, axis=0))
         return x, maps, np.concatenate(tops, axis=1)
