@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseflux.lineage import cut_lineage
+from verseflux.llm.common import release
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,6 +32,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v")))
         links = cut_lineage(small.where("u <> v").distinct())
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        release(links.sparkSession)  # of every step the plans and shuffle files are garbage now
         if state == before:
             break
         before = state
