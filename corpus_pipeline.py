@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from verseflux.lineage import cut_lineage
 from verseflux.llm.bpe import encode_decode
-from verseflux.llm.common import prepare, table
+from verseflux.llm.common import prepare, release, table
 from verseflux.llm.linededup import dedup_lines
 from verseflux.llm.mixing import mix_documents
 from verseflux.llm.nearcopies import drop_near_copies
@@ -130,4 +130,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))
+        release(spark)  # what a stage made on its way is garbage now
     return STAGES[-1][1](spark, docs, sf_dir)
