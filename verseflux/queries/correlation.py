@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verseflux.functions.fixed import LABEL_CODES
 from verseflux.functions.text import letter_count, line_count, upper_count, word_count
-from verseflux.operators.charts import plot_annotation, scatter_long
+from verseflux.operators.charts import density_grid, plot_annotation, scatter_long
 from verseflux.operators.correlate import (
     add_significance,
     choose_outcome,
@@ -20,6 +20,7 @@ from verseflux.operators.correlate import (
     label_code,
 )
 from verseflux.operators.describe import describe_features
+from verseflux.operators.moments import correlate_moments, feature_moments
 from verseflux.operators.parse import parse_collection
 from verseflux.operators.regression import (
     DRAW_PRIME,
@@ -488,3 +489,52 @@ def scatter_long_query(spark: SparkSession, folder: str) -> DataFrame:
         labelled_features(spark, folder), "sentiment_numeric", TEXT_FEATURES, ("doc_id",)
     )
     return points.withColumn("x", rounded("x"))
+
+
+GRID_BINS = 40
+GRID_FEATURES = ["l_quantity", "l_tax", "l_discount"]
+
+
+def _sql_cells(f: str) -> str:
+    def place(c: str) -> str:
+        cell = f"floor(({c} - {c}0) / nullif({c}1 - {c}0, 0) * {GRID_BINS})"
+        return f"least(coalesce({cell}, 0), {GRID_BINS - 1})::int"
+
+    def edge(c: str, step: int) -> str:
+        return sql_rounded(f"{c}0 + ({c}_bin + {step}) * (({c}1 - {c}0) / {GRID_BINS})", 4)
+
+    return f"""SELECT '{f}' AS feature, x_bin, y_bin, {edge("x", 0)} AS x_from, {edge("x", 1)} AS x_to,
+        {edge("y", 0)} AS y_from, {edge("y", 1)} AS y_to, count(*) AS points
+    FROM (SELECT *, {place("x")} AS x_bin, {place("y")} AS y_bin
+          FROM (SELECT *, min(x) OVER () AS x0, max(x) OVER () AS x1, min(y) OVER () AS y0, max(y) OVER () AS y1
+                FROM (SELECT {f}::double AS x, l_extendedprice::double AS y FROM lineitem)
+                WHERE x IS NOT NULL AND y IS NOT NULL))
+    GROUP BY x_bin, y_bin, x0, x1, y0, y1"""
+
+
+@query("density_grid", " UNION ALL ".join(map(_sql_cells, GRID_FEATURES)))
+def density_grid_query(spark: SparkSession, folder: str) -> DataFrame:
+    cells = density_grid(table(spark, folder, "lineitem"), "l_extendedprice", GRID_FEATURES, GRID_BINS)
+    return cells.withColumns({c: rounded(c, 4) for c in ("x_from", "x_to", "y_from", "y_to")})
+
+
+MOMENT_FEATURES = ["l_quantity", "l_tax", "l_discount"]
+
+
+def _sql_whole(f: str) -> str:
+    return f"""SELECT l_returnflag, '{f}' AS feature, {sql_pearson("y", f)} AS r, count(*) AS sample_size
+        FROM (SELECT l_returnflag, l_extendedprice::double AS y, {f}::double AS {f} FROM lineitem)
+        GROUP BY l_returnflag"""
+
+
+@query(
+    "correlate_increments",
+    f"""SELECT l_returnflag, feature, {sql_rounded("r")} AS correlation, sample_size
+    FROM ({" UNION ALL ".join(map(_sql_whole, MOMENT_FEATURES))})""",
+)
+def correlate_increments(spark: SparkSession, folder: str) -> DataFrame:
+    """Moments per month of shipping, as increments would store them, merged per flag."""
+    items = table(spark, folder, "lineitem").withColumn("month", F.date_trunc("month", "l_shipdate"))
+    months = feature_moments(items, ["l_extendedprice"], MOMENT_FEATURES, ["l_returnflag", "month"])
+    merged = correlate_moments(months, "l_extendedprice", by=["l_returnflag"], sort=False)
+    return merged.select("l_returnflag", "feature", rounded("correlation").alias("correlation"), "sample_size")
