@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 import numpy as np
 import pytest
@@ -352,3 +353,18 @@ def test_gamma_derivatives():
     assert trigamma(np.array([1.0]))[0] == pytest.approx(math.pi**2 / 6, rel=1e-9)
     assert digamma(x + 1) - digamma(x) == pytest.approx(1 / x, rel=1e-8)
     assert trigamma(x) - trigamma(x + 1) == pytest.approx(1 / x**2, rel=1e-6)
+
+
+def test_lemma_arrays_by_loops(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    given = {w: w[::-1] for w in words[::2]} | {"same": "same"}
+    texts = {i: [rng.choice([*words, "same"]) for _ in range(rng.choice([0, 1, 40, 3000]))] for i in range(40)}
+    rows = [*texts.items(), (None, ["w0", "w1"]), (90, []), (91, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    lemmas = spark.createDataFrame(list(given.items()), "token string, lemma string")
+    got = {r.doc_id: r.tokens for r in lemmatize_arrays(docs, lemmas).collect()}
+    expected = {i: [given.get(t, t) for t in ts] for i, ts in texts.items() if ts}
+    assert got == expected | {None: ["w0", "w1"]}
+    assert {r.doc_id: r.tokens for r in lemmatize_arrays(docs, lemmas.where("false")).collect()}[None] == ["w0", "w1"]
+    assert lemmatize_arrays(docs.where("false"), lemmas).isEmpty()

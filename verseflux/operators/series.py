@@ -6,6 +6,8 @@ signal in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,34 +70,33 @@ def _starts(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def frame_rows(samples: DataFrame, frame: int, hop: int) -> DataFrame:
-    """``(signal_id, frame, s, x)``: each sample once per full frame it lies in; ``s`` is its
-    place in the frame. Frames of ``frame`` samples start every ``hop`` samples.
+def frame_statistics(samples: DataFrame, frame: int, hop: int) -> DataFrame:
+    """``(signal_id, frame, size, mean, rms)`` per full frame: frames of ``frame`` samples start
+    every ``hop`` samples.
 
-    The length of the signal comes with each sample, so frames that would run over its end are
-    never generated.
+    Every sample enters one pane, whose length divides both ``hop`` and ``frame``; panes are
+    summed once and frames are put together from the sums. The length of the signal comes with
+    each sample, so frames that would run over its end are never generated. A missing value
+    counts in ``size`` only.
     """
     if not 0 < hop <= frame:
         raise ValueError("need 0 < hop <= frame")
-    i, n = F.col("i"), F.col("n")
-    first = F.greatest(F.lit(0), F.floor((i - frame + hop) / hop))
-    last = F.least(F.floor(i / hop), F.floor((n - frame) / hop))
-    frames = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
-    return samples.select("signal_id", F.explode(frames).alias("frame"), "i", "x").select(
-        "signal_id", "frame", (F.col("i") - F.col("frame") * hop).alias("s"), "x"
+    x, width = F.col("x"), math.gcd(frame, hop)
+    panes = samples.groupBy("signal_id", "n", F.floor(F.col("i") / width).alias("pane")).agg(
+        F.count(F.lit(1)).alias("size"), F.count(x).alias("known"), F.sum(x).alias("s"), F.sum(x * x).alias("q")
     )
-
-
-def frame_statistics(samples: DataFrame, frame: int, hop: int) -> DataFrame:
-    """``(signal_id, frame, size, mean, rms)`` per full frame."""
-    x = F.col("x")
+    start, n = F.col("pane") * width, F.col("n")
+    first = F.greatest(F.lit(0), F.floor((start - frame + hop) / hop))
+    last = F.least(F.floor(start / hop), F.floor((n - frame) / hop))
+    frames = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+    known = F.sum("known").cast("double")
     return (
-        frame_rows(samples, frame, hop)
+        panes.select("signal_id", F.explode(frames).alias("frame"), "size", "known", "s", "q")
         .groupBy("signal_id", "frame")
         .agg(
-            F.count(F.lit(1)).alias("size"),
-            F.avg(x).alias("mean"),
-            F.sqrt(F.avg(x * x)).alias("rms"),
+            F.sum("size").alias("size"),
+            F.try_divide(F.sum("s"), known).alias("mean"),
+            F.sqrt(F.try_divide(F.sum("q"), known)).alias("rms"),
         )
     )
 

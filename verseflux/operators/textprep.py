@@ -143,20 +143,36 @@ def lemmatize(rows: DataFrame, lemmas: DataFrame, token_col: str = "token") -> D
     )
 
 
+#: Parts of a document's map of changed words: a look-up reads one part, entry by entry.
+MAP_PARTS = 64
+
+
 def lemmatize_arrays(
     docs: DataFrame, lemmas: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens"
 ) -> DataFrame:
     """``(id, tokens)`` with each token replaced by its lemma, in the same order.
 
-    Documents without tokens have no row in the result.
+    Only distinct tokens of a document meet the lemmas, and only those that change come back, as
+    a map that is applied to the array in place; no token is a row of its own. Documents without
+    tokens have no row in the result; ids are unique, and a null id keeps its tokens.
     """
-    rows = docs.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    return (
-        lemmatize(rows.where("token IS NOT NULL"), lemmas)
-        .groupBy(id_col)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "lemma"))).alias("_t"))
-        .select(id_col, F.col("_t.lemma").alias(tokens_col))
-    )
+    found = lemmas.select("token", "lemma").where("lemma <> token")
+    terms = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(tokens_col)).alias("token"))
+    part = F.pmod(F.hash("token"), F.lit(MAP_PARTS)).alias("_part")
+    # Both groupings use the one partitioning by document.
+    changed = (
+        terms.where("_id IS NOT NULL").join(found, "token").select("_id", part, "token", "lemma").repartition("_id")
+        .groupBy("_id", "_part").agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_map"))
+        .groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_part", "_map"))).alias("_changed"))
+    )
+    own = docs.where(F.size(tokens_col) > 0).select(id_col, tokens_col)
+    met = own.join(changed, F.col(id_col) == F.col("_id"), "left")
+
+    def lemma(token: Column) -> Column:
+        parts = F.try_element_at("_changed", F.pmod(F.hash(token), F.lit(MAP_PARTS)))
+        return F.coalesce(F.try_element_at(parts, token), token)
+
+    return met.select(id_col, F.when(F.col("_changed").isNull(), F.col(tokens_col)).otherwise(F.transform(tokens_col, lemma)).alias(tokens_col))
 
 
 def count_tokens(

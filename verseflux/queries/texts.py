@@ -23,6 +23,7 @@ from verseflux.operators.textprep import (
     document_frequency,
     lemma_table,
     lemmatize,
+    lemmatize_arrays,
     stopword_table,
     stopwords,
     vocabulary,
@@ -241,6 +242,25 @@ def lemmatize_query(spark: SparkSession, folder: str) -> DataFrame:
     return lemmatize(counts, lemmas).select("doc_id", "token", "tf", "lemma")
 
 
+@query(
+    "lemmatize_arrays",
+    SQL_DOC_TOKENS
+    + f""",
+counts AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(tokens) AS token FROM docs)),
+terms AS (SELECT DISTINCT token AS term FROM counts),
+lemmas AS (
+    SELECT token, first(lemma ORDER BY length(lemma), lemma) AS lemma FROM ({_CANDIDATES})
+    WHERE lemma IN (SELECT term FROM terms) GROUP BY token),
+placed AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS place FROM docs)
+SELECT doc_id, string_agg(coalesce(l.lemma, p.token), ' ' ORDER BY place) AS lemmas
+FROM placed p LEFT JOIN lemmas l USING (token) GROUP BY doc_id""",
+)
+def lemmatize_arrays_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = clean_tokens(table(spark, folder, "documents"), "text").select("doc_id", "tokens")
+    lemmas = lemma_table(docs.select(F.explode("tokens").alias("term")).distinct())
+    return lemmatize_arrays(docs, lemmas).select("doc_id", F.array_join("tokens", " ").alias("lemmas"))
+
+
 _SQL_VOCABULARY = (
     SQL_DOC_TOKENS
     + """,
