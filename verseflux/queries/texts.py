@@ -16,6 +16,7 @@ from verseflux.functions.fixed import (
 from verseflux.functions.text import truncate
 from verseflux.operators.parse import parse_collection, parse_rejects
 from verseflux.operators.scoring import MODEL_WINDOW
+from verseflux.lineage import cut_lineage
 from verseflux.operators.textprep import (
     bag_of_words,
     clean_tokens,
@@ -256,8 +257,8 @@ SELECT doc_id, string_agg(coalesce(l.lemma, p.token), ' ' ORDER BY place) AS lem
 FROM placed p LEFT JOIN lemmas l USING (token) GROUP BY doc_id""",
 )
 def lemmatize_arrays_query(spark: SparkSession, folder: str) -> DataFrame:
-    docs = clean_tokens(table(spark, folder, "documents"), "text").select("doc_id", "tokens")
-    lemmas = lemma_table(docs.select(F.explode("tokens").alias("term")).distinct())
+    docs = cut_lineage(clean_tokens(table(spark, folder, "documents"), "text").select("doc_id", "tokens"))
+    lemmas = lemma_table(docs.select(F.explode(F.array_distinct("tokens")).alias("term")).distinct())
     return lemmatize_arrays(docs, lemmas).select("doc_id", F.array_join("tokens", " ").alias("lemmas"))
 
 
