@@ -438,24 +438,58 @@ def test_quality_signals(spark):
     assert quality.quality_filter(empty(spark), labels).count() == 0
 
 
-def test_cutoffs_hold_the_risk(spark):
+def cutoffs_by_hand(good, everyone, risk, error):
+    """``good`` and ``everyone``: (stratum, ratios) rows; the last step before the first failure."""
     import math
 
-    rng = np.random.default_rng(4)
-    n = 4000
-    rows = [("en", float(rng.beta(1, 8)), 0.0, 0.0, 0.0, 0.0) for _ in range(n)] + [(None, 0.5, 0.0, 0.0, 0.0, 0.0)] * 20
-    good = spark.createDataFrame(rows, ["stratum", *quality.RULES])
-    cuts = {r.stratum: r for r in quality.choose_cutoffs(good, 0.01, 0.05).collect()}
-    assert set(cuts) == {"en"}  # 20 labels allow no rejection at all
-    bound = math.log(0.05 / (2 * len(quality.RULES) * len(quality.GRID)))
-    values = np.array([r[1] for r in rows[:n]])
-
-    def tail(k):
-        terms = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(0.01) + (n - j) * math.log(0.99) for j in range(k + 1)]
+    def log_tail(k, n):
+        terms = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(risk) + (n - j) * math.log1p(-risk) for j in range(k + 1)]
         return max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms))
 
-    passing = [g for g in quality.GRID if (k := int((values > g).sum())) < n * 0.01 and tail(k) <= bound]
-    assert cuts["en"].cut_symbols == min(passing) and cuts["en"].cut_repeats == 0.0
+    out = {}
+    rest = Counter(everyone)
+    rest.subtract(Counter(good))
+    rest = list(rest.elements())
+    strata = {g[0] for g in good}
+    for s in strata:
+        own, others = [g[1:] for g in good if g[0] == s], [r[1:] for r in rest if r[0] == s]
+        for step in range(quality.STEPS if others else 0):
+            cuts = [
+                min((g for g in quality.GRID if quality.STEP * sum(o[j] > g for o in others) <= step * len(others)), default=None)
+                for j in range(len(quality.RULES))
+            ]
+            k = sum(any(c is not None and v > c for v, c in zip(x, cuts, strict=True)) for x in own)
+            if k >= risk * len(own) or log_tail(k, len(own)) > math.log(error / len(strata)):
+                break
+            out[s] = tuple(cuts)
+    return out
+
+
+def test_cutoffs_are_the_last_step_that_holds(spark):
+    rng = np.random.default_rng(4)
+
+    def made(stratum, n, spread):
+        return [(stratum, *(float(rng.beta(1, b)) for b in spread)) for _ in range(n)]
+
+    bad = [("en", 0.5, 0.0, 0.0, 0.0, 0.9)] * 20 + [("de", 0.0, 0.9, 0.0, 0.6, 0.0)] * 20
+    good = made("en", 900, (8, 90, 60, 40, 30)) + made("de", 400, (40, 30, 30, 30, 200)) + made(None, 20, (9, 9, 9, 9, 9)) + made("fr", 300, (9,) * 5)
+    everyone = good + bad + made("en", 1500, (8, 60, 60, 40, 30)) + made("de", 500, (40, 30, 30, 30, 200)) + made(None, 50, (9,) * 5)
+    names = ["stratum", *quality.RULES]
+    frames = [spark.createDataFrame(rows, names).repartition(5) for rows in (good, everyone)]
+    cuts = {r.stratum: tuple(r)[1:] for r in quality.choose_cutoffs(*frames, 0.05, 0.05).collect()}
+    assert cuts == cutoffs_by_hand(good, everyone, 0.05, 0.05)
+    assert set(cuts) == {"en", "de"}  # 20 labels allow no rejection; "fr" has only documents that are held out
+    for s in cuts:
+        rejecting = [sum(x[j + 1] > c for x in everyone if x[0] == s) for j, c in enumerate(cuts[s]) if c is not None]
+        assert sum(n > 0 for n in rejecting) >= 2
+        mine = [x[1:] for x in good if x[0] == s]
+        assert sum(any(c is not None and v > c for v, c in zip(x, cuts[s], strict=True)) for x in mine) < 0.05 * len(mine)
+
+
+def test_rules_reject_nothing_without_labels(spark):
+    nothing = spark.createDataFrame([], "doc_id long, quality int")
+    done = quality.quality_filter(documents(spark, ROWS), nothing)
+    assert done.where("kept = base_failed").count() == 0 and done.count() == len(ROWS)
 
 
 # ---- language and toxicity --------------------------------------------------------------

@@ -1,13 +1,20 @@
 """Quality rules whose cutoffs are chosen by exact binomial bounds, in DataFrame operations only.
 
-Every rule is a ratio; a document is rejected where one exceeds its cutoff. Cutoffs come from
-labelled documents of good quality that pass the fixed base rules, per stratum (language): for
-every cutoff of a fixed grid, the number of good documents that it would reject is tested
-against the limit ``risk``: it passes if so few rejections, or fewer, have a binomial
-probability of at most ``error`` / (strata x rules x grid) at the limit. With probability
-1 - ``error``, no cutoff that passed rejects more than ``risk`` of the good documents of its
-stratum (Bonferroni over all tests). The smallest passing cutoff is used; where none passes,
-for instance in a stratum with few labels, the rule rejects nothing.
+Every rule is a ratio; a document is rejected where one exceeds its cutoff. Cutoffs are learned
+and then tested, per stratum (language):
+
+1. Documents that are not held out give a ladder of steps. On step ``i`` each rule has the
+   smallest cutoff of a fixed grid that at most ``i`` / ``STEP`` of these documents exceed, so
+   all rules tighten together.
+2. The held-out documents, labelled as of good quality and past the fixed base rules, test the
+   steps from the loosest on: a step passes if so few false rejections, by all rules together,
+   or fewer, have a binomial probability of at most ``error`` / strata at the limit ``risk``.
+   The last step before the first that fails gives the cutoffs.
+
+A sequence in a fixed order that ends with its first failure needs no correction for its length,
+and strata are corrected for by Bonferroni. So with probability 1 - ``error`` no stratum loses
+more than ``risk`` of its good documents to the rules. Where no step passes, for instance in a
+stratum with few labels, the rules reject nothing.
 """
 
 from __future__ import annotations
@@ -25,9 +32,12 @@ _SPACE = SPACES.decode()
 _INDEX = (1 << 31) - 1
 GRID = [(i / 24) ** 2 for i in range(25)]
 RULES = ["symbols", "dup_lines", "repeats", "capitals", "long_words"]
-#: Limit of false rejections per rule and stratum, and the error probability of all limits.
-RISK = 0.01
+#: Limit of false rejections per stratum by all rules, and the error probability of all limits.
+RISK = 0.03
 ERROR = 0.05
+#: Steps of the ladder, and the share of documents per step and rule as a fraction.
+STEPS = 41
+STEP = 400
 #: Terms of a binomial sum that are added one by one; what follows is bounded by a geometric
 #: series, which can only make a test stricter.
 TERMS = 4000
@@ -129,35 +139,70 @@ def log_binomial_tail(k: str, n: str, p: float) -> Column:
     return F.expr(f"{top} + ln({total})")
 
 
-def choose_cutoffs(good: DataFrame, risk: float, error: float) -> DataFrame:
+def _counted(docs: DataFrame) -> DataFrame:
+    """Documents by ``stratum``, ``rule`` and ``below``, the number of cutoffs that the ratio exceeds."""
+    below = [F.struct(F.lit(r).alias("rule"), _below(r).alias("below")) for r in RULES]
+    return docs.select("stratum", F.inline(F.array(*below))).groupBy("stratum", "rule", "below").agg(F.count("*").alias("docs"))
+
+
+def _below(column: str) -> Column:
+    text = "array(" + ", ".join(f"{g!r}D" for g in GRID) + ")"
+    return F.expr(f"size(filter({text}, g -> g < {column}))")
+
+
+def ladder(good: DataFrame, everyone: DataFrame) -> DataFrame:
+    """``stratum`` and ``steps``, an array of structs: the ``step`` and a place in the grid for
+    each rule (null: no cutoff is exceeded by few enough).
+
+    ``everyone`` holds the rows of ``good`` too; only the others count.
+    """
+    signed = _counted(everyone).unionByName(_counted(good).withColumn("docs", -F.col("docs")))
+    others = signed.groupBy("stratum", "rule", "below").agg(F.sum("docs").alias("docs"))
+    # At most strata x rules x grid rows from here on.
+    lists = others.groupBy("stratum", "rule").agg(
+        F.sum("docs").alias("n"), F.collect_list(F.struct("below", "docs")).alias("cells")
+    )
+    tails = lists.select(
+        "stratum", "rule", "n",
+        F.expr(
+            f"transform(sequence(0, {len(GRID) - 1}), p -> aggregate(cells, 0L, (a, c) -> a + if(c.below > p, c.docs, 0L)))"
+        ).alias("tails"),
+    ).where("n > 0")
+    # Tails fall with the place: the first that is small enough is the smallest cutoff.
+    few = f"filter(sequence(0, {len(GRID) - 1}), p -> {STEP} * tails[p] <= step * n)"
+    places = tails.select("stratum", "rule", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"), "tails", "n")
+    places = places.select("stratum", "rule", "step", F.expr(f"get({few}, 0)").alias("place"))
+    wide = places.groupBy("stratum", "step").agg(*[F.min(F.when(F.col("rule") == r, F.col("place"))).alias(r) for r in RULES])
+    return wide.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("step", *RULES))).alias("steps"))
+
+
+def choose_cutoffs(good: DataFrame, everyone: DataFrame, risk: float, error: float) -> DataFrame:
     """``stratum`` and a column per rule with its cutoff (null: rejects nothing).
 
-    ``good``: one row per labelled good document with ``stratum`` and the rules' ratios.
+    ``good``: one row per held-out good document with ``stratum`` and the rules' ratios.
+    ``everyone``: the same columns for all documents, those of ``good`` among them.
     """
-    grid = F.array(*map(F.lit, GRID))
-    # A ratio is rejected by the cutoffs below it.
-    text = "array(" + ", ".join(f"{g!r}D" for g in GRID) + ")"
-    below = [F.struct(F.lit(r).alias("rule"), F.expr(f"size(filter({text}, g -> g < {r}))").alias("below")) for r in RULES]
-    counted = good.select("stratum", F.inline(F.array(*below))).groupBy("stratum", "rule", "below").agg(F.count("*").alias("docs"))
-    counted = cut_lineage(counted)  # at most strata x rules x grid rows
-    sizes = counted.where(F.col("rule") == RULES[0]).groupBy("stratum").agg(F.sum("docs").alias("n"))
-    strata = sizes.count()
-    cells = sizes.select(
-        "stratum", "n",
-        F.explode(F.array(*map(F.lit, RULES))).alias("rule"),
-    ).select("stratum", "n", "rule", F.posexplode(grid).alias("place", "cutoff"))
-    lists = counted.groupBy(F.col("stratum").alias("__stratum"), F.col("rule").alias("__rule")).agg(
-        F.collect_list(F.struct("below", "docs")).alias("cells")
+    steps = cut_lineage(ladder(good, everyone).withColumnRenamed("stratum", "__stratum"))  # a row per stratum
+    placed = good.select("stratum", *[_below(r).alias(f"__{r}") for r in RULES])
+    met = placed.join(steps, F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
+    # Steps tighten, so a document that a step rejects is rejected by those after it too.
+    rejects = " OR ".join(f"coalesce(__{r} > s.{r}, false)" for r in RULES)
+    met = met.select("stratum", F.coalesce(F.expr(f"size(filter(steps, s -> NOT ({rejects})))"), F.lit(0)).alias("survived"))
+    counted = cut_lineage(met.groupBy("stratum", "survived").agg(F.count("*").alias("docs")))
+    strata = counted.select("stratum").distinct().count()
+    lists = counted.groupBy("stratum").agg(
+        F.sum("docs").alias("n"), F.collect_list(F.struct("survived", "docs")).alias("cells")
     )
-    same = F.col("stratum").eqNullSafe(F.col("__stratum")) & (F.col("rule") == F.col("__rule"))
-    cells = cells.join(lists, same).select(
-        "stratum", "rule", "n", "cutoff",
-        F.expr("aggregate(cells, CAST(0 AS BIGINT), (a, c) -> a + if(c.below > place, c.docs, CAST(0 AS BIGINT)))").alias("k"),
-    )
-    bound = math.log(error / max(1, strata * len(RULES) * len(GRID)))
-    passed = cells.where(F.col("k") < F.col("n") * F.lit(risk)).where(log_binomial_tail("k", "n", risk) <= bound)
-    chosen = [F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]
-    return passed.groupBy("stratum").agg(*chosen)
+    tests = lists.select("stratum", "n", "cells", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
+    false = "aggregate(cells, 0L, (a, c) -> a + if(c.survived <= step, c.docs, 0L))"
+    tests = tests.select("stratum", "n", "step", F.expr(false).alias("k"))
+    # False rejections rise along the ladder, so the steps that pass are those before the first failure.
+    passed = tests.where(F.col("k") < F.col("n") * F.lit(risk))
+    passed = passed.where(log_binomial_tail("k", "n", risk) <= math.log(error / max(1, strata)))
+    last = passed.groupBy("stratum").agg(F.max("step").alias("last"))
+    chosen = last.join(steps, F.col("stratum").eqNullSafe(F.col("__stratum"))).withColumn("__at", F.expr("steps[last]"))
+    grid = F.array(*map(F.lit, GRID))
+    return chosen.select("stratum", *[F.get(grid, F.col(f"__at.{r}")).alias(f"cut_{r}") for r in RULES])
 
 
 def quality_filter(
@@ -175,15 +220,16 @@ def quality_filter(
     ``labels`` has the id and ``quality`` (1: good); a document with several labels counts once,
     as good if all say so; rows that repeat an id count as labelled documents each. Null and
     empty texts have no words and fail the base rules. A null stratum is a stratum of its own.
-    Without labels no rule rejects. An empty table gives an empty one; other columns of ``df``
+    Without labels, or without documents that are not held out, no rule rejects. An empty table gives an empty one; other columns of ``df``
     are not read.
     """
     plain = df.select(F.col(id_col).alias("__id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("__body"))
     own = signals(plain, "__body").drop("__body").withColumn("base_failed", base_failed())
     own = cut_lineage(own.withColumns({f"ratio_{name}": value for name, value in ratios().items()}))
     known = labels.groupBy(F.col(id_col).alias("__doc")).agg(F.min("quality").alias("quality")).where("quality = 1")
-    good = own.where("NOT base_failed").join(known, F.col("__id") == F.col("__doc"))
-    cutoffs = choose_cutoffs(good.select("stratum", *[F.col(f"ratio_{r}").alias(r) for r in RULES]), risk, error)
+    past = own.where("NOT base_failed").select("__id", "stratum", *[F.col(f"ratio_{r}").alias(r) for r in RULES])
+    good = past.join(known, F.col("__id") == F.col("__doc"))
+    cutoffs = choose_cutoffs(good, past, risk, error)
     cutoffs = cutoffs.withColumnRenamed("stratum", "__stratum")
     judged = own.join(cutoffs, F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
     rejected = F.lit(False)

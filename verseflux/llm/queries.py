@@ -12,7 +12,7 @@ from verseflux.llm.language import identify, learn_profiles
 from verseflux.llm.linededup import dedup_lines
 from verseflux.llm.mixing import BLOCK_WORDS, mix_sizes
 from verseflux.llm.nearcopies import near_copies
-from verseflux.llm.quality import ERROR, GRID, RISK, RULES, TERMS, quality_filter
+from verseflux.llm.quality import ERROR, GRID, RISK, RULES, STEP, STEPS, TERMS, quality_filter
 from verseflux.llm.records import new_folder, public_id, read_records, remove_folder, write_records
 from verseflux.llm.registry import ORACLES, QUERIES, query
 from verseflux.llm.substrings import cut_repeats
@@ -170,10 +170,9 @@ def _quality_sql() -> str:
     }
     grid = "[" + ", ".join(f"{g!r}::double" for g in GRID) + "]"
     rules = ", ".join(f"{ratio[r]} AS r_{r}" for r in RULES)
-    union = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, r_{r} AS value FROM good" for r in RULES)
-    cuts = ", ".join(f"min(cutoff) FILTER (rule = '{r}') AS c_{r}" for r in RULES)
+    union = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, r_{r} AS value FROM others" for r in RULES)
+    cuts = ", ".join(f"min(cutoff) FILTER (rule = '{r}' AND {STEP} * tail <= step * n) AS c_{r}" for r in RULES)
     rejects = " OR ".join(f"coalesce(r_{r} > c_{r}, false)" for r in RULES)
-    tests = f"({len(RULES) * len(GRID)} * (SELECT count(*) FROM sizes))"
     return f"""
 WITH plain AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 words AS (
@@ -205,13 +204,23 @@ words AS (
 ), good AS (
   SELECT * FROM rated WHERE NOT base_failed AND doc_id IN
     (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)
-), sizes AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
-cells AS (
-  SELECT g.lang, rule, n, cutoff, count(*) FILTER (value > cutoff) AS k
-  FROM ({union}) g JOIN sizes s ON g.lang IS NOT DISTINCT FROM s.lang, (SELECT unnest({grid}) AS cutoff)
-  GROUP BY g.lang, rule, n, cutoff
+), others AS (
+  SELECT * FROM rated WHERE NOT base_failed AND NOT coalesce(doc_id IN (SELECT doc_id FROM good), false)
+), tails AS (
+  SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS tail
+  FROM ({union}), (SELECT unnest({grid}) AS cutoff) GROUP BY lang, rule, cutoff
+), ladder AS (
+  SELECT lang, step, {cuts} FROM tails, (SELECT unnest(range({STEPS})) AS step) GROUP BY lang, step
+), tests AS (
+  SELECT g.lang, step, count(*) AS n, count(*) FILTER ({rejects}) AS k
+  FROM good g JOIN ladder l ON g.lang IS NOT DISTINCT FROM l.lang GROUP BY g.lang, step
+), last_ AS (
+  SELECT lang, max(step) AS step FROM tests
+  WHERE k < n * {RISK}::double
+    AND {tail} <= ln({ERROR}::double / (SELECT count(*) FROM (SELECT DISTINCT lang FROM good)))
+  GROUP BY lang
 ), cuts AS (
-  SELECT lang, {cuts} FROM cells WHERE k < n * {RISK}::double AND {tail} <= ln({ERROR}::double / {tests}) GROUP BY lang
+  SELECT l.* FROM ladder l JOIN last_ t ON l.lang IS NOT DISTINCT FROM t.lang AND l.step = t.step
 )
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT ({rejects}) AS kept
