@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.tables import LONG, ROWS, clashing, documents, empty
-from verseflux.llm import ann, bpe, language, lyndon, mixing, nearcopies, quality, records, substrings, toxicity
+from verseflux.llm import ann, bpe, language, linededup, lyndon, mixing, nearcopies, quality, records, substrings, toxicity
 from verseflux.llm.linededup import dedup_lines
 from verseflux.llm.queries import tokenizer_path
 
@@ -48,13 +48,27 @@ def lines_by_hand(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits", [28, 13])
+@pytest.mark.parametrize("bits", [28, 13, 3])
 def test_line_dedup(spark, bits):
-    # 13 bits are so few that every key is suspected: the result is the same.
+    # 8 bits are so few that every key is suspected: the result is the same.
     done = dedup_lines(documents(spark), bits=bits).select("doc_id", "n_lines", "n_dropped", "kept_text")
     assert sorted(map(tuple, done.collect()), key=str) == lines_by_hand(ROWS)
 
 
+def test_line_filters_are_merged_over_tasks(spark):
+    lines = [f"a line of number {k}" for k in range(3000)]
+    rows = [(k, "\n".join(lines[30 * k : 30 * k + 30] + [lines[(37 * k + 950) % 3000]])) for k in range(100)]
+    held = Counter(x for _, t in rows for x in set(t.split("\n")))
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "id long, text string").repartition(parts)
+        filter_, bits = linededup.seen_again(docs, 28, 10)
+        assert bits == 16  # 3100 lines of 16 bits
+        keys = sorted(held)
+        found = linededup._held(filter_, linededup._places(linededup._hashes([k.encode() for k in keys]), bits))
+        again = np.array([held[k] > 1 for k in keys])
+        assert again.sum() >= 90 and found[again].all() and found[~again].mean() < 0.02
+
+
 def test_line_dedup_edges(spark):
     assert dedup_lines(empty(spark)).count() == 0
     df = clashing(spark, "n_lines", "kept_text")

@@ -1,16 +1,18 @@
 """Line dedup: two Bloom filters find suspected repeats, which alone shuffle for exact choice.
 
-1. Every task sends the 64-bit hash of each line key it has seen, once per batch. The hashes
-   are dealt by filter segment; a segment keeps one filter of keys seen once and one of keys
-   seen again. Both have a fixed number of bits in all (``bits``), whatever the input.
-2. The seen-again filter (at most ``bits`` / 8 bytes) is broadcast. Only keys that it holds are
-   suspected; of these, 128-bit digests shuffle for the exact count of documents and the
-   smallest id. Where the filter fills up, more keys are suspected and the result is the same.
+1. Every task fills two filters of its own, of the line keys it has seen once and of those it
+   has seen again, and sends them in compressed slices. Slices are merged by OR; what two tasks
+   have in "once" is put into "again". So a task sends some bits per key, and no hash. The size
+   of the filters follows the number of lines, up to ``bits``, whatever the input.
+2. The merged seen-again filter (at most 2**``bits`` / 8 bytes) is broadcast. Only keys that it
+   holds are suspected; of these, 128-bit digests shuffle for the exact count of documents and
+   the smallest id. Where the filter fills up, more keys are suspected and the result is the same.
 3. What each document loses is joined to it by id, and its lines are written again.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 from verseflux.lineage import cut_lineage
 from verseflux.llm.common import SPACES, add_arrow, id_or_last, texts, without
 
-#: Bits of each filter; 2**28 bits are 32 MB, the most that is broadcast.
+#: The most bits of each filter, as a power of two; 2**28 bits are 32 MB, the most that is broadcast.
 FILTER_BITS = 28
-#: The first bits of a hash name the segment; the rest names PROBES places in it.
-SEGMENT_BITS = 10
+#: Bits for each line that may have a key; probes for each key.
+BITS_PER_KEY = 16
 PROBES = 3
+#: Filters travel in slices of so many bits, as a power of two, or whole where they are smaller.
+SLICE_BITS = 18
 MIN_POINTS = 10
 
 
@@ -51,14 +55,12 @@ def _hashes(keys) -> np.ndarray:
 
 
 def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """For each probe, the bit inside the hash's segment."""
-    width = np.uint64(bits - SEGMENT_BITS)
-    rest = hashes * np.uint64(0x9E3779B97F4A7C15)  # bits apart from those of the segment
-    out = []
+    """The bits of each hash in a filter of 2**``bits``."""
+    out, rest = [], hashes
     for i in range(PROBES):
-        part = rest >> np.uint64(64 - int(width)) if i == 0 else (rest * np.uint64(2 * i + 1)) >> np.uint64(64 - int(width))
-        out.append(part.astype(np.int64))
-        rest = rest * np.uint64(0xD6E8FEB86659FD93) + np.uint64(i + 1)
+        rest = rest * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * i + 1)
+        out.append((rest >> np.uint64(64 - bits)).astype(np.int64))
+        rest ^= rest >> np.uint64(32)
     return out
 
 
@@ -74,57 +76,75 @@ def _put(filter_: np.ndarray, places: list[np.ndarray]) -> None:
         np.bitwise_or.at(filter_, p >> 3, (1 << (p & 7)).astype(np.uint8))
 
 
-def seen_again(docs: DataFrame, bits: int, min_points: int) -> np.ndarray:
-    """The filter of keys that two documents or more may hold; ``bits`` is its base-2 size."""
-    segment_bytes = 1 << (bits - SEGMENT_BITS - 3)
+def _pack(part: np.ndarray) -> bytes | None:
+    return zlib.compress(part.tobytes(), 1) if part.any() else None
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
+def filter_size(docs: DataFrame, most: int, min_points: int) -> int:
+    """Bits of a filter for all keys, as a power of two: a key takes a line of ``min_points`` or more."""
+    length = F.length("text")
+    lines = length - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    keys = docs.agg(F.sum(F.least(lines, F.expr(f"CAST(length(text) div {max(1, min_points)} AS INT)")))).first()[0]
+    keys = max(1, keys or 0)
+    return max(3, min(most, math.ceil(math.log2(BITS_PER_KEY * keys))))
+
+
+def seen_again(docs: DataFrame, most: int, min_points: int) -> tuple[np.ndarray, int]:
+    """The filter of keys that two documents or more may hold, and its size as a power of two."""
+    bits = filter_size(docs, most, min_points)
+    slice_bytes = 1 << (min(bits, SLICE_BITS) - 3)
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = again = None
         for batch in batches:
             own = [_hashes(k) for t in texts(batch.column(0)) if (k := document_keys(t, min_points))]
-            if own:
-                values, counts = np.unique(np.concatenate(own), return_counts=True)
-                segments = (values >> np.uint64(64 - SEGMENT_BITS)).astype(np.int32)
+            if not own:
+                continue
+            if once is None:
+                once, again = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << (bits - 3), np.uint8)
+            values, counts = np.unique(np.concatenate(own), return_counts=True)
+            places = _places(values, bits)
+            repeated = (counts > 1) | _held(once, places)
+            _put(once, places)
+            _put(again, [p[repeated] for p in places])
+        if once is None:
+            return
+        for k in range(len(once) // slice_bytes):
+            part = slice(k * slice_bytes, (k + 1) * slice_bytes)
+            if (packed := _pack(once[part])) is not None:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(segments), pa.array(values.view(np.int64)), pa.array(counts > 1)],
-                    names=["segment", "hash", "again"],
+                    [pa.array([k], pa.int32()), pa.array([packed], pa.binary()), pa.array([_pack(again[part])], pa.binary())],
+                    names=["slice", "once", "again"],
                 )
 
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
+        again: dict[int, np.ndarray] = {}
         for batch in batches:
-            values = batch.column(1).to_numpy().view(np.uint64)
-            again = batch.column(2).to_numpy(zero_copy_only=False)
-            order = np.argsort(values, kind="stable")
-            values, again = values[order], again[order]
-            starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else []
-            if not len(starts):
-                continue
-            again = np.logical_or.reduceat(again, starts) | (np.diff(np.r_[starts, len(values)]) > 1)
-            values = values[starts]
-            segments = (values >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
-            edges = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1], True])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                s = int(segments[a])
-                if s not in once:
-                    once[s], twice[s] = np.zeros(segment_bytes, np.uint8), np.zeros(segment_bytes, np.uint8)
-                places = _places(values[a:b], bits)
-                repeated = again[a:b] | _held(once[s], places)
-                _put(once[s], places)
-                _put(twice[s], [p[repeated] for p in places])
-        for s, f in twice.items():
-            if f.any():
+            for k, mine, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k not in once:
+                    once[k], again[k] = np.zeros(slice_bytes, np.uint8), np.zeros(slice_bytes, np.uint8)
+                mine = _unpack(mine)
+                again[k] |= once[k] & mine
+                once[k] |= mine
+                if more is not None:
+                    again[k] |= _unpack(more)
+        for k, part in again.items():
+            if (packed := _pack(part)) is not None:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32()), pa.array([zlib.compress(f.tobytes(), 1)], pa.binary())],
-                    names=["segment", "filter"],
+                    [pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names=["slice", "again"]
                 )
 
-    hashes = docs.select("text").mapInArrow(hashed, "segment int, hash long, again boolean")
-    rows = hashes.repartition("segment").mapInArrow(filled, "segment int, filter binary").collect()
-    out = np.zeros((1 << SEGMENT_BITS, segment_bytes), np.uint8)
+    slices = docs.select("text").mapInArrow(filled, "slice int, once binary, again binary")
+    rows = slices.repartition("slice").mapInArrow(merged, "slice int, again binary").collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
-        out[r["segment"]] = np.frombuffer(zlib.decompress(r["filter"]), np.uint8)
-    return out
+        out[r["slice"] * slice_bytes : (r["slice"] + 1) * slice_bytes] = _unpack(r["again"])
+    return out, bits
 
 
 def _digest(key: bytes) -> bytes:
@@ -134,7 +154,9 @@ def _digest(key: bytes) -> bytes:
 def repeats_to_drop(docs: DataFrame, bits: int, min_points: int) -> DataFrame:
     """``id`` and ``digests`` of the keys whose lines this document loses."""
     sc = docs.sparkSession.sparkContext
-    again = sc.broadcast(seen_again(docs, bits, min_points))
+    filter_, size = seen_again(docs, bits, min_points)
+    again = sc.broadcast(filter_)
+    del filter_
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = again.value
@@ -146,11 +168,7 @@ def repeats_to_drop(docs: DataFrame, bits: int, min_points: int) -> DataFrame:
                 keys.extend(own)
             if not keys:
                 continue
-            values = _hashes(keys)
-            segments = (values >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
-            width = filter_.shape[1] * 8
-            places = [p + segments * width for p in _places(values, bits)]
-            kept = np.flatnonzero(_held(filter_.reshape(-1), places))
+            kept = np.flatnonzero(_held(filter_, _places(_hashes(keys), size)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[k] for k in kept], pa.int64()), pa.array([_digest(keys[k]) for k in kept], pa.binary())],
                 names=["id", "digest"],
