@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,8 @@ from verseflux.operators.textprep import (
     vocabulary,
 )
 from verseflux.functions.stats import digamma, trigamma
-from verseflux.operators.topics import _prior_step, _start, assign_topics, fit_topics
+from verseflux.operators import topics as topics_module
+from verseflux.operators.topics import _prior_step, _start, assign_topics, count_blocks, fit_topics
 from verseflux.plans.texts import add_topics, analyze_documents, load_songs
 from verseflux.schemas import SONGS, has_column, require_columns
 from verseflux.sources.collections import read_collections
@@ -347,6 +349,59 @@ def test_topics_against_plain_loops(spark):
     assert model.alpha == pytest.approx(alpha, rel=1e-5)
 
 
+def counting_tokens(spark, docs):
+    """Documents whose tokens come out of a function that counts its rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def tokens(ids: pd.Series) -> pd.Series:
+        seen.add(len(ids))
+        return ids.map(own)
+
+    own = {r.doc_id: list(r.tokens) for r in docs.collect()}
+    return spark.createDataFrame([(i,) for i in own], "doc_id long").withColumn("tokens", tokens("doc_id")), seen
+
+
+def test_topics_read_documents_once(spark):
+    docs, seen = counting_tokens(spark, clean_tokens(topic_docs(spark)).select("doc_id", "tokens"))
+    fit_topics(docs, k=2, passes=3, id_col="doc_id")
+    assert seen.value == 43
+
+
+def test_blocks_of_documents(spark, monkeypatch):
+    texts = {i: [f"w{(i * j) % 17}" for j in range(i)] for i in range(60)} | {60: ["w1", None, "w1"], 61: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, tokens array<string>").repartition(2)
+    models, expected = [], {(i, t): n for i, ts in texts.items() for t, n in Counter(ts or []).items() if t}
+    for tokens, cells in ((1 << 21, 1 << 15), (40, 7)):
+        monkeypatch.setattr(topics_module, "BLOCK_TOKENS", tokens)
+        monkeypatch.setattr(topics_module, "SLICE", cells)
+        rows = count_blocks(docs, "doc_id").collect()
+        ids = {r.block: r.ids for r in rows if r.ids is not None}
+        found = [((ids[r.block][d], r.term), n) for r in rows if r.term is not None for d, n in zip(r.docs, r.tf, strict=True)]
+        assert len(found) == len(expected) and dict(found) == expected
+        assert len({(r.block, r.term) for r in rows}) == len(rows)
+        assert sorted(i for x in ids.values() for i in x) == list(range(1, 61))
+        assert len(ids) <= 2 if tokens > 40 else len(ids) > 30
+        model = fit_topics(docs, k=3, passes=3, no_above=1.0, id_col="doc_id")
+        shares = {r.doc_id: r.distribution for r in assign_topics(docs, model, 4, True, "doc_id").collect()}
+        again = {r.doc_id: r.distribution for r in assign_topics(docs, model, 4, True, "doc_id", blocks=model.blocks).collect()}
+        assert shares.keys() == again.keys() == texts.keys()
+        assert all(shares[i] == pytest.approx(again[i], rel=1e-9) if shares[i] else again[i] is None for i in texts)
+        models.append(({r.term: pytest.approx([r.w0, r.w1, r.w2], rel=1e-9) for r in model.terms.collect()}, shares))
+    assert {t: x.expected for t, x in models[0][0].items()} == models[1][0]
+    assert all(models[0][1][i] == pytest.approx(models[1][1][i], rel=1e-9) for i in texts if models[0][1][i])
+    # A document cut off from its block's others has the same shares in slices of any size.
+    rng = np.random.default_rng(5)
+    tf = rng.integers(0, 4, (30, 25))
+    doc, term = np.nonzero(tf)
+    first = np.searchsorted(doc, np.arange(30))
+    cells = topics_module._Cells(term, tf[doc, term].astype(float), first, np.bincount(doc), np.arange(30), np.arange(25), rng.random((3, 25)))
+    few = topics_module._shares(cells, np.full(3, 0.3), 4)
+    monkeypatch.setattr(topics_module, "SLICE", 1 << 15)
+    for x, y in zip(few, topics_module._shares(cells, np.full(3, 0.3), 4), strict=True):
+        assert x == pytest.approx(y, rel=1e-12)
+
+
 def test_gamma_derivatives():
     x = np.array([1e-3, 0.1, 0.5, 1.0, 2.5, 30.0, 1e6])
     assert digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, rel=1e-10)
