@@ -402,6 +402,14 @@ def test_blocks_of_documents(spark, monkeypatch):
         assert x == pytest.approx(y, rel=1e-12)
 
 
+def test_assigning_does_not_count_again(spark):
+    docs, seen = counting_tokens(spark, clean_tokens(topic_docs(spark)).select("doc_id", "tokens"))
+    model = fit_topics(docs, k=2, passes=2, id_col="doc_id")
+    before = seen.value
+    rows = assign_topics(docs, model, 4, id_col="doc_id", blocks=model.blocks).collect()
+    assert len(rows) == 43 and seen.value == before + 43
+
+
 def test_gamma_derivatives():
     x = np.array([1e-3, 0.1, 0.5, 1.0, 2.5, 30.0, 1e6])
     assert digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, rel=1e-10)
