@@ -410,6 +410,23 @@ def test_assigning_does_not_count_again(spark):
     assert len(rows) == 43 and seen.value == before + 43
 
 
+def test_lemmas_read_documents_twice(spark):
+    # Once for the distinct tokens, once for the arrays; the filter does not read them again.
+    docs, seen = counting_tokens(spark, clean_tokens(topic_docs(spark)).select("doc_id", "tokens"))
+    lemmas = spark.createDataFrame([("boat", "ship")], "token string, lemma string")
+    assert len(lemmatize_arrays(docs, lemmas).collect()) == 41 and seen.value == 86
+
+
+def test_analysis_counts_documents_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(topics_module, "count_blocks", lambda *a: calls.append(a) or count_blocks(*a))
+    scorer = Lexicon(("river",), ("engine",))
+    for id_col, lemmas in ((None, None), ("doc_id", "corpus")):
+        rows = analyze_documents(topic_docs(spark), scorer, id_col=id_col, lemmas=lemmas, k=2, passes=2).collect()
+        assert len(rows) == 43 and len(calls) == 1
+        calls.clear()
+
+
 def test_gamma_derivatives():
     x = np.array([1e-3, 0.1, 0.5, 1.0, 2.5, 30.0, 1e6])
     assert digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, rel=1e-10)
