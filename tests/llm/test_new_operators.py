@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from tests.llm.tables import ROWS, clashing, documents, empty
 from verseflux.llm import bond, prefixtrie, suffixtree
@@ -244,6 +245,24 @@ def test_suffix_tree(spark, order, weight, block, keys):
     assert sum(r.score for r in got if not r.learned) > sum(r.base_score for r in got if not r.learned)
 
 
+def test_suffix_tree_holds_one_block(spark, monkeypatch):
+    # However many blocks a task has, Python gets them one by one with their answers.
+    plain = PandasCogroupedOps.applyInArrow
+
+    def watched(self, func, schema):
+        def one(rows, said):
+            assert rows.num_rows == 1 and set(said["block"].to_pylist()) <= set(rows["block"].to_pylist())
+            return func(rows, said)
+
+        return plain(self, one, schema)
+
+    df = spark.createDataFrame([(i, f"a b c a b {i % 3}") for i in range(40)], "no long, text string").coalesce(1)
+    df = df.withColumn("learned", F.lit(True))
+    want = suffixtree.score_texts(df, "learned").orderBy("no").collect()
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", watched)
+    assert suffixtree.score_texts(df, "learned", block_bytes=60, shard_keys=20).orderBy("no").collect() == want
+
+
 def test_suffix_tree_edges(spark):
     docs = empty(spark).withColumn("learned", F.lit(True))
     assert suffixtree.score_texts(docs, "learned").count() == 0

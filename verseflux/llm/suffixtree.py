@@ -115,10 +115,7 @@ def _blocks(docs: DataFrame, text_col: str, train_col: str, size: int) -> DataFr
             yield block(*held)
 
     packed = plain.mapInArrow(run, "n long, docs long, lengths binary, train binary, words binary, codes binary, rest binary")
-    packed = packed.withColumn("block", F.monotonically_increasing_id())
-    # The part of a block is the task that made it: as a table with a bucket per part the blocks
-    # meet their answers again and again without being shuffled.
-    return packed.withColumn("part", F.spark_partition_id())
+    return packed.withColumn("block", F.monotonically_increasing_id())
 
 
 class Ask:
@@ -158,7 +155,7 @@ def _kept(n: np.ndarray, gains: np.ndarray, weight: float, gain: float) -> np.nd
 
 def _answers(asked: DataFrame, kind: int, weight: float, gain: float) -> DataFrame:
     """Every shard adds up what all blocks say of a key, and answers every block: the count, or
-    where gains were sent (contexts) the count of those in the tree. A row of part -1 tells how
+    where gains were sent (contexts) the count of those in the tree. A row of block -1 tells how
     many keys of the shard have a count."""
 
     def add(rows: pa.Table) -> pa.Table:
@@ -184,12 +181,12 @@ def _answers(asked: DataFrame, kind: int, weight: float, gain: float) -> DataFra
         packed = [squeeze(found[group[e - n : e]]) for e, n in zip(ends, ns, strict=True)]
         size = len(ns) + 1
         return pa.table(
-            [pa.array(rows["part"].to_pylist() + [-1], pa.int32()), pa.array(rows["block"].to_pylist() + [-1], pa.int64()),
-             pa.array([rows["shard"][0].as_py()] * size, pa.int32()), pa.array(ns + [some], pa.int32()), pa.array(packed + [None], pa.binary())],
-            names=["part", "block", "shard", "n", "found"],
+            [pa.array(rows["block"].to_pylist() + [-1], pa.int64()), pa.array([rows["shard"][0].as_py()] * size, pa.int32()),
+             pa.array(ns + [some], pa.int32()), pa.array(packed + [None], pa.binary())],
+            names=["block", "shard", "n", "found"],
         )
 
-    answers = asked.groupBy("shard").applyInArrow(add, "part int, block long, shard int, n int, found binary")
+    answers = asked.groupBy("shard").applyInArrow(add, "block long, shard int, n int, found binary")
     return cut_lineage(answers.withColumn("kind", F.lit(kind)))
 
 
@@ -279,8 +276,9 @@ def score_texts(
     spark = df.sparkSession
     blocks = _blocks(docs, text_col, train_col, block_bytes)
     name = f"suffixtree_blocks_{uuid.uuid4().hex}"
+    # As a table with buckets the blocks meet their answers again and again without being shuffled.
     buckets = max(1, min(blocks.rdd.getNumPartitions(), MOST_BUCKETS))
-    blocks.write.bucketBy(buckets, "part").saveAsTable(name)
+    blocks.write.bucketBy(buckets, "block").saveAsTable(name)
     try:
         return cut_lineage(_scores(spark.table(name), rest.schema, order, weight, gain, shard_keys))
     finally:
@@ -290,16 +288,16 @@ def score_texts(
 def _scores(blocks: DataFrame, rest: StructType, order: int, weight: float, gain: float, shard_keys: int) -> DataFrame:
     spark, names = blocks.sparkSession, StructType.fromDDL(_RESULT).names
     shards = max(1, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // shard_keys))
-    ddl = "part int, block long, shard int, n int, keys binary, sums binary, gains binary"
+    ddl = "block long, shard int, n int, keys binary, sums binary, gains binary"
     fields = StructType.fromDDL(ddl).names
 
     def rows_of(row: dict, ask: Ask) -> pa.Table:
         made = [
-            (row["part"], row["block"], s, n, keys, adds[0], adds[1] if len(adds) > 1 else None)
+            (row["block"], s, n, keys, adds[0], adds[1] if len(adds) > 1 else None)
             for s, keys, adds, n in ask.by_shard(shards)
         ]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        columns = list(zip(*made, strict=True)) if made else [()] * 7
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        columns = list(zip(*made, strict=True)) if made else [()] * 6
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=fields)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,29 +306,29 @@ def _scores(blocks: DataFrame, rest: StructType, order: int, weight: float, gain
                 row = batch.slice(i, 1).to_pylist()[0]
                 yield from rows_of(row, Block(row, order, weight).advance([], 0, 0)).to_batches()
 
-    state = ["part", "block", "n", "docs", "lengths", "train", "words", "codes"]
+    state = ["block", "n", "docs", "lengths", "train", "words", "codes"]
     answers = _answers(blocks.select(*state).mapInArrow(first, ddl), 0, weight, gain)
-    distinct = answers.where("part = -1").agg(F.sum("n")).first()[0] or 0
+    distinct = answers.where("block = -1").agg(F.sum("n")).first()[0] or 0
     total = _train_tokens(blocks)
     release(spark)
 
     def met(columns: list[str]):
-        """Blocks and their answers by part; only the answers are shuffled."""
-        return blocks.select(*columns).groupBy("part").cogroup(answers.where("part >= 0").groupBy("part"))
-
-    def each(rows: pa.Table, said: pa.Table, asked: int) -> Iterator[tuple[dict, Block, Ask | tuple]]:
-        where = np.array(said["block"].to_pylist(), np.int64)
-        for i in range(rows.num_rows):
-            row = rows.slice(i, 1).to_pylist()[0]
-            given: list[list[dict]] = [[] for _ in range(asked)]
-            for r in said.take(np.flatnonzero(where == row["block"])).to_pylist():
-                given[r["kind"]].append(r)
-            block = Block(row, order, weight)
-            yield row, block, block.advance(given, total, distinct)
+        """Every block with its answers; only the answers are shuffled. A group is one block,
+        so that what Python holds does not depend on how many blocks a task has."""
+        return blocks.select(*columns).groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
+
+    def advanced(rows: pa.Table, said: pa.Table, asked: int) -> tuple[dict, Block, Ask | tuple]:
+        (row,) = rows.to_pylist()
+        given: list[list[dict]] = [[] for _ in range(asked)]
+        for r in said.select(["shard", "n", "found", "kind"]).to_pylist():
+            given[r["kind"]].append(r)
+        block = Block(row, order, weight)
+        return row, block, block.advance(given, total, distinct)
 
     def step(asked: int):
         def go(rows: pa.Table, said: pa.Table) -> pa.Table:
-            return pa.concat_tables([rows_of(row, ask) for row, _, ask in each(rows, said, asked)])
+            row, _, ask = advanced(rows, said, asked)
+            return rows_of(row, ask)
 
         return go
 
@@ -339,13 +337,11 @@ def _scores(blocks: DataFrame, rest: StructType, order: int, weight: float, gain
         release(spark)
 
     def finish(rows: pa.Table, said: pa.Table) -> pa.Table:
-        done = []
-        for row, block, (known, plain, p) in each(rows, said, 2 * order + 1):
-            others = pa.ipc.open_stream(row["rest"]).read_all()
-            add = lambda x, at=block.starts: np.add.reduceat(x, at)
-            made = [block.lengths, add(known.astype(np.int64)), np.full(len(block.lengths), total, np.int64), add(plain), add(p)]
-            done.append(pa.table(others.columns + [pa.array(m) for m in made], names=others.column_names + names))
-        return pa.concat_tables(done)
+        row, block, (known, plain, p) = advanced(rows, said, 2 * order + 1)
+        others = pa.ipc.open_stream(row["rest"]).read_all()
+        add = lambda x: np.add.reduceat(x, block.starts)
+        made = [block.lengths, add(known.astype(np.int64)), np.full(len(block.lengths), total, np.int64), add(plain), add(p)]
+        return pa.table(others.columns + [pa.array(m) for m in made], names=others.column_names + names)
 
     schema = StructType(list(rest.fields) + list(StructType.fromDDL(_RESULT).fields))
     return met([*state, "rest"]).applyInArrow(finish, schema)
