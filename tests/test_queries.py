@@ -1,5 +1,7 @@
 """Every registered query against its SQL in DuckDB, and shape checks for the rest."""
 
+import importlib
+import inspect
 import os
 
 import pytest
@@ -45,6 +47,29 @@ def test_document_analysis(spark, con):
             assert 0.4 < r.sentiment_score <= 0.5
 
 
+@pytest.mark.parametrize("name,where,work", [
+    ("document_topics", "verseflux.queries.models", {"k": 10, "passes": 20, "steps": 5}),
+])
+def test_topics_are_fitted_as_a_whole(spark, monkeypatch, name, where, work):
+    # The numbers of the script that is followed, as it stands and as it is run.
+    module = importlib.import_module(where)
+    whole, asked = module.fit_topics, []
+
+    def recorded(*args, **options):
+        bound = inspect.signature(whole).bind(*args, **options)
+        bound.apply_defaults()
+        asked.append(bound.arguments)
+        return whole(*args, **{**options, "no_below": 10**6})  # nothing to fit on
+
+    monkeypatch.setattr(module, "fit_topics", recorded)
+    try:
+        QUERIES[name](spark, FOLDER).collect()
+    except AttributeError:
+        pass  # document_topics needs a model
+    assert [{n: a[n] for n in work} for a in asked] == [work]
+    assert (asked[0]["no_below"], asked[0]["no_above"], asked[0]["keep_n"]) == (5, 0.5, None)
+
+
 def test_trained_scorer(spark, con):
     rows = QUERIES["sentiment_trained"](spark, FOLDER).collect()
     assert len(rows) == con.execute("SELECT count(*) FROM documents").fetchone()[0]
