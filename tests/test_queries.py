@@ -49,6 +49,7 @@ def test_document_analysis(spark, con):
 
 @pytest.mark.parametrize("name,where,work", [
     ("document_topics", "verseflux.queries.models", {"k": 10, "passes": 20, "steps": 5}),
+    ("document_analysis", "verseflux.plans.texts", {"k": 30, "passes": 50, "steps": 5}),
 ])
 def test_topics_are_fitted_as_a_whole(spark, monkeypatch, name, where, work):
     # The numbers of the script that is followed, as it stands and as it is run.
