@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from verseflux.lineage import release  # noqa: F401
 from verseflux.session import ship_package
 
 #: Bytes that separate words: space and the five ASCII controls from tab to carriage return.
@@ -31,16 +31,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of results that nothing refers to any more.
-
-    It does so when the driver's heap is collected, which a driver with little to do may put off
-    until the files fill the disks. For loops that checkpoint one result after the other.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def id_or_last(column: str):
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
